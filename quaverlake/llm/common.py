@@ -38,6 +38,33 @@ def as_text(value: str | None) -> str:
     return "" if value is None else value
 
 
+def with_text_columns(df: DataFrame, fn: Callable[..., tuple], schema: str, text: str = "text", carry: list[str] | None = None, more: tuple[str, ...] = (), prefix: str = "", setup: Callable[[], object] | None = None, after: Callable[[list[tuple]], list[tuple]] | None = None) -> DataFrame:
+    """Append columns that fn makes from each text (and from the columns named in `more`).
+
+    `carry` names the columns to keep (default: all); they pass through Arrow untouched. The new columns are named by the DDL
+    schema behind `prefix`; a carried column of the same name gives way to the new one. `after` may turn what fn made of a
+    whole batch into the final rows, for what is better done in one go.
+    """
+    new = [prefix + f.name for f in struct_of(schema).fields]
+    carry = [c for c in (df.columns if carry is None else carry) if c not in new]
+    inner = df.select(*(df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(carry)), *(df[f"`{c}`"].alias(f"t{i}") for i, c in enumerate((text, *more))))
+    fields = schema_of(df.sparkSession, schema)
+    n = len(carry)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = (setup(),) if setup else ()
+        for batch in batches:
+            rows = [fn(*first, *values) for values in zip(*(c.to_pylist() for c in batch.columns[n:]), strict=True)]
+            rows = after(rows) if after and rows else rows
+            made = [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), fields, strict=True)] if rows else [pa.array([], t.type) for t in fields]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=[*batch.schema.names[:n], *(f"n{i}" for i in range(len(made)))])
+
+    from pyspark.sql.types import StructField, StructType
+
+    out = StructType([StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(carry)] + [StructField(f"n{i}", f.dataType) for i, f in enumerate(struct_of(schema).fields)])
+    return inner.mapInArrow(run, out).toDF(*carry, *new)
+
+
 def map_rows(df: DataFrame, fn: Callable[..., tuple], schema: str, setup: Callable[[], object] | None = None) -> DataFrame:
     """Apply fn to each row (its columns in order) and return rows of the given DDL schema.
 
@@ -68,11 +95,16 @@ def to_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
 
+def struct_of(ddl: str):
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(ddl)
+
+
 def schema_of(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(ddl))
+    return to_arrow_schema(struct_of(ddl))
 
 
 def crc_fold(column: str, parts: int):

@@ -8,9 +8,15 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from quaverlake.llm.bpe import op6_bpe
+from quaverlake.llm.linededup import op7_line_dedup
+from quaverlake.llm.packing import op8_packing
+from quaverlake.llm.quality import op2_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op6_bpe": op6_bpe,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_packing": op8_packing,
     "pipeline": corpus_pipeline.run,
 }
 
