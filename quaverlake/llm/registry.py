@@ -8,6 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from quaverlake.llm.bpe import op6_bpe
+from quaverlake.llm.neardup import op9_near_dup
 from quaverlake.llm.linededup import op7_line_dedup
 from quaverlake.llm.packing import op8_packing
 from quaverlake.llm.quality import op2_quality
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
+    "op9_near_dup": op9_near_dup,
     "pipeline": corpus_pipeline.run,
 }
 
