@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quaverlake.llm.bpe import op6_bpe
 from quaverlake.llm.neardup import op9_near_dup
+from quaverlake.llm.language import op4_language
 from quaverlake.llm.linededup import op7_line_dedup
 from quaverlake.llm.packing import op8_packing
 from quaverlake.llm.pii import op1_pii
 from quaverlake.llm.quality import op2_quality
+from quaverlake.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
+    "op4_language": op4_language,
+    "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
