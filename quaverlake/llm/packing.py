@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaverlake.llm.bpe import byte_alphabet
 from quaverlake.llm.common import BATCH_BYTES, as_text, schema_of, table, to_batch
 
 VOCABULARY, END, CAPACITY = "word_bpe_49k.json", 2, 4096
@@ -33,6 +34,8 @@ BLOCK = 16_000
 QUADRATIC = 1 / 6144
 #: Words that a Python worker remembers; beyond that it forgets all of them and goes on.
 REMEMBERED = 400_000
+#: From bytes, as Latin-1 characters, to the characters that stand for them in the vocabulary.
+BYTES = {b: c for c, b in byte_alphabet().items()}
 WORD = re.compile(r"[^\t-\r ]+")
 
 
@@ -46,19 +49,44 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
 
+    def encode_new(self, word: str) -> bytes:
+        """A word of letters goes to the tokenizer's model at once, others through all its steps.
+
+        The text is in lower case here where it may be (see encode). A comma or full stop that ends a word of letters is
+        always a token of its own.
+        """
+        body = word[:-1] if word[-1] in ",." else word
+        if not (body.isalpha() and body.islower() and max(body) < "\u0100"):
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        elif body is not word:
+            return (self.known.get(body) or self.encode_new(body)) + self.encode_new(word[-1])
+        else:
+            ids = [t.id for t in self.model.tokenize(body if body.isascii() else body.encode().decode("latin-1").translate(BYTES))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers.
+
+        The tokenizer lowers texts itself, after normalisation that leaves Latin-1 texts as they are; those are lowered
+        at once, so that fewer different words are met. What may hold a special token is left alone.
+        """
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
         words = WORD.findall(text)
         known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                ids = e.ids
-                known[word] = struct.pack(f"<{len(ids)}I", *ids)
+        new = set(words).difference(known)
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = set(words)
+        for word in new:
+            known[word] = self.encode_new(word)
         return b"".join(map(known.__getitem__, words))
 
 
