@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quaverlake.llm.bpe import op6_bpe
 from quaverlake.llm.neardup import op9_near_dup
 from quaverlake.llm.language import op4_language
+from quaverlake.llm.licences import op10_licences
 from quaverlake.llm.linededup import op7_line_dedup
 from quaverlake.llm.packing import op8_packing
 from quaverlake.llm.pii import op1_pii
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
     "op9_near_dup": op9_near_dup,
+    "op10_licences": op10_licences,
     "pipeline": corpus_pipeline.run,
 }
 
