@@ -47,6 +47,8 @@ RANKED, COVERAGE = 3, 0.9
 NOISE = 0.2
 #: Words of a block that are compared at once, in steps of half of that beyond the longest template.
 WINDOW = 400
+#: Words that a block may have between two runs of a match beyond those that the template has there.
+BETWEEN = 8
 LEVEL = 3
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
@@ -93,13 +95,19 @@ class Scanner:
             runs = [m for m in match.get_matching_blocks() if m.size]
             if not runs:
                 continue
+            # from the longest run outwards, as far as the block has not much more between two runs than the template
+            first = last = max(range(len(runs)), key=lambda i: runs[i].size)
+            while first and runs[first].b - runs[first - 1].b <= runs[first].a - runs[first - 1].a + BETWEEN:
+                first -= 1
+            while last + 1 < len(runs) and runs[last + 1].b - runs[last].b <= runs[last + 1].a - runs[last].a + BETWEEN:
+                last += 1
+            runs = runs[first : last + 1]
             lo, hi = runs[0].b, runs[-1].b + runs[-1].size
             covered = sum(m.size for m in runs) / len(wanted)
-            missing, added = [], []
-            for tag, i, j, k, m in match.get_opcodes():
-                if tag != "equal":
-                    missing += wanted[i:j]
-                    added += [w for p, w in enumerate(part[k:m], k) if lo <= p < hi]
+            same = {w for m in runs for w in range(m.a, m.a + m.size)}
+            held = {w for m in runs for w in range(m.b, m.b + m.size)}
+            missing = [w for i, w in enumerate(wanted) if i not in same]
+            added = [part[i] for i in range(lo, hi) if i not in held]
             found = (covered - len(added) / len(wanted), covered, a + lo, a + hi, " ".join([*("-" + w for w in missing), *("+" + w for w in added)]))
             if best is None or found[0] > best[0]:
                 best = found
