@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quaverlake.llm.bpe import op6_bpe
 from quaverlake.llm.neardup import op9_near_dup
+from quaverlake.llm.jaccard import op3_jaccard
 from quaverlake.llm.language import op4_language
 from quaverlake.llm.licences import op10_licences
 from quaverlake.llm.linededup import op7_line_dedup
@@ -20,6 +21,7 @@ from quaverlake.llm.toxicity import op5_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
+    "op3_jaccard": op3_jaccard,
     "op4_language": op4_language,
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
