@@ -333,13 +333,26 @@ def crowd_pairs(crowd: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, row (hash of doc_id and text), n_shingles and component_id (the least doc_id that links reach) of every row."""
+    """doc_id, row (hash of doc_id and text), n_shingles, component_id (the least doc_id that links reach) and group of every row.
+
+    Rows of one component have the same group; rows with an empty set have none.
+    """
     ids = materialize(identify(docs), "set-ids")
     groups = similarity_groups(docs, ids)
     known = ids.filter("n_shingles > 0").join(groups, ids["sid"] == groups["id"], "left").select("doc_id", "row", "n_shingles", F.coalesce("component", "sid").alias("group"))
     least = known.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    linked = known.join(least, "group").select("doc_id", "row", "n_shingles", "component_id")
-    return linked.union(ids.filter("n_shingles = 0").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id")))
+    linked = known.join(least, "group").select("doc_id", "row", "n_shingles", "component_id", "group")
+    return linked.union(ids.filter("n_shingles = 0").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("group")))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents without all but one (the least doc_id) of each component; documents with an empty set all stay."""
+    found = jaccard_components(docs)
+    first = found.filter("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"), F.lit(True).alias("once"))
+    stay = first.union(found.filter("group is null").select("row", F.lit(False).alias("once")).distinct())
+    rows = docs.select(*(docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)), F.xxhash64("doc_id", "text").alias("row")).join(stay.hint("shuffle_hash"), "row")
+    again = F.when(F.col("once"), F.lit(0)).otherwise(F.monotonically_increasing_id())
+    return rows.withColumn("again", again).dropDuplicates(["row", "again"]).select(*(f"c{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
