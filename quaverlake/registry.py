@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaverlake.operators import histograms, joins, labels
+from quaverlake.operators import histograms, joins, labels, scoring
 
-MODULES = (labels, joins, histograms)
+MODULES = (labels, joins, histograms, scoring)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.SQL.items()}
