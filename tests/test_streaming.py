@@ -43,7 +43,7 @@ def test_tumbling_windows(spark, tmp_path):
 def test_sessions(spark, tmp_path):
     n = notes(spark, DATA, shifted=True).filter("piece_id < 3").select("piece_id", "voice", "start").cache()
     w = W.partitionBy("piece_id", "voice").orderBy("start")
-    islands = n.withColumn("new", F.when(F.col("start") - F.lag("start").over(w) < 480, 0).otherwise(1)).withColumn("k", F.sum("new").over(w))
+    islands = n.withColumn("new", F.when(F.col("start") - F.lag("start").over(w) <= 480, 0).otherwise(1)).withColumn("k", F.sum("new").over(w))
     want = islands.groupBy("piece_id", "voice", "k").agg(F.min("start").alias("from_tick"), (F.max("start") + 480).alias("to_tick"), F.count(F.lit(1)).alias("n")).drop("k")
     same(run(spark, tmp_path, n, twins.phrases, [n.filter("start < 5000"), n.filter("start >= 5000")], "complete", "sessions"), want)
 
