@@ -1,12 +1,12 @@
 """Connected components of a table of links, by alternating large-star and small-star steps (Kiveris et al. 2014).
 
 Each step hooks neighbours to the least neighbour known; the links are written to the shared folder after each round, and
-the rounds end when a round changes nothing. Nothing but two sums a round reaches the driver.
+the rounds end when a round changes nothing. Nothing but a count and a sum a round reaches the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quaverlake.llm.common import materialize
@@ -15,24 +15,28 @@ from quaverlake.llm.common import materialize
 def large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(least, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def small_star(links: DataFrame) -> DataFrame:
-    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    hooked = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    """Links must go from the larger id (a) to the smaller (b), as large_star gives them."""
+    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    hooked = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return hooked.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
+def written(links: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The links, written, and their number and sum of hashes, which are taken while they are written."""
+    seen = Observation()
+    out = materialize(links.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), name)
+    return out, (seen.get["n"], seen.get["h"])
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """id and component (least id that links reach) of every id that stands in a link (a, b) with a <> b."""
-    digest = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    now = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = digest(now)
+    now, before = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
     while before[0]:
-        now = materialize(small_star(large_star(now)), "stars")
-        after = digest(now)
+        now, after = written(small_star(large_star(now)), "stars")
         if after == before:
             break
         before = after

@@ -11,8 +11,8 @@ meetings before any set is compared.
 
 Signatures that more than HOT sets share are left out of the pairs, and the spare of their sets goes down by as much. Sets
 that run out of spare that way (large groups of near copies), and those that fill too few partitions (small sets; they emit
-single shingles, by the prefix rule), are joined by stars around the set with the most such signatures, in rounds, and only
-what lies in different components after that is paired. Candidates are compared exactly, best partners first, and later only
+single shingles, by the prefix rule), are joined by stars around the set with the most such signatures, and only what
+lies in different components after that is paired. Candidates are compared exactly, best partners first, and later only
 across components, so that no link between different components is lost and copies aren't expanded into all pairs.
 
 Texts are lower-cased (A-Z) and split at ASCII white space; fewer than WIDTH words are one run. Null texts and texts without
@@ -41,10 +41,13 @@ BAND = 1.5625
 SPARE = 0.12
 #: Sets that may share a signature before it counts as hot.
 HOT = 64
+#: The spare that can be told; more counts as that. Sizes are told in classes of this ratio; similar sets are few apart.
+MOST_SPARE, SIZE_STEP = 8000, 1.02
+SIZE_APART = int(np.log(OF / AT_LEAST) / np.log(SIZE_STEP)) + 1
+#: Sets of the crowd that meet in one block.
+BLOCK = 1024
 #: Sets that one task compares with a held set before it is held again in another.
 FAN = 256
-#: Rounds of stars among sets with hot signatures before what is left is paired.
-STARS = 4
 
 
 def bounds() -> np.ndarray:
@@ -69,7 +72,8 @@ def set_id(s: np.ndarray) -> int:
 def signatures(s: np.ndarray) -> list[tuple[np.ndarray, int]]:
     """(signatures, info) of a set for each band that it takes part in; info packs the spare, the band and what kind it is.
 
-    info: spare + 1 in the bits from 8 on, home band in bits 2 to 7, bit 1 for single shingles, bit 0 for the next band.
+    info: spare + 1 in the bits from 18 on, the size's class in bits 8 to 17, home band in bits 2 to 7, bit 1 for single
+    shingles, bit 0 for the next band.
     """
     n = len(s)
     if n <= BOUNDS[0]:
@@ -79,6 +83,7 @@ def signatures(s: np.ndarray) -> list[tuple[np.ndarray, int]]:
     allowed = n // 4
     wanted = allowed + 1 + int(np.ceil(SPARE * allowed)) + 1
     mixed = mix(s)
+    size = int(np.log(n) / np.log(SIZE_STEP)) << 8
     for band in (home, home + 1) if n * OF // AT_LEAST > BOUNDS[home] else (home,):
         parts = int(0.32 * BOUNDS[band]) + 4
         seed = np.uint64(band * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
@@ -90,9 +95,9 @@ def signatures(s: np.ndarray) -> list[tuple[np.ndarray, int]]:
             first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
             folded = np.add.reduceat(mixed[order], first)
             sig = mix(folded ^ mix(ranked[first].astype(np.uint64) + seed))[:wanted]
-        spare = max(len(sig) - allowed - 1, -1)
-        kind = home << 2 | (band > home)
-        out.append((sig, (spare + 1) << 8 | kind))
+        spare = min(max(len(sig) - allowed - 1, -1), MOST_SPARE)
+        kind = size | home << 2 | (band > home)
+        out.append((sig, (spare + 1) << 18 | kind))
         if spare < 0:
             prefix = n - -(-n * AT_LEAST // OF) + 1
             out.append((mix(s[:prefix] ^ np.uint64(0x5555)), kind | 2))
@@ -148,7 +153,7 @@ def meetings(rows: DataFrame) -> DataFrame:
     def hot_rows(sig: np.ndarray, sid: np.ndarray, info: np.ndarray) -> pa.RecordBatch:
         n = len(sig)
         none = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(sid), none, pa.nulls(n, pa.int32()), pa.array((info >> 8).astype(np.int32) - 1), pa.array(band_of(info)), pa.array(sig)], schema=arrow)
+        return pa.RecordBatch.from_arrays([pa.array(sid), none, pa.nulls(n, pa.int32()), pa.array((info >> 18).astype(np.int32) - 1), pa.array(band_of(info)), pa.array(sig)], schema=arrow)
 
     def band_of(info: np.ndarray) -> np.ndarray:
         return ((info >> 2 & 63) + (info & 1)).astype(np.int32)
@@ -163,11 +168,12 @@ def meetings(rows: DataFrame) -> DataFrame:
         a, b = np.concatenate(left), np.concatenate(right)
         home = info >> 2 & 63
         band = band_of(info)
-        meet = (band[a] == np.maximum(home[a], home[b])) | (info[a] & 2 > 0)
+        size_ = info >> 8 & 1023
+        meet = ((band[a] == np.maximum(home[a], home[b])) | (info[a] & 2 > 0)) & (np.abs(size_[a] - size_[b]) <= SIZE_APART)
         a, b = a[meet], b[meet]
         if not len(a):
             return None
-        spare = np.minimum(info[a] >> 8, info[b] >> 8).astype(np.int32) - 1
+        spare = np.minimum(info[a] >> 18, info[b] >> 18).astype(np.int32) - 1
         key = np.stack([sid[a], sid[b]], axis=1)
         order = np.lexsort((key[:, 1], key[:, 0]))
         key, spare, where = key[order], spare[order], band[a][order]
@@ -287,48 +293,111 @@ def similarity_groups(docs: DataFrame, ids: DataFrame) -> DataFrame:
         # a hot signature matters if a set without spare has it; partners share at least 1 + the least such spare
         used = hot.drop("spare").join(usage, ["sid", "band"])
         least = used.filter("hot > spare").groupBy("sig").agg(F.min("spare").alias("least"))
-        crowd = materialize(used.join(least, "sig").filter(F.col("hot") >= F.greatest(F.lit(1), F.col("least") + 1)).select("sig", "sid", "spare", "hot"), "crowd")
+        crowd = materialize(used.join(least, "sig").filter(F.col("hot") >= F.greatest(F.lit(1), F.col("least") + 1)).select("sig", "sid", "band", "spare", "hot"), "crowd")
         wanted = wanted.union(crowd.select("sid"))
     sets = materialize(candidate_sets(docs, ids, wanted.distinct()), "sets")
-    links = compare(best_partner(both_ways(pairs)), sets)
+    # best partners first, then what lies in different components after that, last the crowd's own pairs
+    first = best_partner(both_ways(pairs))
+    links = materialize(compare(first.union(star_pairs(crowd, None)) if any_hot else first, sets), "links-best")
+    groups = connected_components(links)
+    rest = across(pairs, groups).select("a", "b")
+    rest = materialize(compare(rest.union(star_pairs(crowd, groups)) if any_hot else rest, sets), "links-rest")
+    if not rest.isEmpty():
+        links = links.union(rest)
+        groups = connected_components(links)
     if any_hot:
-        links = materialize(links.union(star_links(crowd, None, sets)), "links-0")
-        for k in range(1, STARS):
-            groups = connected_components(links)
-            more = materialize(star_links(crowd, groups, sets), f"links-{k}")
-            if more.isEmpty():
-                break
-            links = links.union(more)
-    links = materialize(links, "links-best")
-    groups = materialize(connected_components(links), "groups")
-    rest = compare(across(pairs, groups).select("a", "b"), sets)
-    if any_hot:
-        rest = rest.union(compare(crowd_pairs(crowd, groups), sets))
-    rest = materialize(rest, "links-rest")
-    return groups if rest.isEmpty() else connected_components(links.union(rest))
+        last = materialize(compare(crowd_pairs(crowd, groups, sets), sets), "links-crowd")
+        if not last.isEmpty():
+            groups = connected_components(links.union(last))
+    return groups
 
 
 def mixed_crowd(crowd: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """The crowd's rows of signatures whose sets lie in more than one component, with their component."""
-    own = grouped(crowd, "sid", groups) if groups is not None else crowd.withColumn("group_sid", F.col("sid"))
+    """The crowd's rows of signatures whose sets lie in more than one component (all, while there are none), with their component."""
+    if groups is None:
+        return crowd.withColumn("group_sid", F.col("sid"))
+    own = grouped(crowd, "sid", groups)
     mixed = own.groupBy("sig").agg(F.min("group_sid").alias("lo"), F.max("group_sid").alias("hi")).filter("lo <> hi").select("sig")
     return own.join(mixed, "sig")
 
 
-def star_links(crowd: DataFrame, groups: DataFrame | None, sets: DataFrame) -> DataFrame:
-    """Links of sets with the set of the most hot signatures among those they share one with, outside their component."""
+def star_pairs(crowd: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Each set with the set of the most hot signatures among those it shares one with, outside its component."""
     rows = mixed_crowd(crowd, groups)
     hub = rows.groupBy("sig").agg(F.max(F.struct("hot", F.xxhash64("sid").alias("h"), "sid", "group_sid")).alias("hub"))
     pairs = rows.join(hub, "sig").filter("group_sid <> hub.group_sid").groupBy(F.col("hub.sid").alias("a"), F.col("sid").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    return compare(best_partner(pairs), sets)
+    return best_partner(pairs)
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """sid, band, n and the counts of a set's hashes in buckets, as many as the band's sizes, for both bands of a set."""
+    schema = "sid bigint, band int, n int, sketch binary"
+    arrow = schema_of(sets.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for sid, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = np.frombuffer(raw, np.uint64)
+                home = int(np.searchsorted(BOUNDS, len(s)))
+                for band in (home, home + 1):
+                    bits = int(np.clip(np.ceil(np.log2(BOUNDS[band])), 4, 12))
+                    counts = np.bincount((mix(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                    rows.append((sid, band, len(s), np.minimum(counts, 255).astype(np.uint8).tobytes()))
+            if rows:
+                yield to_batch(rows, arrow)
 
+    return sets.select("sid", "s").mapInArrow(run, schema)
 
-def crowd_pairs(crowd: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of a set without spare and another set of its hot signatures, across components, that share enough of them."""
+
+def crowd_pairs(crowd: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of a set without spare and another set of its hot signatures, across components, that share enough of them.
+
+    A signature's sets are dealt into chunks, and each pair of chunks meets in a block of its own. There only those pairs
+    are made whose sizes and bucket counts allow the similarity: counts differ by no more than the sets do.
+    """
     rows = mixed_crowd(crowd, groups)
-    short = rows.filter("hot > spare").select("sig", F.col("sid").alias("a"), F.col("group_sid").alias("group_a"), "spare")
-    other = rows.select("sig", F.col("sid").alias("b"), F.col("group_sid").alias("group_b"))
-    met = short.join(other, "sig").filter("group_a <> group_b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("spare").alias("spare"))
+    sizes = rows.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
+    dealt = rows.join(sizes, "sig").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    sketched = sketches(sets.join(rows.select("sid").distinct(), "sid", "left_semi"))
+    dealt = dealt.join(sketched, ["sid", "band"]).select("sig", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "sid", "group_sid", "spare", (F.col("hot") > F.col("spare")).alias("short"), "n", "sketch")
+    blocks = dealt.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
+    schema = "a bigint, b bigint, spare int"
+    arrow = schema_of(crowd.sparkSession, schema)
+
+    def meet(rows: list[tuple]) -> list[tuple]:
+        chunk, sid, group, spare, short, n = (np.array([r[i] for r in rows]) for i in (3, 4, 5, 6, 7, 8))
+        across_chunks = rows[0][1] != rows[0][2]
+        width = np.array([len(r[9]) for r in rows])
+        counts = {w: np.stack([np.frombuffer(r[9], np.uint8) if len(r[9]) == w else np.zeros(w, np.uint8) for r in rows]).astype(np.int16) for w in set(width.tolist())}
+        out = []
+        for i in range(len(rows)):
+            j = np.arange(i + 1, len(rows))
+            ok = (group[j] != group[i]) & (short[j] | short[i]) & (OF * np.minimum(n[j], n[i]) >= AT_LEAST * np.maximum(n[j], n[i]))
+            if across_chunks:
+                ok &= chunk[j] != chunk[i]
+            j = j[ok]
+            told = width[j] == width[i]
+            apart = np.abs(counts[width[i]][j] - counts[width[i]][i]).sum(axis=1)
+            j = j[~told | (apart * (OF + AT_LEAST) <= (OF - AT_LEAST) * (n[j] + n[i]))]
+            for k in j.tolist():
+                least = min(spare[x] for x in (i, k) if short[x])
+                out.append((int(min(sid[i], sid[k])), int(max(sid[i], sid[k])), int(least)))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in _with_end(batches):
+            for row in [None] if batch is None else zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (row is None or row[:3] != held[0][:3]):
+                    if found := meet(held):
+                        yield to_batch(found, arrow)
+                    held = []
+                if row is not None:
+                    held.append(row)
+
+    met = blocks.mapInArrow(run, schema).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("spare").alias("spare"))
     return met.filter(F.col("shared") >= F.greatest(F.lit(1), F.col("spare") + 1)).select("a", "b")
 
 
