@@ -8,11 +8,12 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from quaverlake.llm.bpe import op6_bpe
-from quaverlake.llm.neardup import op9_near_dup
 from quaverlake.llm.jaccard import op3_jaccard
 from quaverlake.llm.language import op4_language
 from quaverlake.llm.licences import op10_licences
 from quaverlake.llm.linededup import op7_line_dedup
+from quaverlake.llm.neardup import op9_near_dup
+from quaverlake.llm.oracle import SQL as ORACLE
 from quaverlake.llm.packing import op8_packing
 from quaverlake.llm.pii import op1_pii
 from quaverlake.llm.quality import op2_quality
@@ -32,6 +33,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {}
-if corpus_pipeline.ORACLE_SQL:
-    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+SQL: dict[str, str] = ORACLE | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
