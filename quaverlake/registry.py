@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaverlake.operators import corpus, histograms, joins, labels, runs, sampling, scoring, sequences
+from quaverlake.operators import corpus, histograms, joins, labels, measures, runs, sampling, scoring, sequences
 
-MODULES = (labels, joins, histograms, scoring, sampling, sequences, corpus, runs)
+MODULES = (labels, joins, histograms, scoring, sampling, sequences, corpus, runs, measures)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.SQL.items()}
