@@ -71,7 +71,7 @@ def statistical(n: DataFrame) -> DataFrame:
         whole = rows.select(value.cast("int").alias("bin")).filter("bin is not null").agg(*(F.count_if(F.col("bin") == b).alias(f"b{b}") for b in range(bins)))
         total = sum((F.col(f"b{b}") for b in range(1, bins)), F.col("b0"))
         ref = whole.select(F.array(*(F.round(F.col(f"b{b}") / total, 9) for b in range(bins))).alias(f"ref_{name}"))
-        out = out.join(piece_vectors(rows, value, bins, name), "piece_id").crossJoin(F.broadcast(ref))  # the reference is one row
+        out = out.join(piece_vectors(rows, value, bins, name), "piece_id").crossJoin(F.broadcast(ref))  # the corpus' shares are one row
     entropy = F.aggregate("bi", F.lit(0.0), lambda acc, p: acc - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
     score = 0.20 * distance(F.col("pc"), F.col("ref_pc")) + 0.25 * distance(F.col("iv"), F.col("ref_iv")) + 0.20 * distance(F.col("du"), F.col("ref_du")) + 0.35 * (entropy / 4.643856189774724 * 0.5)
     return out.select("piece_id", F.round(F.greatest(F.lit(0.0), 1 - 2 * score), 6).alias("statistical"))
