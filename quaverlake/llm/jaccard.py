@@ -353,29 +353,41 @@ def sketches(sets: DataFrame) -> DataFrame:
 def crowd_pairs(crowd: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of a set without spare and another set of its hot signatures, across components, that share enough of them.
 
-    A signature's sets are dealt into chunks, and each pair of chunks meets in a block of its own. There only those pairs
-    are made whose sizes and bucket counts allow the similarity: counts differ by no more than the sets do.
+    In a signature's crowd the largest component is dealt into chunks, and so are the others together; each chunk of the one
+    meets each chunk of the others in a block of its own, and these meet each other. So the many that are one component
+    already are not repeated. Only pairs are made whose sizes and bucket counts allow the similarity: counts differ by no
+    more than the sets do.
     """
     rows = mixed_crowd(crowd, groups)
-    sizes = rows.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
-    dealt = rows.join(sizes, "sig").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    parts = rows.groupBy("sig", "group_sid").agg(F.count(F.lit(1)).alias("c"))
+    sizes = parts.groupBy("sig").agg(F.max(F.struct("c", "group_sid")).alias("main"), F.sum("c").alias("c"))
+    chunks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK)).cast("int")
+    sizes = sizes.select("sig", F.col("main.group_sid").alias("main"), chunks(F.col("main.c")).alias("k_main"), chunks(F.col("c") - F.col("main.c")).alias("k_rest"))
+    dealt = rows.join(sizes, "sig").withColumn("rest", F.col("group_sid") != F.col("main"))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("sid"), F.when(F.col("rest"), F.col("k_rest")).otherwise(F.col("k_main"))).cast("int"))
+    upto = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+    block = lambda kind, lo, hi: F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"))
+    chunk = F.col("chunk")
+    of_main = F.transform(upto("k_rest"), lambda j: block(0, chunk, j))
+    of_rest = F.concat(F.transform(upto("k_main"), lambda i: block(0, i, chunk)), F.transform(upto("k_rest"), lambda j: block(1, F.least(chunk, j), F.greatest(chunk, j))))
+    dealt = dealt.withColumn("block", F.when(F.col("rest"), of_rest).otherwise(of_main))
     sketched = sketches(sets.join(rows.select("sid").distinct(), "sid", "left_semi"))
-    dealt = dealt.join(sketched, ["sid", "band"]).select("sig", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "sid", "group_sid", "spare", (F.col("hot") > F.col("spare")).alias("short"), "n", "sketch")
-    blocks = dealt.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
+    dealt = dealt.join(sketched, ["sid", "band"]).select("sig", F.explode("block").alias("block"), "rest", "chunk", "sid", "group_sid", "spare", (F.col("hot") > F.col("spare")).alias("short"), "n", "sketch")
+    dealt = dealt.select("sig", "block.kind", "block.lo", "block.hi", "rest", "chunk", "sid", "group_sid", "spare", "short", "n", "sketch")
+    blocks = dealt.repartition("sig", "kind", "lo", "hi").sortWithinPartitions("sig", "kind", "lo", "hi")
     schema = "a bigint, b bigint, spare int"
     arrow = schema_of(crowd.sparkSession, schema)
 
     def meet(rows: list[tuple]) -> list[tuple]:
-        chunk, sid, group, spare, short, n = (np.array([r[i] for r in rows]) for i in (3, 4, 5, 6, 7, 8))
-        across_chunks = rows[0][1] != rows[0][2]
-        width = np.array([len(r[9]) for r in rows])
-        counts = {w: np.stack([np.frombuffer(r[9], np.uint8) if len(r[9]) == w else np.zeros(w, np.uint8) for r in rows]).astype(np.int16) for w in set(width.tolist())}
+        kind, lo, hi = rows[0][1:4]
+        rest, chunk, sid, group, spare, short, n = (np.array([r[i] for r in rows]) for i in range(4, 11))
+        width = np.array([len(r[11]) for r in rows])
+        counts = {w: np.stack([np.frombuffer(r[11], np.uint8) if len(r[11]) == w else np.zeros(w, np.uint8) for r in rows]).astype(np.int16) for w in set(width.tolist())}
         out = []
-        for i in range(len(rows)):
-            j = np.arange(i + 1, len(rows))
+        for i in np.flatnonzero(rest).tolist():
+            j = np.flatnonzero(~rest) if kind == 0 else np.arange(i + 1, len(rows))
             ok = (group[j] != group[i]) & (short[j] | short[i]) & (OF * np.minimum(n[j], n[i]) >= AT_LEAST * np.maximum(n[j], n[i]))
-            if across_chunks:
+            if kind == 1 and lo != hi:
                 ok &= chunk[j] != chunk[i]
             j = j[ok]
             told = width[j] == width[i]
@@ -390,7 +402,7 @@ def crowd_pairs(crowd: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFra
         held: list[tuple] = []
         for batch in _with_end(batches):
             for row in [None] if batch is None else zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (row is None or row[:3] != held[0][:3]):
+                if held and (row is None or row[:4] != held[0][:4]):
                     if found := meet(held):
                         yield to_batch(found, arrow)
                     held = []
@@ -415,12 +427,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without all but one (the least doc_id) of each component; documents with an empty set all stay."""
+    """The documents without all but one (the least doc_id) of each component; documents with an empty set all stay.
+
+    Of rows that agree in doc_id and text one stays if the set is not empty; else rows must agree in all columns for that.
+    """
     found = jaccard_components(docs)
     first = found.filter("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"), F.lit(True).alias("once"))
     stay = first.union(found.filter("group is null").select("row", F.lit(False).alias("once")).distinct())
     rows = docs.select(*(docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)), F.xxhash64("doc_id", "text").alias("row")).join(stay.hint("shuffle_hash"), "row")
-    again = F.when(F.col("once"), F.lit(0)).otherwise(F.monotonically_increasing_id())
+    again = F.when(F.col("once"), F.lit(0).cast("long")).otherwise(F.xxhash64(*(f"c{i}" for i in range(len(docs.columns)))))
     return rows.withColumn("again", again).dropDuplicates(["row", "again"]).select(*(f"c{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)
 
 

@@ -63,9 +63,10 @@ def near_copies(seed=4):
     return [(i, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("hot", [64, 4])
-def test_jaccard_equals_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "block"), [(64, 1024), (4, 8)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, hot, block):
     monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = near_copies()
     sets = {i: shingle_set(t) for i, t in rows}
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
