@@ -1,10 +1,12 @@
 """Operator 7: line dedup by winnowing over line hashes.
 
 A passage counts as repeated when a run of whole lines with at least PASSAGE words occurs earlier: in an earlier document by
-doc_id, or earlier in the same one. For each line the window is the shortest run from there with that many words. The
-least line hash in a window is its fingerprint, so two equal runs always share one, and what joins is (fingerprint, window
-hash) with positions. Only the first position of each is looked up, never all pairs. Matching windows that overlap extend
-a match both ways, up to the whole repeated run, and their lines go from all places but the first.
+doc_id, or earlier in the same one. Each line has two windows: the shortest run from there, and the shortest run up to
+there, with that many words. A line of a repeated run has one of the two inside the run (the one from there, or else, where
+too few words follow, the one up to the run's last line covers it), so both kinds together reach the whole repeated run and
+nothing beyond it. The least line hash in a window is its fingerprint, so two equal runs always share one, and what joins is
+(fingerprint, window hash) with positions. Only the first position of each is looked up, never all pairs, and the lines of
+matching windows go from all places but the first.
 
 Lines are compared without white space at their ends; lines without words take no part and go only inside a deleted run.
 A run that overlaps its own first place keeps that place. Null and empty texts stay as they are. Rows that agree in
@@ -26,24 +28,26 @@ SPACE = b" \t\n\x0b\x0c\r"
 
 
 def windows(text: str | None, passage: int) -> list[tuple[int, int, int, int]]:
-    """(fingerprint, window hash, first line, last line) of each window of whole lines."""
+    """(fingerprint, window hash, first line, last line) of each window of whole lines; one that is shortest both ways comes once."""
     hashes, words, at = [], [], []
     for i, line in enumerate(as_text(text).encode().split(b"\n")):
         if n := len(line.split()):
             hashes.append(xxhash.xxh3_64_intdigest(line.strip(SPACE)))
             words.append(n)
             at.append(i)
-    out = []
-    ends = np.cumsum(words)
+    if not words:
+        return []
     total = np.zeros(len(words) + 1, np.int64)
-    total[1:] = ends
-    last = np.searchsorted(ends, total[:-1] + passage) if words else []
-    for first, end in enumerate(last):
-        if end >= len(words):
-            break
-        run = hashes[first : end + 1]
+    total[1:] = np.cumsum(words)
+    end = np.searchsorted(total[1:], total[:-1] + passage)
+    pairs = [(a, b) for a, b in enumerate(end.tolist()) if b < len(words)]
+    begin = np.searchsorted(total, total[1:] - passage, "right") - 1
+    pairs += [(a, b) for b, a in enumerate(begin.tolist()) if a >= 0 and end[a] != b]
+    out = []
+    for a, b in pairs:
+        run = hashes[a : b + 1]
         digest = xxhash.xxh3_64_intdigest(np.array(run, np.uint64).tobytes())
-        out.append((signed(min(run)), signed(digest), at[first], at[end]))
+        out.append((signed(min(run)), signed(digest), at[a], at[b]))
     return out
 
 

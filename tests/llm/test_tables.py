@@ -112,6 +112,37 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == plain_line_dedup(rows)
 
 
+def maximal_line_dedup(rows, passage=50):
+    """Every run of whole lines with enough words, of any length, that stood earlier goes."""
+    seen, out = {}, {}
+    for d, text in sorted(rows):
+        lines = text.split("\n")
+        at = [i for i, x in enumerate(lines) if x.split()]
+        gone = set()
+        for a in range(len(at)):
+            for b in range(a, len(at)):
+                key = tuple(lines[i].strip() for i in at[a : b + 1])
+                if sum(len(x.split()) for x in key) >= passage:
+                    first, end = seen.setdefault(key, (d, at[b]))
+                    if (first, end) != (d, at[b]):
+                        gone |= set(range(at[a] if first != d else max(at[a], end + 1), at[b] + 1))
+        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_line_dedup_removes_whole_runs(spark):
+    rng = np.random.default_rng(9)
+    line = lambda n: " ".join(f"t{rng.integers(0, 10**6)}" for _ in range(n))
+    a, b, c = line(60), line(10), line(10)
+    rows = [(1, "\n".join([line(3), a, b, c, line(5)])), (2, "\n".join([line(8), a, b, "", c, line(4)])), (3, "\n".join([line(60), b])), (4, "\n".join([line(9), a]))]
+    rows += [(5, rows[2][1]), (6, "\n".join([b, c, a, b, a, b, c])), (7, "\n".join([line(20), line(20)])), (8, "\n".join([line(9), c]))]
+    pool = [line(int(n)) for n in (1, 2, 5, 9, 14, 22, 31, 49, 50, 70)]
+    rows += [(d, "\n".join(pool[i] for i in rng.integers(0, 10, int(rng.integers(1, 12))))) for d in range(10, 130)]
+    got = {r.doc_id: r.text for r in linededup.line_dedup(spark.createDataFrame(rows, DOCS), ["doc_id"]).collect()}
+    assert got[5] == "" and not {a, b, c} & set(got[2].split("\n"))
+    assert got == maximal_line_dedup(rows)
+
+
 def test_line_dedup_edges(spark):
     docs = spark.createDataFrame([(1, None, 3), (2, "", 3), (2, "", 3), (None, "a\nb", 3)], DOCS + ", n_lines int")
     out = linededup.line_dedup(docs, ["doc_id", "n_lines"], prefix="_").select("doc_id", "n_lines", "_text").collect()
