@@ -2,9 +2,10 @@
 
 Lines with a licence cue, and the lines between cues that stand close, form candidate blocks. Each block is compressed with
 each template as a raw zstandard dictionary; templates are ranked by how much that shrinks the block against no dictionary.
-The best RANKED are then compared word by word: the template words that the block holds in order give the coverage, and
-what is missing or added within the match is reported. A template with COVERAGE or more is confirmed; of confirmed ones that
-overlap in the block, the one that explains more words stays. A block may hold several licences.
+The ranking is an order only: all are compared word by word. The template words that the block holds in order give the
+coverage, and what is missing or added within the match is reported. A template with COVERAGE or more is confirmed; of
+confirmed ones that overlap in the block, the one that explains more words stays, then the one ranked first. What remains of
+the block on both sides of a confirmed match is ranked and compared again, until nothing more is confirmed.
 
 Null and empty texts and texts without cues have no findings; whole texts are read, and blocks have no length limit (a long
 block is compared in overlapping windows of words). Repeated rows give repeated findings.
@@ -42,7 +43,7 @@ TEMPLATES = {
 CUES = ("licens", "licenc", "rights reserved", "copyright", "permission is hereby", "redistribution and use", "free software", "mozilla public", "without warrant")
 #: Lines without a cue that may stand between two cues of one block.
 BRIDGE = 2
-RANKED, COVERAGE = 3, 0.9
+COVERAGE = 0.9
 #: Words within a match that are not the template's, as a share of its words, that a confirmed match may have.
 NOISE = 0.2
 #: Words of a block that are compared at once, in steps of half of that beyond the longest template.
@@ -119,18 +120,24 @@ class Scanner:
             block = text[begin:end]
             at = [(m.start(), m.end()) for m in WORD.finditer(block)]
             words = [block[a:b].lower() for a, b in at]
-            rank = self.ranked(block)
-            # a long block may hold several notices: a template competes wherever it saves something
-            confirmed = []
-            for saved, name in rank[:RANKED] if len(words) <= 40 else [r for r in rank if r[0] > 0]:
-                found = self.compare(words, name)
-                if found and found[0] >= COVERAGE:
-                    confirmed.append((-found[0] * len(self.words[name]), self.order[name], found[0], found[1], found[2], name, saved, found[3]))
-            taken: list[tuple[int, int]] = []
-            for _, _, coverage, lo, hi, name, saved, differences in sorted(confirmed):
-                if all(hi <= a or b <= lo for a, b in taken):
-                    taken.append((lo, hi))
-                    out.append((begin + at[lo][0], begin + at[hi - 1][1], name, round(saved, 6), round(coverage, 6), differences))
+            todo = [(0, len(words))]
+            while todo:
+                left, right = todo.pop()
+                if left == right:
+                    continue
+                confirmed = []
+                for rank, (saved, name) in enumerate(self.ranked(block[at[left][0] : at[right - 1][1]])):
+                    found = self.compare(words[left:right], name)
+                    if found and found[0] >= COVERAGE:
+                        confirmed.append((-found[0] * len(self.words[name]), rank, found[0], left + found[1], left + found[2], name, saved, found[3]))
+                taken: list[tuple[int, int]] = []
+                for _, _, coverage, lo, hi, name, saved, differences in sorted(confirmed):
+                    if all(hi <= a or b <= lo for a, b in taken):
+                        taken.append((lo, hi))
+                        out.append((begin + at[lo][0], begin + at[hi - 1][1], name, round(saved, 6), round(coverage, 6), differences))
+                if taken:
+                    edges = [left, *(e for pair in sorted(taken) for e in pair), right]
+                    todo += zip(edges[::2], edges[1::2], strict=True)
         return sorted(out)
 
 

@@ -121,6 +121,17 @@ def test_licences_found_and_told_apart():
     assert found["licence"] == "MIT-text" and "+program" in found["differences"]
 
 
+def licence_names(text):
+    return [f["licence"] for f in licences.findings(text)[0]]
+
+
+def test_licences_beyond_the_best_ranked():
+    t = licences.TEMPLATES
+    for names in (["GPL-3.0", "all-rights-reserved"], ["CC-BY-4.0", "all-rights-reserved"], ["MIT", "CC-BY-4.0", "GPL-3.0", "all-rights-reserved"], ["LGPL-3.0", "MIT", "GPL-2.0", "GPL-3.0"]):
+        for order in (names, names[::-1]):
+            assert licence_names("\n".join(t[n] for n in order)) == order
+
+
 def test_viterbi_equals_plain():
     rng = np.random.default_rng(2)
     sizes = np.array([5, 0, 1, 9, 3])
