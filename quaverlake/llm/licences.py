@@ -1,21 +1,25 @@
 """Operator 10: licence scans by conditional compression.
 
-Lines with a licence cue, and the lines between cues that stand close, form candidate blocks. Each block is compressed with
-each template as a raw zstandard dictionary; templates are ranked by how much that shrinks the block against no dictionary.
-The ranking is an order only: all are compared word by word. The template words that the block holds in order give the
-coverage, and what is missing or added within the match is reported. A template with COVERAGE or more is confirmed; of
-confirmed ones that overlap in the block, the one that explains more words stays, then the one ranked first. What remains of
-the block on both sides of a confirmed match is ranked and compared again, until nothing more is confirmed.
-
-Null and empty texts and texts without cues have no findings; whole texts are read, and blocks have no length limit (a long
-block is compared in overlapping windows of words). Repeated rows give repeated findings.
+Lines with a licence cue, and the lines between cues that stand close, form candidate blocks. Each template is looked for
+in a block word by word, wherever a run of words as long as a match may be holds enough of the template's words, in any
+order; no match lies elsewhere, so blocks have no length limit and all places of a template are found. The template words
+that a match holds in order give the coverage, and what is missing or added within it is reported. A template with COVERAGE
+or more is confirmed there. Each match is compressed with its template as a raw zstandard dictionary: of confirmed ones that
+overlap, the one that explains more words stays, then the one whose template shrinks it most against no dictionary. What
+remains of the block beside matches that stay is looked through again, until no match had to give way.
+
+Null and empty texts and texts without cues have no findings; whole texts are read. Repeated rows give repeated findings.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,8 +50,6 @@ BRIDGE = 2
 COVERAGE = 0.9
 #: Words within a match that are not the template's, as a share of its words, that a confirmed match may have.
 NOISE = 0.2
-#: Words of a block that are compared at once, in steps of half of that beyond the longest template.
-WINDOW = 400
 #: Words that a block may have between two runs of a match beyond those that the template has there.
 BETWEEN = 8
 LEVEL = 3
@@ -60,6 +62,10 @@ class Scanner:
         self.given = {k: zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in templates.items()}
         self.words = {k: [m.group().lower() for m in WORD.finditer(t)] for k, t in templates.items()}
         self.order = {k: i for i, k in enumerate(templates)}
+        self.bags = {k: Counter(w) for k, w in self.words.items()}
+        #: Template words that a match has at least, and words of any kind that it has at most.
+        self.least = {k: math.ceil(COVERAGE * len(w) - 1e-9) for k, w in self.words.items()}
+        self.most = {k: len(w) + int(NOISE * len(w) + 1e-9) for k, w in self.words.items()}
 
     def blocks(self, text: str) -> list[tuple[int, int]]:
         """Start and end (code points) of candidate blocks of whole lines."""
@@ -78,41 +84,100 @@ class Scanner:
             at += len(line) + 1
         return [(a, b) for a, b, _ in out]
 
-    def ranked(self, block: str) -> list[tuple[float, str]]:
-        """(share of the size saved, template), most first."""
-        raw = block.encode()
-        plain = len(self.plain.compress(raw))
-        saved = [(1 - len(c.compress(raw)) / plain, k) for k, c in self.given.items()]
-        return sorted(saved, key=lambda x: (-x[0], self.order[x[1]]))
+    def saved(self, text: str, name: str) -> float:
+        """Share of the size that the template saves."""
+        raw = text.encode()
+        return 1 - len(self.given[name].compress(raw)) / len(self.plain.compress(raw))
 
-    def compare(self, words: list[str], name: str) -> tuple[float, int, int, str] | None:
-        """Coverage, first and last word in the block and the differences of the best match of a template."""
+    def starts(self, words: list[str], name: str) -> list[int]:
+        """All places where a match may begin: a template word from which as many words as a match may have hold enough of the template's."""
+        bag, least, most = self.bags[name], self.least[name], self.most[name]
+        held: Counter = Counter()
+        right = common = 0
+        out = []
+        for left, word in enumerate(words):
+            while right < len(words) and right < left + most:
+                w = words[right]
+                if w in bag:
+                    held[w] += 1
+                    common += held[w] <= bag[w]
+                right += 1
+            if word in bag:
+                if common >= least:
+                    out.append(left)
+                common -= held[word] <= bag[word]
+                held[word] -= 1
+        return out
+
+    def judged(self, words: list[str], begin: int, pairs: list[tuple[int, int]], name: str) -> tuple[int, int, float, str] | None:
+        """First and last word, coverage and differences of a match, given as places in the template and from begin on, if it is confirmed."""
         wanted = self.words[name]
-        best = None
-        step = WINDOW // 2
-        for a in range(0, max(1, len(words) - len(wanted) - step), step):
-            part = words[a : a + WINDOW + len(wanted)]
-            match = SequenceMatcher(None, wanted, part, autojunk=False)
-            runs = [m for m in match.get_matching_blocks() if m.size]
-            if not runs:
+        if len(pairs) < self.least[name]:
+            return None
+        lo, hi = begin + pairs[0][1], begin + pairs[-1][1] + 1
+        if hi - lo - len(pairs) > self.most[name] - len(wanted):
+            return None
+        same, held = {a for a, _ in pairs}, {begin + b for _, b in pairs}
+        missing = [w for i, w in enumerate(wanted) if i not in same]
+        added = [words[i] for i in range(lo, hi) if i not in held]
+        return lo, hi, len(pairs) / len(wanted), " ".join([*("-" + w for w in missing), *("+" + w for w in added)])
+
+    def compare(self, words: list[str], begin: int, end: int, name: str) -> tuple[int, int, float, str] | None:
+        """The match around the longest run that a template and a range of words share."""
+        runs = [m for m in SequenceMatcher(None, self.words[name], words[begin:end], autojunk=False).get_matching_blocks() if m.size]
+        if not runs:
+            return None
+        # from the longest run outwards, as far as the block has not much more between two runs than the template
+        first = last = max(range(len(runs)), key=lambda i: runs[i].size)
+        while first and runs[first].b - runs[first - 1].b <= runs[first].a - runs[first - 1].a + BETWEEN:
+            first -= 1
+        while last + 1 < len(runs) and runs[last + 1].b - runs[last].b <= runs[last + 1].a - runs[last].a + BETWEEN:
+            last += 1
+        return self.judged(words, begin, [(m.a + i, m.b + i) for m in runs[first : last + 1] for i in range(m.size)], name)
+
+    def aligned(self, words: list[str], begin: int, name: str) -> tuple[int, int, float, str] | None:
+        """The match from a place on with the fewest differences, by longest common subsequence; a longer run of another match doesn't disturb it."""
+        wanted, part = self.words[name], words[begin : begin + self.most[name]]
+        code = {w: i for i, w in enumerate(self.bags[name])}
+        same = np.array([code[w] for w in wanted])[:, None] == np.array([code.get(w, -1) for w in part])
+        common = np.zeros((len(wanted) + 1, len(part) + 1), np.int64)
+        for i, row in enumerate(same):
+            common[i + 1, 1:] = np.maximum.accumulate(np.maximum(common[i, 1:], common[i, :-1] + row))
+        i, j = len(wanted), int(np.argmax(2 * common[-1] - np.arange(len(part) + 1)))
+        if common[i, j] < self.least[name]:
+            i, j = len(wanted), int(np.argmax(common[-1]))
+        pairs = []
+        while i and j:
+            if same[i - 1, j - 1] and common[i, j] == common[i - 1, j - 1] + 1:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+            elif common[i - 1, j] == common[i, j]:
+                i -= 1
+            else:
+                j -= 1
+        pairs.reverse()
+        if any(d - b > c - a + BETWEEN for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False)):
+            return None
+        return self.judged(words, begin, pairs, name)
+
+    def matches(self, words: list[str], name: str) -> list[tuple[int, int, float, str]]:
+        """Confirmed matches of a template that don't overlap."""
+        most, out, i = self.most[name], [], 0
+        starts = self.starts(words, name)
+        while i < len(starts):
+            # the places from which a match would overlap one from here are compared at once, then each on its own
+            j = bisect_right(starts, starts[i] + most)
+            found = self.compare(words, starts[i], starts[j - 1] + most, name)
+            if found is None:
+                found = max((f for k in starts[i:j] if (f := self.aligned(words, k, name))), key=lambda f: 2 * f[2] * len(self.words[name]) - (f[1] - f[0]), default=None)
+            if found is None:
+                i = j
                 continue
-            # from the longest run outwards, as far as the block has not much more between two runs than the template
-            first = last = max(range(len(runs)), key=lambda i: runs[i].size)
-            while first and runs[first].b - runs[first - 1].b <= runs[first].a - runs[first - 1].a + BETWEEN:
-                first -= 1
-            while last + 1 < len(runs) and runs[last + 1].b - runs[last].b <= runs[last + 1].a - runs[last].a + BETWEEN:
-                last += 1
-            runs = runs[first : last + 1]
-            lo, hi = runs[0].b, runs[-1].b + runs[-1].size
-            covered = sum(m.size for m in runs) / len(wanted)
-            same = {w for m in runs for w in range(m.a, m.a + m.size)}
-            held = {w for m in runs for w in range(m.b, m.b + m.size)}
-            missing = [w for i, w in enumerate(wanted) if i not in same]
-            added = [part[i] for i in range(lo, hi) if i not in held]
-            found = (covered - len(added) / len(wanted), covered, a + lo, a + hi, " ".join([*("-" + w for w in missing), *("+" + w for w in added)]))
-            if best is None or found[0] > best[0]:
-                best = found
-        return best and (best[1] if best[1] - best[0] <= NOISE else 0.0, best[2], best[3], best[4])
+            before = starts[i]
+            out += [(before + lo, before + hi, *rest) for lo, hi, *rest in self.matches(words[before : found[0]], name)]
+            out.append(found)
+            i = bisect_left(starts, found[1])
+        return out
 
     def scan(self, text: str) -> list[tuple]:
         out = []
@@ -123,21 +188,26 @@ class Scanner:
             todo = [(0, len(words))]
             while todo:
                 left, right = todo.pop()
-                if left == right:
-                    continue
+                part = words[left:right]
+                bag = Counter(part)
                 confirmed = []
-                for rank, (saved, name) in enumerate(self.ranked(block[at[left][0] : at[right - 1][1]])):
-                    found = self.compare(words[left:right], name)
-                    if found and found[0] >= COVERAGE:
-                        confirmed.append((-found[0] * len(self.words[name]), rank, found[0], left + found[1], left + found[2], name, saved, found[3]))
+                for name in self.words:
+                    if (bag & self.bags[name]).total() < self.least[name]:
+                        continue
+                    for lo, hi, coverage, differences in self.matches(part, name):
+                        span = begin + at[left + lo][0], begin + at[left + hi - 1][1]
+                        saved = self.saved(text[span[0] : span[1]], name)
+                        confirmed.append((-coverage * len(self.words[name]), -saved, self.order[name], lo, hi, span, name, coverage, differences))
+                # confirmed ones that stay, by their first word, for there may be many
                 taken: list[tuple[int, int]] = []
-                for _, _, coverage, lo, hi, name, saved, differences in sorted(confirmed):
-                    if all(hi <= a or b <= lo for a, b in taken):
-                        taken.append((lo, hi))
-                        out.append((begin + at[lo][0], begin + at[hi - 1][1], name, round(saved, 6), round(coverage, 6), differences))
-                if taken:
-                    edges = [left, *(e for pair in sorted(taken) for e in pair), right]
-                    todo += zip(edges[::2], edges[1::2], strict=True)
+                for _, minus, _, lo, hi, span, name, coverage, differences in sorted(confirmed):
+                    k = bisect_left(taken, (lo, hi))
+                    if (not k or taken[k - 1][1] <= lo) and (k == len(taken) or hi <= taken[k][0]):
+                        taken.insert(k, (lo, hi))
+                        out.append((*span, name, round(-minus, 6), round(coverage, 6), differences))
+                if len(taken) < len(confirmed):
+                    edges = [left, *(left + e for pair in taken for e in pair), right]
+                    todo += [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b]
         return sorted(out)
 
 

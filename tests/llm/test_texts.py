@@ -132,6 +132,26 @@ def test_licences_beyond_the_best_ranked():
             assert licence_names("\n".join(t[n] for n in order)) == order
 
 
+def test_licences_in_long_blocks():
+    rng = random.Random(4)
+    filler = [" ".join(f"w{rng.randrange(4000)}" for _ in range(9)) + " license" for _ in range(3000)]
+    for name in ("MIT", "MIT-text", "CC-BY-4.0", "GPL-3.0", "all-rights-reserved"):
+        lines = list(filler)
+        for at in (0, 1, 700, 2999):
+            lines.insert(at, licences.TEMPLATES[name])
+        assert licence_names("\n".join(lines)) == [name] * 4
+    names = [rng.choice(list(licences.TEMPLATES)) for _ in range(300)]
+    assert licence_names("\n".join(licences.TEMPLATES[n] for n in names)) == names
+
+
+def test_licences_partial_notice_beside_a_whole_one():
+    whole = licences.TEMPLATES["MIT-text"].split()
+    edited = [w for i, w in enumerate(whole) if i % 15 != 7]
+    for words in (whole[:60] + edited, edited + whole[:60], edited + whole):
+        found = licences.findings(" ".join(words))[0]
+        assert [f["licence"] for f in found] == ["MIT-text"] * (2 if words[-1] == whole[-1] and len(words) > 150 else 1)
+
+
 def test_viterbi_equals_plain():
     rng = np.random.default_rng(2)
     sizes = np.array([5, 0, 1, 9, 3])
