@@ -1,12 +1,13 @@
 """Operator 10: licence scans by conditional compression.
 
-Lines with a licence cue, and the lines between cues that stand close, form candidate blocks. Each template is looked for
-in a block word by word, wherever a run of words as long as a match may be holds enough of the template's words, in any
-order; no match lies elsewhere, so blocks have no length limit and all places of a template are found. The template words
-that a match holds in order give the coverage, and what is missing or added within it is reported. A template with COVERAGE
-or more is confirmed there. Each match is compressed with its template as a raw zstandard dictionary: of confirmed ones that
-overlap, the one that explains more words stays, then the one whose template shrinks it most against no dictionary. What
-remains of the block beside matches that stay is looked through again, until no match had to give way.
+A candidate block is a licence cue and as many words on both sides as the longest match may have; blocks that touch are one.
+White space, line ends and comment signs don't count, in cues either. Each template is looked for in a block word by word,
+wherever a run of words as long as a match may be holds enough of the template's words, in any order; no match lies
+elsewhere, so blocks have no length limit and all places of a template are found. The template words that a match holds in
+order give the coverage, and what is missing or added within it is reported. A template with COVERAGE or more is confirmed.
+Each match is compressed with its template as a raw zstandard dictionary: of confirmed ones that overlap, the one that
+explains more words stays, then the one whose template shrinks it most against no dictionary. What remains of the block
+beside matches that stay is looked through again, until no match had to give way.
 
 Null and empty texts and texts without cues have no findings; whole texts are read. Repeated rows give repeated findings.
 """
@@ -45,14 +46,15 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
 }
 CUES = ("licens", "licenc", "rights reserved", "copyright", "permission is hereby", "redistribution and use", "free software", "mozilla public", "without warrant")
-#: Lines without a cue that may stand between two cues of one block.
-BRIDGE = 2
 COVERAGE = 0.9
 #: Words within a match that are not the template's, as a share of its words, that a confirmed match may have.
 NOISE = 0.2
 #: Words that a block may have between two runs of a match beyond those that the template has there.
 BETWEEN = 8
 LEVEL = 3
+#: What every text with a cue holds, and cues with anything but words between their words.
+GATES = sorted({max(reversed(c.split()), key=len) for c in CUES})
+CUE = re.compile("|".join(r"[\W_]+".join(map(re.escape, c.split())) for c in CUES), re.IGNORECASE)
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -66,23 +68,26 @@ class Scanner:
         #: Template words that a match has at least, and words of any kind that it has at most.
         self.least = {k: math.ceil(COVERAGE * len(w) - 1e-9) for k, w in self.words.items()}
         self.most = {k: len(w) + int(NOISE * len(w) + 1e-9) for k, w in self.words.items()}
+        self.reach = max(self.most.values())
 
-    def blocks(self, text: str) -> list[tuple[int, int]]:
-        """Start and end (code points) of candidate blocks of whole lines."""
+    def blocks(self, text: str) -> list[list[tuple[int, int]]]:
+        """Start and end (code points) of the words of each candidate block."""
         low = text.lower()
-        if not any(c in low for c in CUES):
+        if not any(g in low for g in GATES):
             return []
+        cues = [m.span() for m in CUE.finditer(text)]
+        if not cues:
+            return []
+        at = [m.span() for m in WORD.finditer(text)]
+        ends, starts = [b for _, b in at], [a for a, _ in at]
         out: list[list[int]] = []
-        at = 0
-        for i, line in enumerate(text.split("\n")):
-            small = line.lower()
-            if any(c in small for c in CUES):
-                if out and i - out[-1][2] <= BRIDGE + 1:
-                    out[-1][1:] = [at + len(line), i]
-                else:
-                    out.append([at, at + len(line), i])
-            at += len(line) + 1
-        return [(a, b) for a, b, _ in out]
+        for a, b in cues:
+            first, last = max(0, bisect_right(ends, a) - self.reach), min(len(at), bisect_left(starts, b) + self.reach)
+            if out and first <= out[-1][1]:
+                out[-1][1] = last
+            else:
+                out.append([first, last])
+        return [at[a:b] for a, b in out]
 
     def saved(self, text: str, name: str) -> float:
         """Share of the size that the template saves."""
@@ -181,10 +186,8 @@ class Scanner:
 
     def scan(self, text: str) -> list[tuple]:
         out = []
-        for begin, end in self.blocks(text):
-            block = text[begin:end]
-            at = [(m.start(), m.end()) for m in WORD.finditer(block)]
-            words = [block[a:b].lower() for a, b in at]
+        for at in self.blocks(text):
+            words = [text[a:b].lower() for a, b in at]
             todo = [(0, len(words))]
             while todo:
                 left, right = todo.pop()
@@ -195,7 +198,7 @@ class Scanner:
                     if (bag & self.bags[name]).total() < self.least[name]:
                         continue
                     for lo, hi, coverage, differences in self.matches(part, name):
-                        span = begin + at[left + lo][0], begin + at[left + hi - 1][1]
+                        span = at[left + lo][0], at[left + hi - 1][1]
                         saved = self.saved(text[span[0] : span[1]], name)
                         confirmed.append((-coverage * len(self.words[name]), -saved, self.order[name], lo, hi, span, name, coverage, differences))
                 # confirmed ones that stay, by their first word, for there may be many

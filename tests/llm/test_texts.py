@@ -2,6 +2,7 @@
 
 import random
 import struct
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -152,6 +153,17 @@ def test_licences_partial_notice_beside_a_whole_one():
         assert [f["licence"] for f in found] == ["MIT-text"] * (2 if words[-1] == whole[-1] and len(words) > 150 else 1)
 
 
+@pytest.mark.parametrize("prefix", ["", "# ", "// ", " * ", "-- "])
+@pytest.mark.parametrize("width", [30, 80])
+def test_licences_wrapped(prefix, width):
+    for name, text in licences.TEMPLATES.items():
+        wrapped = textwrap.wrap(text, width, initial_indent=prefix, subsequent_indent=prefix, break_on_hyphens=False)
+        assert licence_names("\n".join(["x = 1", *wrapped, "y = 2"])) == [name]
+        assert licence_names("\n".join([*["filler text"] * 200, *wrapped, *["filler text"] * 200, *wrapped])) == [name] * 2
+    assert licence_names("All rights\n// reserved.") == ["all-rights-reserved"]
+    assert licence_names("İİİ All rights reserved") == ["all-rights-reserved"]
+
+
 def test_viterbi_equals_plain():
     rng = np.random.default_rng(2)
     sizes = np.array([5, 0, 1, 9, 3])
