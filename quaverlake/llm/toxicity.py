@@ -62,8 +62,7 @@ def votes(text: str | None, place: dict[str, int]) -> np.ndarray:
                 out[place[e]] = 1
                 hit.add(w)
     n = sum(w in hit for w in words) if hit else 0
-    sample = text[:: max(1, len(text) // 2000)]
-    upper = sum(map(str.isupper, sample)) / max(1, len(sample))
+    upper = sum(map(str.isupper, text)) / max(1, len(text))
     at_you = bool(hit) and any((a in YOU and b in hit) or (b in YOU and a in hit) for a, b in zip(words, words[1:], strict=False))
     rate = n / max(1, len(words))
     out[len(place) :] = (n >= 2, n >= 3, rate > 0.005, rate > 0.01, rate > 0.02, at_you, upper > 0.5, text.count("!") > 0.1 * len(words) + 3, -int(not hit), -int(upper < 0.1 and "!" not in text))

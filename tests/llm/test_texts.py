@@ -194,3 +194,11 @@ def test_toxicity_without_labels(spark):
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))
     out = {r.doc_id: r.score for r in toxicity.toxicity(docs, model, ["doc_id"]).collect()}
     assert out[3] > out[4] and out[1] == out[2] and all(0 <= s <= 1 for s in out.values())
+
+
+def test_toxicity_counts_capitals_of_whole_texts():
+    shouting = len(toxicity.PATTERNS) - toxicity.PATTERNS.index("shouting")
+    calm = len(toxicity.PATTERNS) - toxicity.PATTERNS.index("calm")
+    for text, is_shouting, is_calm in (("aB" * 2000, 0, 0), ("Ba" * 2000, 0, 0), ("BaB" * 3000, 1, 0), ("aaBBB" * 2000, 1, 0), ("Baaaaaaaaa" * 2000 + "B", 0, 0), ("B" + "a" * 19 + "b" * 4000, 0, -1), ("Baaaaaaaaaaa" * 2000, 0, -1)):
+        got = toxicity.votes(text, {})
+        assert (got[-shouting], got[-calm]) == (is_shouting, is_calm), text[:12]
