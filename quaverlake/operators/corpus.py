@@ -184,21 +184,25 @@ def subject_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(notes(spark, sf_dir)).filter("quality >= 0.5")
 
 
-def subject_entries_greedy(spark: SparkSession, sf_dir: str, least: float = 0.5, refractory: int = 1920) -> DataFrame:
-    """Entries of the subject, left to right in each voice, none within a bar of the one before: an order-bound scan."""
+def spaced(parts: Iterator[pd.DataFrame], refractory: int) -> Iterator[pd.DataFrame]:
+    """Rows that start `refractory` or more after the row kept before them; parts come by piece, voice and start, and only the last kept row is held."""
+    voice, until = None, 0
+    for part in parts:
+        keep = []
+        for i, r in enumerate(part.itertuples(index=False)):
+            if (r.piece_id, r.voice) != voice:
+                voice, until = (r.piece_id, r.voice), 0
+            if r.start >= until:
+                until = r.start + refractory
+                keep.append(i)
+        yield part.iloc[keep]
 
-    def scan(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            out, until = [], {}
-            for r in part.itertuples(index=False):
-                if r.start >= until.get((r.piece_id, r.voice), 0):
-                    until[r.piece_id, r.voice] = r.start + refractory
-                    out.append(r)
-            yield pd.DataFrame(out, columns=part.columns)
 
+def subject_entries_greedy(spark: SparkSession, sf_dir: str, least: float = 0.5, refractory: int = 1920) -> DataFrame:
+    """Entries of the subject, left to right in each voice, none within a bar of the one before: an order-bound scan."""
     c = candidates(notes(spark, sf_dir)).filter(F.col("quality") >= least)
     schema = "piece_id bigint, voice int, start bigint, quality double"
-    return c.groupBy("piece_id", "voice").applyInPandas(lambda pdf: pd.concat(scan(iter([pdf.sort_values("start")]))), schema)
+    return c.repartition("piece_id", "voice").sortWithinPartitions("piece_id", "voice", "start", F.desc("quality")).mapInPandas(lambda parts: spaced(parts, refractory), schema)
 
 
 def thematic_recall(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,15 +48,26 @@ def near_grams(gram: Column) -> Column:
     return F.concat(F.array(gram), one)
 
 
-def fuzzy_matches(n: DataFrame, k: int = 6, apart: int = 480) -> DataFrame:
-    """piece_id, voice_a < voice_b, start_a, start_b of grams at L1 distance 0 or 1 and at least `apart` ticks apart.
+def fuzzy_counts(n: DataFrame, k: int = 6, apart: int = 480) -> DataFrame:
+    """piece_id, voice_a < voice_b, matches: pairs of grams at L1 distance 0 or 1 and at least `apart` ticks apart.
 
-    The near grams of one side are exploded, so the join is an equi-join on piece and gram.
+    The near grams of one side are exploded, so the joins are equi-joins on piece and gram. Pairs are not made but counted:
+    all pairs of two voices by their counts of each gram, less those of ticks less than `apart` from each other.
     """
-    g = ngrams(n, k)
-    a = g.select("piece_id", F.col("voice").alias("voice_a"), F.col("start").alias("start_a"), F.explode(near_grams(F.col("gram"))).alias("gram"))
-    b = g.select("piece_id", F.col("voice").alias("voice_b"), F.col("start").alias("start_b"), "gram")
-    return a.join(b, ["piece_id", "gram"]).filter((F.col("voice_a") < F.col("voice_b")) & (F.abs(F.col("start_b") - F.col("start_a")) >= apart)).drop("gram")
+    pair = ["piece_id", "voice_a", "voice_b"]
+    at = ngrams(n, k).groupBy("piece_id", "voice", "gram", "start").agg(F.count(F.lit(1)).alias("c"))
+    per = at.groupBy("piece_id", "voice", "gram").agg(F.sum("c").alias("c"))
+    here = F.floor(F.col("start") / apart)
+
+    def met(a: DataFrame, b: DataFrame, *more: str) -> DataFrame:
+        a = a.withColumnsRenamed({"voice": "voice_a", "start": "start_a", "c": "c_a"}).withColumn("gram", F.explode(near_grams(F.col("gram"))))
+        b = b.withColumnsRenamed({"voice": "voice_b", "start": "start_b", "c": "c_b"})
+        return a.join(b, ["piece_id", "gram", *more]).filter("voice_a < voice_b")
+
+    every = met(per, per).groupBy(*pair).agg(F.sum(F.col("c_a") * F.col("c_b")).alias("every"))
+    close = met(at.withColumn("_b", F.explode(F.sequence(here - 1, here + 1))), at.withColumn("_b", here), "_b").filter(F.abs(F.col("start_b") - F.col("start_a")) < apart)
+    close = close.groupBy(*pair).agg(F.sum(F.col("c_a") * F.col("c_b")).alias("close"))
+    return every.join(close, pair, "left").select(*pair, (F.col("every") - F.coalesce("close", F.lit(0))).alias("matches")).filter("matches > 0")
 
 
 def beats(n: DataFrame, step: int = 480) -> DataFrame:
@@ -112,7 +123,7 @@ def voice_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_matches(notes(spark, sf_dir), k=2).groupBy("piece_id", "voice_a", "voice_b").agg(F.count(F.lit(1)).alias("matches"))
+    return fuzzy_counts(notes(spark, sf_dir), k=2)
 
 
 def fragment_membership(spark: SparkSession, sf_dir: str) -> DataFrame:

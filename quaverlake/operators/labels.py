@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaverlake.functions.pitch import pitch_class, scale
-from quaverlake.operators.joins import GRAMS_SQL, beats, fuzzy_matches, stab
+from quaverlake.operators.joins import GRAMS_SQL, beats, fuzzy_counts, stab
 from quaverlake.plans.views import NOTES_SQL, key_mode, key_root, notes
 
 
@@ -28,7 +28,7 @@ def texture(n: DataFrame) -> DataFrame:
 def imitation(n: DataFrame, k: int = 6) -> DataFrame:
     """Fuzzy n-gram matches between voices, per note."""
     total = n.groupBy("piece_id").agg(F.count(F.lit(1)).alias("total"))
-    hits = fuzzy_matches(n, k).groupBy("piece_id").agg(F.count(F.lit(1)).alias("hits"))
+    hits = fuzzy_counts(n, k).groupBy("piece_id").agg(F.sum("matches").alias("hits"))
     score = total.join(hits, "piece_id", "left").select("piece_id", F.round(F.coalesce("hits", F.lit(0)) / F.col("total"), 9).alias("imitation_score"))
     return score.withColumn("imitation", band(F.col("imitation_score"), 0.30, 0.10, ("high", "low", "none")))
 

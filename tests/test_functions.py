@@ -1,8 +1,12 @@
 """Scalar functions on small literal inputs."""
 
+import random
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quaverlake.functions import pitch as P
+from quaverlake.operators import corpus, joins
 
 
 def one(spark, column):
@@ -42,3 +46,29 @@ def test_range_score(spark):
     assert one(spark, P.in_range_score(F.lit(5.0), 4.0, 6.0)) == 1.0
     assert one(spark, P.in_range_score(F.lit(3.0), 4.0, 6.0)) == 0.5
     assert one(spark, P.in_range_score(F.lit(7.0), 4.0, 6.0)) == 0.75
+
+
+def test_greedy_scan_goes_on_over_parts():
+    rows = [(1, 0, t, 1.0) for t in range(0, 9600, 480)] + [(1, 1, t, 1.0) for t in range(480, 4800, 960)] + [(2, 1, 0, 0.5)]
+    frame = pd.DataFrame(rows, columns=["piece_id", "voice", "start", "quality"])
+    want = [(1, 0, t) for t in range(0, 9600, 1920)] + [(1, 1, 480), (1, 1, 2400), (1, 1, 4320), (2, 1, 0)]
+    for size in (1, 3, 7, 100):
+        parts = (frame.iloc[i : i + size] for i in range(0, len(frame), size))
+        got = pd.concat(corpus.spaced(parts, 1920))
+        assert list(got[["piece_id", "voice", "start"]].itertuples(index=False, name=None)) == want
+
+
+def test_fuzzy_counts_equal_pairs_and_make_no_pairs(spark):
+    rng = random.Random(2)
+    rows = [(p, v, i, 240 * i + 60 * rng.randrange(4), 60 + rng.choice((0, 0, 1, 2))) for p in range(3) for v in range(3) for i in range(40)]
+    n = spark.createDataFrame(rows, "piece_id bigint, voice int, note_idx int, start bigint, pitch int")
+    grams = [(r.piece_id, r.voice, r.start, r.gram) for r in joins.ngrams(n, 2).collect()]
+    want = {}
+    for p, v, s, g in grams:
+        for q, w, t, h in grams:
+            if p == q and v < w and abs(s - t) >= 480 and sum(abs(x - y) for x, y in zip(g, h, strict=True)) <= 1:
+                want[p, v, w] = want.get((p, v, w), 0) + 1
+    assert {(r.piece_id, r.voice_a, r.voice_b): r.matches for r in joins.fuzzy_counts(n, k=2).collect()} == want
+    # 20,000 equal grams in each of two voices: 400 million pairs, which are only counted
+    hot = spark.range(40_000).select(F.lit(1).cast("long").alias("piece_id"), (F.col("id") % 2).cast("int").alias("voice"), F.col("id").cast("int").alias("note_idx"), (F.col("id") * 960).alias("start"), F.lit(60).alias("pitch"))
+    assert [r.matches for r in joins.fuzzy_counts(hot, k=2).collect()] == [19_998**2]
