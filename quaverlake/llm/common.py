@@ -2,32 +2,69 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of output that one Arrow batch may hold before it is handed to Spark.
 BATCH_BYTES = 8 << 20
-#: Folder for materialised tables where the session names none (tests, notebooks).
-FALLBACK_DIR = "/tmp/checkpoints"
+#: Folder for written tables of a local session that names none (tests, notebooks).
+LOCAL_DIR = "/tmp/checkpoints"
+#: Rows of a written table for which one task suffices where it is read again.
+TASK_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    return (found or FALLBACK_DIR).rstrip("/")
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or LOCAL_DIR).rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/quaverlake/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quaverlake/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables that an operator writes on its way; they are deleted together once what follows doesn't read them."""
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def keep_with(self, df: DataFrame, name: str, sums: list[Column]) -> tuple[DataFrame, dict]:
+        """df, written and read back, and sums (n, the number of rows, among them) over its rows, taken while it is written."""
+        seen = Observation()
+        path = new_path(df.sparkSession, name)
+        df.observe(seen, *sums).write.parquet(path)
+        found = seen.get
+        out = df.sparkSession.read.schema(df.schema).parquet(path).coalesce(max(1, -(-found["n"] // TASK_ROWS)))
+        self.tables.append((out, path))
+        return out, found
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        return self.keep_with(df, name, [F.count(F.lit(1)).alias("n")])[0]
+
+    def drop(self, but: int = 0) -> None:
+        """Delete all tables but the last ones; what still reads the others must have been written."""
+        gone = self.tables[: len(self.tables) - but]
+        self.tables = self.tables[len(gone) :]
+        for df, path in gone:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +90,7 @@ def with_text_columns(df: DataFrame, fn: Callable[..., tuple], schema: str, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = (setup(),) if setup else ()
-        for batch in batches:
+        for batch in cut(batches):
             rows = [fn(*first, *values) for values in zip(*(c.to_pylist() for c in batch.columns[n:]), strict=True)]
             rows = after(rows) if after and rows else rows
             made = [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), fields, strict=True)] if rows else [pa.array([], t.type) for t in fields]
@@ -77,7 +114,7 @@ def map_rows(df: DataFrame, fn: Callable[..., tuple], schema: str, setup: Callab
         first = (setup(),) if setup else ()
         rows: list[tuple] = []
         held = 0
-        for batch in batches:
+        for batch in cut(batches):
             for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 row = fn(*first, *values)
                 rows.append(row)
@@ -91,6 +128,14 @@ def map_rows(df: DataFrame, fn: Callable[..., tuple], schema: str, setup: Callab
     return df.mapInArrow(run, schema)
 
 
+def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about BATCH_BYTES, or one row if it is larger."""
+    for batch in batches:
+        step = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)) if batch.nbytes > BATCH_BYTES else max(1, batch.num_rows)
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def to_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 

@@ -1,19 +1,24 @@
 """Operator 3: n-gram Jaccard join by PartEnum signatures.
 
-A document is the set of its distinct runs of WIDTH words (64-bit hashes). Sets fall into bands of similar size. For a band
-the domain of hashes is divided into partitions; the part of a set that lies in one partition is a signature. Two sets
-that are similar enough differ in at most a quarter of the smaller one's size (the Hamming bound H of Jaccard 0.8), each
-difference breaks one partition at most, and so of any H + 1 partitions that a set fills one at least is the same in both.
-That is PartEnum with second-level groups of two partitions of which subsets of one are enumerated. A set emits, in the fixed
-order of partitions, the signatures of its first H + 1 + spare filled partitions, in its own band and, if a similar set may
-be larger than the band allows, in the next. Similar sets thus share 1 + spare signatures, which sorts out most chance
-meetings before any set is compared.
-
-Signatures that more than HOT sets share are left out of the pairs, and the spare of their sets goes down by as much. Sets
-that run out of spare that way (large groups of near copies), and those that fill too few partitions (small sets; they emit
-single shingles, by the prefix rule), are joined by stars around the set with the most such signatures, and only what
-lies in different components after that is paired. Candidates are compared exactly, best partners first, and later only
-across components, so that no link between different components is lost and copies aren't expanded into all pairs.
+A document is the set of its distinct runs of WIDTH words (64-bit hashes). Sets fall into bands of similar size, and a set
+takes part in its own band and, if a similar set may be larger than the band allows, in the next. Two sets that are similar
+enough differ in at most H elements, a quarter of the smaller one's size (the Hamming bound of Jaccard 0.8).
+
+For a band the domain of hashes is divided into groups of partitions; signatures are what a set has in subsets of a group's
+partitions. Bands of small sets (up to GROUPED) take groups of three partitions and enumerate the subsets of two: two
+differences at least, in different partitions, break all three (one is enough for a group of which the set fills one
+partition only). Larger bands take groups of two partitions and subsets of one, where one difference breaks one signature:
+with many partitions larger groups make half as many signatures again, for no fewer candidates. A set emits the
+signatures of all groups that it fills. Those that H differences can't break are shared with each similar set, which emits
+all of its own too; what is guaranteed beyond one signature is the set's spare. Candidates share as many at least as the
+larger spare of the two guarantees.
+
+Signatures that more than HOT sets share are left out of the pairs, and a pair needs as many fewer as both sets have of them;
+as all signatures are emitted, a passage that many documents share leaves enough of the others. Only pairs of sets that both
+run out of spare (large groups of near copies) are joined by hot signatures: by stars around the set with the most hot
+signatures, and only what lies in different components after that meets in blocks. Sets whose groups can all be broken (very
+small ones) emit single shingles besides, by the prefix rule. Candidates are compared exactly, best partners first, and
+later only across components, so that no link between different components is lost and copies aren't expanded into all pairs.
 
 Texts are lower-cased (A-Z) and split at ASCII white space; fewer than WIDTH words are one run. Null texts and texts without
 words have an empty set and link with nothing. Equal texts (and repeated rows) have equal sets and so are one component.
@@ -29,16 +34,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaverlake.llm.common import BATCH_BYTES, as_text, materialize, mix, schema_of, shingles, table, to_batch, with_text_columns
-from quaverlake.llm.components import connected_components
+from quaverlake.llm.common import BATCH_BYTES, Scratch, as_text, materialize, mix, schema_of, shingles, table, to_batch, with_text_columns
+from quaverlake.llm.components import hooked
 
 WIDTH = 5
 #: The least similarity of a link, as a fraction: intersection * OF >= union * AT_LEAST.
 AT_LEAST, OF = 80, 100
 #: Ratio of a band's largest sizes to those of the band before.
 BAND = 1.5625
-#: Signatures beyond H + 1 that a set emits, as a share of H.
-SPARE = 0.12
+#: Partitions of a band, as a share of its largest size.
+PARTITIONS = 0.32
+#: The largest size of bands with groups of three partitions, and partitions that these bands have for each of their largest size.
+GROUPED, GROUPED_PARTITIONS = 63, 0.6
 #: Sets that may share a signature before it counts as hot.
 HOT = 64
 #: The spare that can be told; more counts as that. Sizes are told in classes of this ratio; similar sets are few apart.
@@ -46,6 +53,10 @@ MOST_SPARE, SIZE_STEP = 8000, 1.02
 SIZE_APART = int(np.log(OF / AT_LEAST) / np.log(SIZE_STEP)) + 1
 #: Sets of the crowd that meet in one block.
 BLOCK = 1024
+#: Hot signatures by which a set looks for a hub in one round of stars.
+STAR_KEYS = 4
+#: Sets that a task remembers to have emitted, so that equal texts are not emitted again.
+REMEMBERED = 200_000
 #: Sets that one task compares with a held set before it is held again in another.
 FAN = 256
 
@@ -69,6 +80,36 @@ def set_id(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0)))
 
 
+def folded(s: np.ndarray, mixed: np.ndarray, parts: int, seed: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The filled partitions in order, and the sum of the mixed hashes in each."""
+    with np.errstate(over="ignore"):
+        part = ((mix(s ^ seed) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        ranked = part[order]
+        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        return ranked[first], np.add.reduceat(mixed[order], first)
+
+
+def partenum(s: np.ndarray, mixed: np.ndarray, band: int, allowed: int) -> tuple[np.ndarray, int]:
+    """All signatures of a set in a band, and its spare: how many of them, less one, `allowed` differences can't break."""
+    seed = np.uint64(band * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    with np.errstate(over="ignore"):
+        if BOUNDS[band] > GROUPED:
+            at, content = folded(s, mixed, int(PARTITIONS * BOUNDS[band]) + 4, seed)
+            return mix(content ^ mix(at.astype(np.uint64) + seed)), len(at) - allowed - 1
+        groups = int(GROUPED_PARTITIONS * BOUNDS[band] / 3) + 1
+        at, content = folded(s, mixed, 3 * groups, seed)
+        whole, filled = np.zeros(3 * groups, np.uint64), np.zeros(3 * groups, bool)
+        whole[at], filled[at] = content, True
+        whole, filled = whole.reshape(-1, 3), filled.reshape(-1, 3)
+        subset = (whole + np.roll(whole, 1, axis=1)).ravel()
+        some = (filled | np.roll(filled, 1, axis=1)).ravel()
+        sig = mix(subset ^ mix(np.arange(3 * groups, dtype=np.uint64) + seed))[some]
+    needed = np.sort(np.minimum(filled.sum(axis=1), 2))
+    needed = needed[needed > 0]
+    return sig, len(needed) - int((np.cumsum(needed) <= allowed).sum()) - 1
+
+
 def signatures(s: np.ndarray) -> list[tuple[np.ndarray, int]]:
     """(signatures, info) of a set for each band that it takes part in; info packs the spare, the band and what kind it is.
 
@@ -80,22 +121,11 @@ def signatures(s: np.ndarray) -> list[tuple[np.ndarray, int]]:
         return []
     out = []
     home = int(np.searchsorted(BOUNDS, n))
-    allowed = n // 4
-    wanted = allowed + 1 + int(np.ceil(SPARE * allowed)) + 1
     mixed = mix(s)
     size = int(np.log(n) / np.log(SIZE_STEP)) << 8
     for band in (home, home + 1) if n * OF // AT_LEAST > BOUNDS[home] else (home,):
-        parts = int(0.32 * BOUNDS[band]) + 4
-        seed = np.uint64(band * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        with np.errstate(over="ignore"):
-            own = mix(s ^ seed)
-            part = ((own >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            ranked = part[order]
-            first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-            folded = np.add.reduceat(mixed[order], first)
-            sig = mix(folded ^ mix(ranked[first].astype(np.uint64) + seed))[:wanted]
-        spare = min(max(len(sig) - allowed - 1, -1), MOST_SPARE)
+        sig, spare = partenum(s, mixed, band, n // 4)
+        spare = min(max(spare, -1), MOST_SPARE)
         kind = size | home << 2 | (band > home)
         out.append((sig, (spare + 1) << 18 | kind))
         if spare < 0:
@@ -121,7 +151,7 @@ def signature_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, int, int]] = []
-        size = 0
+        size, emitted = 0, set()
 
         def flush() -> pa.RecordBatch:
             counts = [len(h[0]) for h in held]
@@ -132,6 +162,11 @@ def signature_rows(docs: DataFrame) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 s = shingles(lower(text), WIDTH)
                 sid = set_id(s)
+                if sid in emitted:
+                    continue
+                if len(emitted) >= REMEMBERED:
+                    emitted.clear()
+                emitted.add(sid)
                 for sig, info in signatures(s):
                     held.append((sig, sid, info))
                     size += 24 * len(sig)
@@ -173,7 +208,7 @@ def meetings(rows: DataFrame) -> DataFrame:
         a, b = a[meet], b[meet]
         if not len(a):
             return None
-        spare = np.minimum(info[a] >> 18, info[b] >> 18).astype(np.int32) - 1
+        spare = np.maximum(info[a] >> 18, info[b] >> 18).astype(np.int32) - 1
         key = np.stack([sid[a], sid[b]], axis=1)
         order = np.lexsort((key[:, 1], key[:, 0]))
         key, spare, where = key[order], spare[order], band[a][order]
@@ -266,8 +301,10 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), *pairs.columns[2:]))
 
 
-def grouped(rows: DataFrame, column: str, groups: DataFrame) -> DataFrame:
+def grouped(rows: DataFrame, column: str, groups: DataFrame | None) -> DataFrame:
     """rows with the component of a column's set (itself if it stands in no link yet) as group_<column>."""
+    if groups is None:
+        return rows.withColumn(f"group_{column}", F.col(column))
     return rows.join(groups.select(F.col("id").alias(column), F.col("component").alias("_c")), column, "left").withColumn(f"group_{column}", F.coalesce("_c", column)).drop("_c")
 
 
@@ -276,57 +313,52 @@ def across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def similarity_groups(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id (a sid) and component of all sets that link with others."""
-    met = materialize(meetings(signature_rows(docs)), "meetings")
-    hot = met.filter("b is null").select(F.col("a").alias("sid"), "sig", "spare", "band")
-    usage = materialize(hot.groupBy("sid", "band").agg(F.count(F.lit(1)).cast("int").alias("hot"), F.min("spare").alias("spare")), "hot-use")
+    """id (a sid) and component of all sets that link with others, but the least of each component.
+
+    What is written on the way is deleted at the end.
+    """
+    scratch = Scratch()
+    met = scratch.keep(meetings(signature_rows(docs)), "meetings")
+    # a row for each set and band with hot signatures; a set has no more of them than it emitted
+    hot = met.filter("b is null").groupBy(F.col("a").alias("sid"), "band").agg(F.collect_set("sig").alias("sigs"), F.min("spare").alias("spare"))
+    hot = scratch.keep(hot.withColumn("hot", F.size("sigs")), "hot-sets")
     pairs = met.filter("b is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("spare").alias("spare"), F.min("band").alias("band"))
-    any_hot = not usage.isEmpty()
+    any_hot = not hot.isEmpty()
     if any_hot:
         for side in ("a", "b"):
-            left = usage.select(F.col("sid").alias(side), "band", (F.col("spare") - F.col("hot")).alias(f"left_{side}"))
-            pairs = pairs.join(left, [side, "band"], "left")
-        pairs = pairs.withColumn("spare", F.least("spare", F.coalesce("left_a", "spare"), F.coalesce("left_b", "spare")))
-    pairs = materialize(pairs.filter(F.col("shared") >= F.greatest(F.lit(1), F.col("spare") + 1)).select("a", "b", "shared"), "candidates")
+            pairs = pairs.join(hot.select(F.col("sid").alias(side), "band", F.col("hot").alias(f"hot_{side}")), [side, "band"], "left")
+        pairs = pairs.withColumn("spare", F.col("spare") - F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0))))
+    pairs = scratch.keep(pairs.filter(F.col("shared") >= F.greatest(F.lit(1), F.col("spare") + 1)).select("a", "b", "shared"), "candidates")
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid")))
-    if any_hot:
-        # a hot signature matters if a set without spare has it; partners share at least 1 + the least such spare
-        used = hot.drop("spare").join(usage, ["sid", "band"])
-        least = used.filter("hot > spare").groupBy("sig").agg(F.min("spare").alias("least"))
-        crowd = materialize(used.join(least, "sig").filter(F.col("hot") >= F.greatest(F.lit(1), F.col("least") + 1)).select("sig", "sid", "band", "spare", "hot"), "crowd")
+    # a pair that shares no other signature shares more hot ones than either has spare
+    crowd = hot.filter("hot > spare")
+    any_short = any_hot and not crowd.isEmpty()
+    if any_short:
         wanted = wanted.union(crowd.select("sid"))
-    sets = materialize(candidate_sets(docs, ids, wanted.distinct()), "sets")
+    sets = scratch.keep(candidate_sets(docs, ids, wanted.distinct()), "sets")
     # best partners first, then what lies in different components after that, last the crowd's own pairs
     first = best_partner(both_ways(pairs))
-    links = materialize(compare(first.union(star_pairs(crowd, None)) if any_hot else first, sets), "links-best")
-    groups = connected_components(links)
-    rest = across(pairs, groups).select("a", "b")
-    rest = materialize(compare(rest.union(star_pairs(crowd, groups)) if any_hot else rest, sets), "links-rest")
-    if not rest.isEmpty():
-        links = links.union(rest)
-        groups = connected_components(links)
-    if any_hot:
-        last = materialize(compare(crowd_pairs(crowd, groups, sets), sets), "links-crowd")
-        if not last.isEmpty():
-            groups = connected_components(links.union(last))
+    groups = None
+    for salt, found in enumerate((lambda: first, lambda: across(pairs, groups).select("a", "b"))):
+        found = found().union(star_pairs(crowd, groups, salt)).distinct() if any_short else found()
+        groups = hooked(compare(found, sets), groups, scratch)
+    if any_short:
+        groups = hooked(compare(crowd_pairs(crowd, groups, sets, scratch), sets), groups, scratch)
+    groups = scratch.keep(ids.select("sid").limit(0).selectExpr("sid AS id", "sid AS component") if groups is None else groups, "groups")
+    scratch.drop(but=1)
     return groups
 
 
-def mixed_crowd(crowd: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """The crowd's rows of signatures whose sets lie in more than one component (all, while there are none), with their component."""
-    if groups is None:
-        return crowd.withColumn("group_sid", F.col("sid"))
-    own = grouped(crowd, "sid", groups)
-    mixed = own.groupBy("sig").agg(F.min("group_sid").alias("lo"), F.max("group_sid").alias("hi")).filter("lo <> hi").select("sig")
-    return own.join(mixed, "sig")
-
+def star_pairs(crowd: DataFrame, groups: DataFrame | None, salt: int) -> DataFrame:
+    """Pairs of a set without spare and a hub: the one with the most hot signatures that shares a key with it, outside its component.
 
-def star_pairs(crowd: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """Each set with the set of the most hot signatures among those it shares one with, outside its component."""
-    rows = mixed_crowd(crowd, groups)
+    The keys of a set are STAR_KEYS of its hot signatures by least hash, so near copies have some in common.
+    """
+    own = grouped(crowd, "sid", groups)
+    hashed = F.transform("sigs", lambda s: F.struct(F.xxhash64(s, F.lit(salt)).alias("h"), s.alias("sig")))
+    rows = own.select("sid", "hot", "group_sid", F.explode(F.slice(F.array_sort(hashed), 1, STAR_KEYS)).alias("k")).select("k.sig", "sid", "hot", "group_sid")
     hub = rows.groupBy("sig").agg(F.max(F.struct("hot", F.xxhash64("sid").alias("h"), "sid", "group_sid")).alias("hub"))
-    pairs = rows.join(hub, "sig").filter("group_sid <> hub.group_sid").groupBy(F.col("hub.sid").alias("a"), F.col("sid").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    return best_partner(pairs)
+    return rows.join(hub, "sig").filter("group_sid <> hub.group_sid").select(F.col("hub.sid").alias("a"), F.col("sid").alias("b"))
 
 
 def sketches(sets: DataFrame) -> DataFrame:
@@ -350,20 +382,19 @@ def sketches(sets: DataFrame) -> DataFrame:
     return sets.select("sid", "s").mapInArrow(run, schema)
 
 
-def crowd_pairs(crowd: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of a set without spare and another set of its hot signatures, across components, that share enough of them.
+def crowd_pairs(crowd: DataFrame, groups: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of sets without spare, across components, that share enough hot signatures.
 
-    In a signature's crowd the largest component is dealt into chunks, and so are the others together; each chunk of the one
-    meets each chunk of the others in a block of its own, and these meet each other. So the many that are one component
-    already are not repeated. Only pairs are made whose sizes and bucket counts allow the similarity: counts differ by no
-    more than the sets do.
+    Only signatures count that sets of different components have. In a signature's crowd the largest component is dealt into chunks, and so are the others together; each chunk of the one meets each chunk of the
+    others in a block of its own, and these meet each other. So the many that are one component already are not repeated.
+    Only pairs are made whose sizes and bucket counts allow the similarity: counts differ by no more than the sets do.
     """
-    rows = mixed_crowd(crowd, groups)
-    parts = rows.groupBy("sig", "group_sid").agg(F.count(F.lit(1)).alias("c"))
-    sizes = parts.groupBy("sig").agg(F.max(F.struct("c", "group_sid")).alias("main"), F.sum("c").alias("c"))
+    rows = scratch.keep(grouped(crowd, "sid", groups).join(sketches(sets), ["sid", "band"]), "crowd-sketches")
+    parts = rows.select(F.explode("sigs").alias("sig"), "group_sid").groupBy("sig", "group_sid").agg(F.count(F.lit(1)).alias("c"))
+    sizes = parts.groupBy("sig").agg(F.max(F.struct("c", "group_sid")).alias("main"), F.sum("c").alias("c")).filter("c > main.c")
     chunks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK)).cast("int")
     sizes = sizes.select("sig", F.col("main.group_sid").alias("main"), chunks(F.col("main.c")).alias("k_main"), chunks(F.col("c") - F.col("main.c")).alias("k_rest"))
-    dealt = rows.join(sizes, "sig").withColumn("rest", F.col("group_sid") != F.col("main"))
+    dealt = rows.select(F.explode("sigs").alias("sig"), "sid", "group_sid", "spare", "n", "sketch").join(sizes, "sig").withColumn("rest", F.col("group_sid") != F.col("main"))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("sid"), F.when(F.col("rest"), F.col("k_rest")).otherwise(F.col("k_main"))).cast("int"))
     upto = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
     block = lambda kind, lo, hi: F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"))
@@ -371,22 +402,21 @@ def crowd_pairs(crowd: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFra
     of_main = F.transform(upto("k_rest"), lambda j: block(0, chunk, j))
     of_rest = F.concat(F.transform(upto("k_main"), lambda i: block(0, i, chunk)), F.transform(upto("k_rest"), lambda j: block(1, F.least(chunk, j), F.greatest(chunk, j))))
     dealt = dealt.withColumn("block", F.when(F.col("rest"), of_rest).otherwise(of_main))
-    sketched = sketches(sets.join(rows.select("sid").distinct(), "sid", "left_semi"))
-    dealt = dealt.join(sketched, ["sid", "band"]).select("sig", F.explode("block").alias("block"), "rest", "chunk", "sid", "group_sid", "spare", (F.col("hot") > F.col("spare")).alias("short"), "n", "sketch")
-    dealt = dealt.select("sig", "block.kind", "block.lo", "block.hi", "rest", "chunk", "sid", "group_sid", "spare", "short", "n", "sketch")
+    dealt = dealt.select("sig", F.explode("block").alias("block"), "rest", "chunk", "sid", "group_sid", "spare", "n", "sketch")
+    dealt = dealt.select("sig", "block.kind", "block.lo", "block.hi", "rest", "chunk", "sid", "group_sid", "spare", "n", "sketch")
     blocks = dealt.repartition("sig", "kind", "lo", "hi").sortWithinPartitions("sig", "kind", "lo", "hi")
     schema = "a bigint, b bigint, spare int"
     arrow = schema_of(crowd.sparkSession, schema)
 
     def meet(rows: list[tuple]) -> list[tuple]:
         kind, lo, hi = rows[0][1:4]
-        rest, chunk, sid, group, spare, short, n = (np.array([r[i] for r in rows]) for i in range(4, 11))
-        width = np.array([len(r[11]) for r in rows])
-        counts = {w: np.stack([np.frombuffer(r[11], np.uint8) if len(r[11]) == w else np.zeros(w, np.uint8) for r in rows]).astype(np.int16) for w in set(width.tolist())}
+        rest, chunk, sid, group, spare, n = (np.array([r[i] for r in rows]) for i in range(4, 10))
+        width = np.array([len(r[10]) for r in rows])
+        counts = {w: np.stack([np.frombuffer(r[10], np.uint8) if len(r[10]) == w else np.zeros(w, np.uint8) for r in rows]).astype(np.int16) for w in set(width.tolist())}
         out = []
         for i in np.flatnonzero(rest).tolist():
             j = np.flatnonzero(~rest) if kind == 0 else np.arange(i + 1, len(rows))
-            ok = (group[j] != group[i]) & (short[j] | short[i]) & (OF * np.minimum(n[j], n[i]) >= AT_LEAST * np.maximum(n[j], n[i]))
+            ok = (group[j] != group[i]) & (OF * np.minimum(n[j], n[i]) >= AT_LEAST * np.maximum(n[j], n[i]))
             if kind == 1 and lo != hi:
                 ok &= chunk[j] != chunk[i]
             j = j[ok]
@@ -394,8 +424,7 @@ def crowd_pairs(crowd: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFra
             apart = np.abs(counts[width[i]][j] - counts[width[i]][i]).sum(axis=1)
             j = j[~told | (apart * (OF + AT_LEAST) <= (OF - AT_LEAST) * (n[j] + n[i]))]
             for k in j.tolist():
-                least = min(spare[x] for x in (i, k) if short[x])
-                out.append((int(min(sid[i], sid[k])), int(max(sid[i], sid[k])), int(least)))
+                out.append((int(min(sid[i], sid[k])), int(max(sid[i], sid[k])), int(max(spare[i], spare[k]))))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
