@@ -52,7 +52,7 @@ HOT = 64
 MOST_SPARE, SIZE_STEP = 8000, 1.02
 SIZE_APART = int(np.log(OF / AT_LEAST) / np.log(SIZE_STEP)) + 1
 #: Sets of the crowd that meet in one block.
-BLOCK = 1024
+BLOCK = 2048
 #: Hot signatures by which a set looks for a hub in one round of stars.
 STAR_KEYS = 4
 #: Sets that a task remembers to have emitted, so that equal texts are not emitted again.
@@ -383,18 +383,21 @@ def sketches(sets: DataFrame) -> DataFrame:
 
 
 def crowd_pairs(crowd: DataFrame, groups: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs of sets without spare, across components, that share enough hot signatures.
+    """Pairs of sets without spare, across components, that share hot signatures.
 
-    Only signatures count that sets of different components have. In a signature's crowd the largest component is dealt into chunks, and so are the others together; each chunk of the one meets each chunk of the
+    Two such sets share one more than either has spare; so one of those is among the first of each set's, in any fixed
+    order and without as many as it has spare. Only signatures count that sets of different components have. In a signature's crowd the largest component is dealt into chunks, and so are the others together; each chunk of the one meets each chunk of the
     others in a block of its own, and these meet each other. So the many that are one component already are not repeated.
     Only pairs are made whose sizes and bucket counts allow the similarity: counts differ by no more than the sets do.
     """
     rows = scratch.keep(grouped(crowd, "sid", groups).join(sketches(sets), ["sid", "band"]), "crowd-sketches")
-    parts = rows.select(F.explode("sigs").alias("sig"), "group_sid").groupBy("sig", "group_sid").agg(F.count(F.lit(1)).alias("c"))
+    hashed = F.array_sort(F.transform("sigs", lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("sig"))))
+    first = F.explode(F.slice(hashed, F.lit(1), F.col("hot") - F.col("spare")).getField("sig")).alias("sig")
+    parts = rows.select(first, "group_sid").groupBy("sig", "group_sid").agg(F.count(F.lit(1)).alias("c"))
     sizes = parts.groupBy("sig").agg(F.max(F.struct("c", "group_sid")).alias("main"), F.sum("c").alias("c")).filter("c > main.c")
     chunks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK)).cast("int")
     sizes = sizes.select("sig", F.col("main.group_sid").alias("main"), chunks(F.col("main.c")).alias("k_main"), chunks(F.col("c") - F.col("main.c")).alias("k_rest"))
-    dealt = rows.select(F.explode("sigs").alias("sig"), "sid", "group_sid", "spare", "n", "sketch").join(sizes, "sig").withColumn("rest", F.col("group_sid") != F.col("main"))
+    dealt = rows.select(first, "sid", "group_sid", "n", "sketch").join(sizes, "sig").withColumn("rest", F.col("group_sid") != F.col("main"))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("sid"), F.when(F.col("rest"), F.col("k_rest")).otherwise(F.col("k_main"))).cast("int"))
     upto = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
     block = lambda kind, lo, hi: F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"))
@@ -402,17 +405,17 @@ def crowd_pairs(crowd: DataFrame, groups: DataFrame, sets: DataFrame, scratch: S
     of_main = F.transform(upto("k_rest"), lambda j: block(0, chunk, j))
     of_rest = F.concat(F.transform(upto("k_main"), lambda i: block(0, i, chunk)), F.transform(upto("k_rest"), lambda j: block(1, F.least(chunk, j), F.greatest(chunk, j))))
     dealt = dealt.withColumn("block", F.when(F.col("rest"), of_rest).otherwise(of_main))
-    dealt = dealt.select("sig", F.explode("block").alias("block"), "rest", "chunk", "sid", "group_sid", "spare", "n", "sketch")
-    dealt = dealt.select("sig", "block.kind", "block.lo", "block.hi", "rest", "chunk", "sid", "group_sid", "spare", "n", "sketch")
+    dealt = dealt.select("sig", F.explode("block").alias("block"), "rest", "chunk", "sid", "group_sid", "n", "sketch")
+    dealt = dealt.select("sig", "block.kind", "block.lo", "block.hi", "rest", "chunk", "sid", "group_sid", "n", "sketch")
     blocks = dealt.repartition("sig", "kind", "lo", "hi").sortWithinPartitions("sig", "kind", "lo", "hi")
-    schema = "a bigint, b bigint, spare int"
+    schema = "a bigint, b bigint"
     arrow = schema_of(crowd.sparkSession, schema)
 
     def meet(rows: list[tuple]) -> list[tuple]:
         kind, lo, hi = rows[0][1:4]
-        rest, chunk, sid, group, spare, n = (np.array([r[i] for r in rows]) for i in range(4, 10))
-        width = np.array([len(r[10]) for r in rows])
-        counts = {w: np.stack([np.frombuffer(r[10], np.uint8) if len(r[10]) == w else np.zeros(w, np.uint8) for r in rows]).astype(np.int16) for w in set(width.tolist())}
+        rest, chunk, sid, group, n = (np.array([r[i] for r in rows]) for i in range(4, 9))
+        width = np.array([len(r[9]) for r in rows])
+        counts = {w: np.stack([np.frombuffer(r[9], np.uint8) if len(r[9]) == w else np.zeros(w, np.uint8) for r in rows]).astype(np.int16) for w in set(width.tolist())}
         out = []
         for i in np.flatnonzero(rest).tolist():
             j = np.flatnonzero(~rest) if kind == 0 else np.arange(i + 1, len(rows))
@@ -424,7 +427,7 @@ def crowd_pairs(crowd: DataFrame, groups: DataFrame, sets: DataFrame, scratch: S
             apart = np.abs(counts[width[i]][j] - counts[width[i]][i]).sum(axis=1)
             j = j[~told | (apart * (OF + AT_LEAST) <= (OF - AT_LEAST) * (n[j] + n[i]))]
             for k in j.tolist():
-                out.append((int(min(sid[i], sid[k])), int(max(sid[i], sid[k])), int(max(spare[i], spare[k]))))
+                out.append((int(min(sid[i], sid[k])), int(max(sid[i], sid[k]))))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,8 +441,7 @@ def crowd_pairs(crowd: DataFrame, groups: DataFrame, sets: DataFrame, scratch: S
                 if row is not None:
                     held.append(row)
 
-    met = blocks.mapInArrow(run, schema).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("spare").alias("spare"))
-    return met.filter(F.col("shared") >= F.greatest(F.lit(1), F.col("spare") + 1)).select("a", "b")
+    return blocks.mapInArrow(run, schema).distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
