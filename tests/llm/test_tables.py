@@ -83,23 +83,44 @@ def test_jaccard_empty(spark):
 
 
 def plain_line_dedup(rows, passage=50):
-    seen, out = {}, {}
+    """Every line of a run of whole lines with enough words that occurs in an earlier text, by extending each pair of equal lines.
+
+    Within a text, of a run's shortest windows from both ends those go that have a first place, but for what lies in it.
+    """
+    earlier, places, out = {}, {}, {}
     for d, text in sorted(rows):
         lines = text.split("\n")
         at = [i for i, x in enumerate(lines) if x.encode().split()]
+        words = [len(lines[i].encode().split()) for i in at]
+        own = [lines[i].strip(" \t\n\x0b\x0c\r") for i in at]
         gone = set()
+        for i, line in enumerate(own):
+            for e, j in places.get(line, ()):
+                other = earlier[e]
+                if i and j and own[i - 1] == other[j - 1]:
+                    continue  # the run was looked at from its first line on
+                n = 0
+                while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
+                    n += 1
+                if sum(words[i : i + n]) >= passage:
+                    gone |= set(range(at[i], at[i + n - 1] + 1))
+        windows = []
         for a in range(len(at)):
-            n = 0
-            for b in range(a, len(at)):
-                n += len(lines[at[b]].encode().split())
-                if n >= passage:
-                    key = tuple(lines[i].strip(" \t\n\x0b\x0c\r") for i in at[a : b + 1])
-                    if key in seen:
-                        first, end = seen[key]
-                        gone |= set(range(at[a] if first != d else max(at[a], end + 1), at[b] + 1))
-                    else:
-                        seen[key] = (d, at[b])
-                    break
+            b = next((b for b in range(a, len(at)) if sum(words[a : b + 1]) >= passage), None)
+            windows += [] if b is None else [(a, b)]
+        for b in range(len(at)):
+            a = next((a for a in range(b, -1, -1) if sum(words[a : b + 1]) >= passage), None)
+            windows += [] if a is None else [(a, b)]
+        first = {}
+        for a, b in sorted(windows):
+            first.setdefault(tuple(own[a : b + 1]), (a, b))
+        for a, b in windows:
+            x, y = first[tuple(own[a : b + 1])]
+            if x != a:
+                gone |= set(range(max(at[a], at[y] + 1), at[b] + 1))
+        earlier[d] = own
+        for i, line in enumerate(own):
+            places.setdefault(line, []).append((d, i))
         out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out
 
@@ -143,6 +164,14 @@ def test_line_dedup_removes_whole_runs(spark):
     assert got == maximal_line_dedup(rows)
 
 
+def test_winnowing_selects_few_lines():
+    text = "\n".join(f"word{i} is line {i * i} of it" for i in range(400))
+    found = linededup.fingerprints(text, 50)
+    assert 0 < len(found) < 100 and sum(len(w) for _, w in found) > 380
+    inner = "\n".join(text.split("\n")[100:130])
+    assert {f for f, _ in linededup.fingerprints(inner, 50)} & {f for f, _ in found}
+
+
 def test_line_dedup_edges(spark):
     docs = spark.createDataFrame([(1, None, 3), (2, "", 3), (2, "", 3), (None, "a\nb", 3)], DOCS + ", n_lines int")
     out = linededup.line_dedup(docs, ["doc_id", "n_lines"], prefix="_").select("doc_id", "n_lines", "_text").collect()

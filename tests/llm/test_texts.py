@@ -3,6 +3,7 @@
 import random
 import struct
 import textwrap
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -202,3 +203,23 @@ def test_toxicity_counts_capitals_of_whole_texts():
     for text, is_shouting, is_calm in (("aB" * 2000, 0, 0), ("Ba" * 2000, 0, 0), ("BaB" * 3000, 1, 0), ("aaBBB" * 2000, 1, 0), ("Baaaaaaaaa" * 2000 + "B", 0, 0), ("B" + "a" * 19 + "b" * 4000, 0, -1), ("Baaaaaaaaaaa" * 2000, 0, -1)):
         got = toxicity.votes(text, {})
         assert (got[-shouting], got[-calm]) == (is_shouting, is_calm), text[:12]
+
+
+def test_pack_equals_library(spark):
+    """Ids of every piece, starts and offsets without gaps, and at most one sequence of padding a block, against the library."""
+    path = public_tokenizers.path(packing.VOCABULARY)
+    library = Tokenizer.from_file(path)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(10**6, "lorem ipsum, dolor " * 7000), (10**6 + 1, None), (10**6 + 2, "")]
+    ids = {d: library.encode(t or "", add_special_tokens=False).ids + [packing.END] for d, t in rows}
+    out = packing.pack(spark.createDataFrame(rows, DOCS), path).collect()
+    at, room = {}, {}
+    for r in sorted(out, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == at.get(r.doc_id, 0) and r.doc_tokens == len(ids[r.doc_id])
+        at[r.doc_id] = r.start + r.length
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+    assert at == {d: len(v) for d, v in ids.items()}
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == room.get(r.sequence_id, 0)
+        room[r.sequence_id] = r.offset + r.length
+    assert max(room.values()) <= packing.CAPACITY and len(room) == -(-sum(map(len, ids.values())) // packing.CAPACITY)
