@@ -1,23 +1,25 @@
 """Operator 7: line dedup by winnowing over line hashes.
 
 A passage counts as repeated when a run of whole lines with at least PASSAGE words occurs earlier: in an earlier document by
-doc_id, or earlier in the same one. Each line has two windows: the shortest run from there, and the shortest run up to
-there, with that many words. A line of a repeated run has one of the two inside the run (the one from there, or else, where
-too few words follow, the one up to the run's last line covers it), so both kinds together reach the whole repeated run and
-nothing beyond it. The least line hash in a window is its fingerprint, so two equal runs always share one, and what joins is
-(fingerprint, window hash) with positions. Only the first position of each is looked up, never all pairs, and the lines of
-matching windows go from all places but the first.
+doc_id, or earlier in the same one. A window is the shortest run of lines from a line on, or up to a line, with that many
+words; of each window the least line hash is selected (the last one among equals). Neighbouring windows mostly select the same line,
+so there are far fewer fingerprints than lines, and two equal runs always have a fingerprint in common, at the same line.
+Fingerprints are joined first: one that occurs once in the corpus can't lie in a repeated run and goes. Around those that
+repeat, matches are verified and extended both ways by the windows that selected them, which have digests: the windows that
+agree with an earlier place reach as far as the repeated run, and no farther. Only the first place of each is looked up, never
+all pairs, and the lines of matching windows go from all places but the first.
 
 Lines are compared without white space at their ends; lines without words take no part and go only inside a deleted run.
 A run that overlaps its own first place keeps that place. Null and empty texts stay as they are. Rows that agree in
-doc_id and text count as one document and get the same result. The order of documents with a null doc_id is first.
+doc_id and text count as one document and get the same result. The order of documents with a null doc_id is first. Of
+columns with clashing names the carried ones stay.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaverlake.llm.common import as_text, materialize, table, with_text_columns
@@ -27,8 +29,8 @@ PASSAGE = 50
 SPACE = b" \t\n\x0b\x0c\r"
 
 
-def windows(text: str | None, passage: int) -> list[tuple[int, int, int, int]]:
-    """(fingerprint, window hash, first line, last line) of each window of whole lines; one that is shortest both ways comes once."""
+def fingerprints(text: str | None, passage: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """The selected line hashes, each with the windows that selected it: (window hash, first line, last line)."""
     hashes, words, at = [], [], []
     for i, line in enumerate(as_text(text).encode().split(b"\n")):
         if n := len(line.split()):
@@ -43,27 +45,32 @@ def windows(text: str | None, passage: int) -> list[tuple[int, int, int, int]]:
     pairs = [(a, b) for a, b in enumerate(end.tolist()) if b < len(words)]
     begin = np.searchsorted(total, total[1:] - passage, "right") - 1
     pairs += [(a, b) for b, a in enumerate(begin.tolist()) if a >= 0 and end[a] != b]
-    out = []
+    chosen: dict[int, list[tuple[int, int, int]]] = {}
     for a, b in pairs:
         run = hashes[a : b + 1]
-        digest = xxhash.xxh3_64_intdigest(np.array(run, np.uint64).tobytes())
-        out.append((signed(min(run)), signed(digest), at[a], at[b]))
-    return out
+        least = max(range(a, b + 1), key=lambda i: (-hashes[i], i))
+        chosen.setdefault(least, []).append((signed(xxhash.xxh3_64_intdigest(np.array(run, np.uint64).tobytes())), at[a], at[b]))
+    return [(signed(hashes[i]), found) for i, found in sorted(chosen.items())]
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def row_id(docs: DataFrame):
-    return F.xxhash64(docs["doc_id"], docs["text"])
+def row_id(docs: DataFrame) -> Column:
+    """Two hashes of doc_id and text, so that no other document is met by chance."""
+    return F.struct(F.xxhash64(docs["doc_id"], docs["text"]).alias("h"), F.xxhash64(F.lit("again"), docs["text"], docs["doc_id"]).alias("g"))
 
 
 def repeated(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
-    """row (hash of doc_id and text), runs: the line ranges that go, as array of (first, last)."""
+    """row (as row_id gives it), runs: the line ranges that go, as array of (first, last)."""
     rows = docs.select(row_id(docs).alias("row"), "doc_id", "text")
-    found = with_text_columns(rows, lambda t: (windows(t, passage),), "w array<struct<fingerprint:bigint,digest:bigint,first:bigint,last:bigint>>", carry=["row", "doc_id"])
-    places = materialize(found.select("row", "doc_id", F.explode("w").alias("w")).select("row", "doc_id", "w.*"), "line-windows")
+    window = "array<struct<digest:bigint,first:bigint,last:bigint>>"
+    found = with_text_columns(rows, lambda t: (fingerprints(t, passage),), f"f array<struct<fingerprint:bigint,windows:{window}>>", carry=["row", "doc_id"])
+    selected = materialize(found.select("row", "doc_id", F.explode("f").alias("f")).select("row", "doc_id", "f.*"), "line-fingerprints")
+    again = selected.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fingerprint")
+    places = materialize(selected.join(again, "fingerprint", "left_semi"), "line-places")
+    places = places.select("fingerprint", "row", "doc_id", F.explode("windows").alias("w")).select("fingerprint", "row", "doc_id", "w.*")
     place = F.struct("doc_id", "row", "first", "last")
     sources = places.groupBy("fingerprint", "digest").agg(F.min(place).alias("source"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     later = places.join(sources, ["fingerprint", "digest"]).filter("row != source.row or first != source.first")
