@@ -1,11 +1,13 @@
 r"""Operator 1: personal data, by candidate generators and boosted trees, in DataFrame functions only.
 
 Four base patterns (email, IP address, card, phone) give the base spans, which always stay. Wider generators propose
-overlapping candidate spans (written-out addresses, numbers in other groupings). Boosted trees score each candidate by its
-format and its context; they learn on a bounded sample of documents, where a candidate counts as true if it is a base span,
-and see nothing that alone decides the base rules. On a held-out part each kind gets the least threshold at which PRECISION
-of the accepted candidates are true, or none; accepted candidates that touch no span are added. The scored model is an
-expression of Spark columns; numpy serves on the driver only, for the fit.
+overlapping candidate spans (written-out addresses, numbers in other groupings, keys and passwords). Boosted trees score each
+candidate by its format and its context. They learn on a bounded sample of documents: true are base spans and their
+rewritings (at and dot written out, other separators, other prefixes) in the context of the base span, false are all other
+candidates; of secrets, for which there is no base pattern, those are true that a word such as token or password is assigned
+to, and the trees don't see that word. On a held-out part each kind gets the least threshold at which PRECISION of the accepted
+candidates are true, or none. Accepted candidates that touch no base span compete: of those that overlap, the one of the
+higher score is added. The scored model is an expression of Spark columns; numpy serves on the driver only, for the fit.
 
 Base patterns are leftmost and non-overlapping per kind. They are written so that matching is linear: runs start only
 where a run can start, and groups don't give back. Positions are code points, ends exclusive. Null texts count as empty and
@@ -22,6 +24,8 @@ from quaverlake.llm import boosting
 from quaverlake.llm.common import bounded_sample, table
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kinds of candidates: those of base spans, then those that only the method finds.
+ALL = (*KINDS, "secret")
 #: Documents that the trees are fitted on, about, and candidates at most.
 SAMPLE, MOST_CANDIDATES = 6_000, 40_000
 PRECISION = 0.99
@@ -38,9 +42,19 @@ WIDE = {
     "ip": r"(?<![0-9])[0-9]{1,3}(?:\x20?[.,]\x20?[0-9]{1,3}){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[\x20._/-]?[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+|00)?[\x20]?\(?[0-9]{1,4}\)?(?:[\x20./-]?\(?[0-9]{2,5}\)?){1,5}(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{16,200}={0,2}(?![A-Za-z0-9+/_=@-])",
 }
+#: Rewritings of base spans, as pattern and replacement; the trees learn from them what candidates look like that no base pattern finds.
+REWRITTEN = {
+    "email": (("@", " [at] "), ("@", " @ "), (r"^([^@]*)@(.*)\.([^.]*)$", "$1(at)$2(dot)$3")),
+    "ip": ((r"\.", " . "), (r"\.", ",")),
+    "card": ((r"[^0-9]|(?<=^[0-9]{4}|^[0-9]{8}|^[0-9]{12})(?=[0-9])", "."), (r"[^0-9]|(?<=^[0-9]{4}|^[0-9]{8}|^[0-9]{12})(?=[0-9])", "/")),
+    "phone": ((r"^\+", "00"), (r"^\+[0-9]{1,3}[\x20.-]", ""), (r"[\x20-]", "/")),
+}
+#: What a secret is assigned to.
+ASSIGNED = r"(?i)(?:token|secret|passwor[dt]|passwd|pwd|api[_-]?key|access[_-]?key|credential|auth)\w*[\"']?\x20?(?:=>?|:)\x20?[\"']?$"
 CUES = (r"(?i)\b(?:e-?mail|contact|write|mailto)\b", r"(?i)\b(?:ip|host|server|address|client)\b", r"(?i)\b(?:card|visa|credit|payment)\b", r"(?i)\b(?:tel|phone|call|mobile|fax)\b")
-CONTEXT = 24
+CONTEXT, FEATURES = 24, 13 + len(CUES)
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -86,7 +100,7 @@ def valid(kind: str, m: Column) -> Column:
 
 def spans_of(kind: str, found: Column) -> Column:
     """array<struct<kind, s, e>>: kind as its place in KINDS."""
-    return F.transform(found, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    return F.transform(found, lambda x: F.struct(F.lit(ALL.index(kind)).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
 
 
 def base_columns(text: Column) -> dict[str, Column]:
@@ -107,6 +121,10 @@ def features(kind: Column, m: Column, before: Column, after: Column) -> list[Col
         F.size(F.split(m, "[^0-9]+")).cast("double"),
         F.length(F.regexp_replace(m, "[^A-Za-z]", "")).cast("double"),
         flag(F.when(number.between(13, 19), luhn(m)).otherwise(False)),
+        F.size(F.array_distinct(F.split(m, ""))).cast("double"),
+        flag(m.rlike("^[0-9a-f]+$")),
+        flag(m.rlike("[a-z]") & m.rlike("[A-Z]")),
+        flag(before.rlike("[=:]\\x20?[\"']?$")),
         flag(before.rlike("[A-Za-z0-9]$")),
         flag(after.rlike("^[A-Za-z0-9]")),
         *(flag(before.rlike(cue)) for cue in CUES),
@@ -114,12 +132,13 @@ def features(kind: Column, m: Column, before: Column, after: Column) -> list[Col
 
 
 def candidates(text: Column, kind: str) -> Column:
-    """array<struct<kind, s, e, x>> of the wide generator of a kind, with the features x."""
+    """array<struct<kind, s, e, assigned, x>> of the wide generator of a kind, with the features x."""
 
     def row(c: Column) -> Column:
         before = F.substring(text, F.greatest(c["s"] - CONTEXT, F.lit(0)) + 1, F.least(c["s"], F.lit(CONTEXT)))
         after = F.substring(text, c["e"] + 1, F.lit(1))
-        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), c["s"].alias("s"), c["e"].alias("e"), F.array(*features(F.lit(KINDS.index(kind)), c["m"], before, after)).alias("x"))
+        assigned = before.rlike(ASSIGNED) if kind == "secret" else F.lit(False)
+        return F.struct(F.lit(ALL.index(kind)).alias("kind"), c["s"].alias("s"), c["e"].alias("e"), assigned.alias("assigned"), F.array(*features(F.lit(ALL.index(kind)), c["m"], before, after)).alias("x"))
 
     return F.transform(matches(text, WIDE[kind]), row)
 
@@ -127,22 +146,37 @@ def candidates(text: Column, kind: str) -> Column:
 def with_candidates(docs: DataFrame, carry: list[Column]) -> DataFrame:
     """carry, body (the text, or empty), base (all base spans) and wide (all candidates), by kind and then by start."""
     body = docs.select(*carry, F.coalesce("text", F.lit("")).alias("body"))
-    found = body.select("*", *(c.alias(n) for n, c in base_columns(F.col("body")).items()), *(candidates(F.col("body"), k).alias(f"wide_{k}") for k in KINDS))
-    return found.select("*", F.concat(*(f"base_{k}" for k in KINDS)).alias("base"), F.concat(*(f"wide_{k}" for k in KINDS)).alias("wide"))
+    found = body.select("*", *(c.alias(n) for n, c in base_columns(F.col("body")).items()), *(candidates(F.col("body"), k).alias(f"wide_{k}") for k in ALL))
+    return found.select("*", F.concat(*(f"base_{k}" for k in KINDS)).alias("base"), F.concat(*(f"wide_{k}" for k in ALL)).alias("wide"))
+
+
+def rewritings(sample: DataFrame) -> DataFrame:
+    """x and y of the candidates of each kind in rewritten base spans, within their context: true are those that are the whole span."""
+    spans = sample.select("body", F.explode("base").alias("b"))
+    near = spans.select(F.col("b.kind").alias("kind"), F.substring("body", F.greatest(F.col("b.s") - CONTEXT, F.lit(0)) + 1, F.least(F.col("b.s"), F.lit(CONTEXT))).alias("before"), F.substring("body", F.col("b.s") + 1, F.col("b.e") - F.col("b.s")).alias("m"), F.substring("body", F.col("b.e") + 1, F.lit(CONTEXT)).alias("after"))
+    out = []
+    for kind, rules in REWRITTEN.items():
+        own = near.filter(F.col("kind") == KINDS.index(kind))
+        new = own.select("before", "after", F.explode(F.array(*(F.regexp_replace("m", *rule) for rule in rules))).alias("new"), "m").filter("new <> m")
+        text = new.select(F.concat("before", "new", "after").alias("body"), F.length("before").alias("s"), (F.length("before") + F.length("new")).alias("e"))
+        c = text.select("s", "e", F.explode(candidates(F.col("body"), kind)).alias("c"))
+        out.append(c.select(F.col("c.x").alias("x"), ((F.col("c.s") == F.col("s")) & (F.col("c.e") == F.col("e"))).cast("int").alias("y")))
+    return out[0].union(out[1]).union(out[2]).union(out[3])
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE) -> tuple[boosting.Trees, list[float]]:
     """Trees, and for each kind the margin from which a candidate is accepted (infinite if no threshold is precise enough)."""
     sample = with_candidates(bounded_sample(docs.select("doc_id", "text"), rows, "doc_id"), [])
-    rows_ = sample.select(F.explode("wide").alias("c"), "base").select(F.col("c.x").alias("x"), F.exists("base", lambda b: (b["kind"] == F.col("c.kind")) & (b["s"] == F.col("c.s")) & (b["e"] == F.col("c.e"))).cast("int").alias("y"))
-    found = rows_.groupBy("x", "y").count().orderBy(F.desc("count"), "x", "y").limit(MOST_CANDIDATES).collect()
+    is_base = F.exists("base", lambda b: (b["kind"] == F.col("c.kind")) & (b["s"] == F.col("c.s")) & (b["e"] == F.col("c.e")))
+    known = sample.select(F.explode("wide").alias("c"), "base").select(F.col("c.x").alias("x"), (is_base | F.col("c.assigned")).cast("int").alias("y"))
+    found = known.union(rewritings(sample)).groupBy("x", "y").count().orderBy(F.desc("count"), "x", "y").limit(MOST_CANDIDATES).collect()
     if not found:
-        return boosting.flat([], [], -20.0), [float("inf")] * len(KINDS)
+        return boosting.flat([], [], -20.0), [float("inf")] * len(ALL)
     x, y, n = np.array([r.x for r in found]), np.array([r.y for r in found], float), np.array([r["count"] for r in found], float)
     held = np.arange(len(y)) % 3 == 2
     trees = boosting.fit(x[~held], y[~held], weight=n[~held], trees=25)
     margins, limits = trees.margin(x), []
-    for k in range(len(KINDS)):
+    for k in range(len(ALL)):
         own = held & (x[:, 0] == k)
         order = np.argsort(-margins[own], kind="stable")
         level, true, weight = margins[own][order], y[own][order], n[own][order]
@@ -160,21 +194,24 @@ def personal_data(docs: DataFrame, model: tuple[boosting.Trees, list[float]], ca
     if all(np.isinf(limits)):
         return found.select("*", F.col("base").alias("spans"))
     limit = F.array(*(F.lit(float(v)) for v in limits))
-    wanted = lambda c: trees.column([c["x"][i] for i in range(5 + 4 + len(CUES))]) >= F.element_at(limit, c["kind"] + 1)
     free = F.filter("wide", lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    found = found.select("*", free.alias("free"))
-    added = F.transform(F.filter("free", wanted), lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
-    return found.select("*", F.when(F.size("free") > 0, F.array_sort(F.concat("base", added))).otherwise(F.col("base")).alias("spans"))
+    scored = F.transform("free", lambda c: F.struct((-trees.column([c["x"][i] for i in range(FEATURES)])).alias("score"), c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
+    wanted = F.array_sort(F.filter("scored", lambda c: -c["score"] >= F.element_at(limit, c["kind"] + 1)))
+    span = lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"))
+    none = F.array().cast("array<struct<kind:int,s:int,e:int>>")
+    add = lambda acc, c: F.when(F.exists(acc, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])), acc).otherwise(F.concat(acc, F.array(span(c))))
+    found = found.select("*", free.alias("free")).select("*", scored.alias("scored"))
+    return found.select("*", F.when(F.size("free") > 0, F.array_sort(F.concat("base", F.aggregate(wanted, none, add)))).otherwise(F.col("base")).alias("spans"))
 
 
 def written(spans: Column) -> Column:
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, ALL))
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
 def redacted(body: Column, spans: Column) -> Column:
     """The text with each span (overlapping ones as one) replaced by the name of its kind in brackets."""
-    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    names = F.array(*(F.lit(f"[{k.upper()}]") for k in ALL))
     by_start = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -200,4 +237,4 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = personal_data(docs, fit(docs), [F.col("doc_id")])
     counts = [F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

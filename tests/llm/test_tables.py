@@ -82,6 +82,20 @@ def test_jaccard_empty(spark):
     assert jaccard.jaccard_components(docs).collect() == [] and jaccard.one_of_each(docs).collect() == []
 
 
+def test_pii_adds_spans(spark):
+    """What the trees add lies outside base spans, all of it is assigned to a token, and no such token is missed."""
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text")
+    found = pii.personal_data(docs, pii.fit(docs), [F.col("doc_id")]).filter("size(spans) > size(base) OR contains(lower(body), 'token = ')").collect()
+    added = 0
+    for r in found:
+        new = [s for s in r.spans if s not in r.base]
+        assert all(s.e <= b.s or b.e <= s.s for s in new for b in r.base)
+        tokens = [m.span(1) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.body)]
+        assert set(tokens) <= {(s.s, s.e) for s in new if pii.ALL[s.kind] == "secret"}
+        added += len(new)
+    assert added >= 100
+
+
 def plain_line_dedup(rows, passage=50):
     """Every line of a run of whole lines with enough words that occurs in an earlier text, by extending each pair of equal lines.
 
