@@ -27,9 +27,10 @@ def keep_first(df: DataFrame, key: list[Column], order: list[Column]) -> DataFra
 
 
 def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by source and first 40 characters (in lower case), the first by doc_id."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.lower(F.substring("text", 1, 40)).alias("head"))
-    return keep_first(d, [F.col("source"), F.col("head")], [F.col("doc_id")]).select("doc_id", "source")
+    """Documents by source and text (in lower case, two hashes of it), the first by doc_id."""
+    text = F.lower("text")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5(text).alias("h"), F.xxhash64(text).alias("g"))
+    return keep_first(d, [F.col("source"), F.col("h"), F.col("g")], [F.col("doc_id")]).select("doc_id", "source")
 
 
 def composer_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +227,7 @@ SUBJECT_SQL = """gr AS (SELECT * FROM (SELECT piece_id, voice, start, [lead(pitc
 sb AS (SELECT piece_id, g AS s FROM (SELECT *, row_number() OVER (PARTITION BY piece_id ORDER BY start, voice) AS r FROM gr) WHERE r = 1),
 cn AS (SELECT piece_id, voice, start, round((CAST(abs(g[1] - s[1]) <= 1 AS INT) + CAST(abs(g[2] - s[2]) <= 1 AS INT) + CAST(abs(g[3] - s[3]) <= 1 AS INT) + CAST(g[4] = s[4] AS INT)) / 4.0, 9) AS quality FROM gr JOIN sb USING (piece_id))"""
 SQL = {
-    "dedup_keep_first": "SELECT min(doc_id) AS doc_id, source FROM documents GROUP BY source, lower(substring(text, 1, 40))",
+    "dedup_keep_first": "SELECT min(doc_id) AS doc_id, source FROM documents GROUP BY source, lower(text)",
     "composer_filter": f"WITH {STYLE_SQL} SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM sty WHERE style IN (SELECT style FROM sty WHERE source = 'src1'))",
     "anti_known_paths": "SELECT page_id, url FROM pages WHERE page_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src0')",
     "error_page_filter": "SELECT CASE WHEN length(html) < 32 THEN 'short' WHEN instr(lower(substring(html, 1, 4096)), '<html') > 0 OR instr(lower(substring(html, 1, 4096)), 'access unsuccessful') > 0 THEN 'html' ELSE 'none' END AS reason, count(*) AS pages FROM pages GROUP BY 1",

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quaverlake.functions.pitch import DURATIONS, HARMONIC_MINOR, MAJOR, PROFILE_MAJOR, PROFILE_MINOR, correlation, interval_kind, lits, nearest_bin, pitch_class, scale_degree
-from quaverlake.operators.labels import SCALE_SQL
+from quaverlake.functions.pitch import DURATIONS, HARMONIC_MINOR, MAJOR, PROFILE_MAJOR, PROFILE_MINOR, correlation, interval_kind, lits, nearest_bin, pitch_class
+from quaverlake.operators.runs import degree_parts
 from quaverlake.plans.views import NOTES_SQL, key_mode, key_root, notes, table
 
 assert len(MAJOR) == len(HARMONIC_MINOR)
@@ -42,7 +42,7 @@ def interval_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duration_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return histogram(notes(spark, sf_dir), nearest_bin(F.col("dur") + 30), 11)
+    return histogram(notes(spark, sf_dir), nearest_bin(F.col("dur")), 11)
 
 
 def interval_bigram_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +51,8 @@ def interval_bigram_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scale_degree_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = notes(spark, sf_dir).withColumn("degree", scale_degree(pitch_class(F.col("pitch")), key_root(), key_mode()))
-    return histogram(n, F.col("degree") - 1, 7)
+    """Every note by its tonic-relative degree; notes off the scale (natural minor) count as the degree below, raised."""
+    return histogram(notes(spark, sf_dir), degree_parts(F.col("pitch"), key_root(), key_mode())["degree"] - 1, 7)
 
 
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("pitch_class_dist").alias("dist"), pitch_class(F.col("pitch")).alias("bin")),
         F.struct(F.lit("interval_dist").alias("dist"), clipped(F.col("ivl")).cast("int").alias("bin")),
         F.struct(F.lit("duration_dist").alias("dist"), nearest_bin(F.col("dur")).cast("int").alias("bin")),
-        F.struct(F.lit("scale_degree_dist").alias("dist"), (scale_degree(pitch_class(F.col("pitch")), key_root(), key_mode()) - 1).cast("int").alias("bin")),
+        F.struct(F.lit("scale_degree_dist").alias("dist"), (degree_parts(F.col("pitch"), key_root(), key_mode())["degree"] - 1).cast("int").alias("bin")),
     )
     counts = s.select(F.explode(rows).alias("r")).select("r.*").filter("bin is not null").groupBy("dist", "bin").agg(F.count(F.lit(1)).alias("c"))
     return counts.select("dist", "bin", F.round(F.col("c") / (F.sum("c").over(W.partitionBy("dist")) + 1e-10), 9).alias("p"))
@@ -104,23 +104,27 @@ def median_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of a voice's commonest cell of two intervals."""
-    s = with_steps(notes(spark, sf_dir)).filter("before is not null")
-    cells = s.groupBy("piece_id", "voice", "before", "ivl").agg(F.count(F.lit(1)).alias("c"))
-    return cells.groupBy("piece_id", "voice").agg(F.round(F.max("c") / F.sum("c"), 9).alias("repeat_ratio"))
+    """The share of a voice's commonest cell of four intervals; 0 for voices of fewer than five notes."""
+    return cell_ratios(notes(spark, sf_dir)).select("piece_id", "voice", F.round("rep", 9).alias("repeat_ratio"))
+
+
+def cell_ratios(n: DataFrame, length: int = 4) -> DataFrame:
+    w = W.partitionBy("piece_id", "voice").orderBy("start", "note_idx")
+    s = n.select("piece_id", "voice", *((F.lag("pitch", k).over(w) - F.lag("pitch", k + 1).over(w)).alias(f"i{k}") for k in range(length)))
+    last = f"i{length - 1}"
+    cells = s.groupBy("piece_id", "voice", *(f"i{k}" for k in range(length))).agg(F.count(F.lit(1)).alias("k"))
+    whole = F.when(F.col(last).isNotNull(), F.col("k"))
+    return cells.groupBy("piece_id", "voice").agg(F.coalesce(F.max(whole) / F.sum(whole), F.lit(0.0)).alias("rep"))
 
 
 def accompaniment_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean of five ratios that are high where the lowest voice accompanies; 0 with fewer than 24 low or 8 high notes."""
+    """Mean of five ratios (uncapped) that are high where the lowest voice accompanies; 0 with fewer than 24 low or 8 high notes."""
     n = notes(spark, sf_dir)
-    s = with_steps(n)
-    per = n.groupBy("piece_id", "voice").agg(F.count(F.lit(1)).alias("c"), F.avg("pitch").alias("mean"), F.percentile("dur", F.lit(0.5)).alias("med"), F.avg(F.when(F.col("dur") <= 240, 1.0).otherwise(0.0)).alias("short"), (F.max(F.col("start") + F.col("dur")) - F.min("start")).alias("span"))
-    cells = s.filter("before is not null").groupBy("piece_id", "voice", "before", "ivl").agg(F.count(F.lit(1)).alias("k")).groupBy("piece_id", "voice").agg((F.max("k") / F.sum("k")).alias("rep"))
-    v = per.join(cells, ["piece_id", "voice"], "left")
-    row = F.struct("c", "med", "short", (F.col("c") / F.greatest(F.lit(1), F.ceil(F.col("span") / 1920))).alias("density"), F.coalesce("rep", F.lit(0.0)).alias("rep"))
-    ends = v.groupBy("piece_id").agg(F.min_by(row, F.struct("mean", "voice")).alias("low"), F.max_by(row, F.struct("mean", (-F.col("voice")).alias("v"))).alias("top"), F.count(F.lit(1)).alias("voices"))
-    one = lambda c: F.least(F.lit(1.0), c)
-    parts = [one(F.col("low.short") / 0.70), one(F.col("low.density") / 8), one(F.col("low.rep") / 0.20), one(F.col("top.med") / F.col("low.med") / 1.8), one(F.col("low.c") / F.col("top.c") / 1.5)]
+    per = n.groupBy("piece_id", "voice").agg(F.count(F.lit(1)).alias("c"), F.avg("pitch").alias("mean"), F.percentile("dur", F.lit(0.5)).alias("med"), F.avg(F.when(F.col("dur") <= 240, 1.0).otherwise(0.0)).alias("short"), F.max(F.col("start") + F.col("dur")).alias("end"))
+    v = per.join(cell_ratios(n), ["piece_id", "voice"])
+    row = F.struct("c", "med", "short", (F.col("c") / F.greatest(F.lit(1), F.ceil(F.col("end") / 1920))).alias("density"), "rep")
+    ends = v.groupBy("piece_id").agg(F.min_by(row, F.struct("mean", "voice")).alias("low"), F.max_by(row, F.struct("mean", "voice")).alias("top"), F.count(F.lit(1)).alias("voices"))
+    parts = [F.col("low.short") / 0.70, F.col("low.density") / 8, F.col("low.rep") / 0.20, F.col("top.med") / F.greatest(F.lit(1.0), F.col("low.med")) / 1.8, F.col("low.c") / F.col("top.c") / 1.5]
     mean = sum(parts[1:], parts[0]) / 5
     return ends.select("piece_id", F.round(F.when((F.col("low.c") < 24) | (F.col("top.c") < 8) | (F.col("voices") < 2), 0.0).otherwise(mean), 9).alias("severity"))
 
@@ -180,22 +184,26 @@ def round_rank(q: float) -> str:
     return f"max(CASE WHEN r = CAST(round_even((n - 1) * {q}, 0) AS BIGINT) THEN l_quantity END)"
 
 
+#: Steps of the natural scale up to a pitch, and the cells of four intervals of a voice with their counts.
+DEGREE_SQL = "len(list_filter(CASE WHEN key_mode = 'major' THEN [0,2,4,5,7,9,11] ELSE [0,2,3,5,7,8,10] END, lambda q: q <= (pitch - key_root + 120) % 12))"
+CELLS_SQL = """ce AS (SELECT piece_id, voice, coalesce(max(k) * 1.0 / sum(k), 0.0) AS rep FROM (SELECT piece_id, voice, CASE WHEN len(c) = 5 THEN count(*) END AS k FROM
+ (SELECT piece_id, voice, CASE WHEN len(p) = 5 THEN list_transform(p, lambda x: x - p[1]) ELSE [0] END AS c FROM (SELECT piece_id, voice, list(pitch) OVER (PARTITION BY piece_id, voice ORDER BY start, note_idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS p FROM n)) GROUP BY piece_id, voice, c) GROUP BY 1, 2)"""
 SQL = {
     "pitch_class_hist": f"WITH {NOTES_SQL}, " + hist_sql("n", "pitch % 12", 12),
     "interval_hist": f"WITH {NOTES_SQL}, {STEPS_SQL}, " + hist_sql("st", "CASE WHEN ivl IS NOT NULL THEN least(greatest(ivl, -12), 12) + 12 END", 25),
-    "duration_hist": f"WITH {NOTES_SQL}, " + hist_sql("(SELECT piece_id, bx FROM n JOIN (SELECT dur, " + bin_sql("dur + 30") + " AS bx FROM (SELECT DISTINCT dur FROM n)) q USING (dur))", "bx", 11),
+    "duration_hist": f"WITH {NOTES_SQL}, " + hist_sql("(SELECT piece_id, bx FROM n JOIN (SELECT dur, " + bin_sql("dur") + " AS bx FROM (SELECT DISTINCT dur FROM n)) q USING (dur))", "bx", 11),
     "interval_bigram_hist": f"WITH {NOTES_SQL}, {STEPS_SQL}, " + hist_sql("(SELECT * FROM st WHERE before IS NOT NULL)", f"{kind_sql('before')} * 5 + {kind_sql('ivl')}", 25),
-    "scale_degree_hist": f"WITH {NOTES_SQL}, " + hist_sql("(SELECT * FROM n JOIN pc USING (piece_id))", f"list_position({SCALE_SQL}, (pitch % 12 - key_root + 12) % 12) - 1", 7),
+    "scale_degree_hist": f"WITH {NOTES_SQL}, " + hist_sql("(SELECT * FROM n JOIN pc USING (piece_id))", f"{DEGREE_SQL} - 1", 7),
     "corpus_stats": f"""WITH {NOTES_SQL}, {STEPS_SQL}, r AS (SELECT 'pitch_class_dist' AS dist, pitch % 12 AS bin FROM n UNION ALL SELECT 'interval_dist', least(greatest(ivl, -12), 12) + 12 FROM st WHERE ivl IS NOT NULL
-UNION ALL SELECT 'duration_dist', list_position({DURATIONS}, dur) - 1 FROM n UNION ALL SELECT 'scale_degree_dist', list_position({SCALE_SQL}, (pitch % 12 - key_root + 12) % 12) - 1 FROM n JOIN pc USING (piece_id)), c AS (SELECT dist, bin, count(*) AS c FROM r WHERE bin >= 0 GROUP BY 1, 2)
+UNION ALL SELECT 'duration_dist', list_position({DURATIONS}, dur) - 1 FROM n UNION ALL SELECT 'scale_degree_dist', {DEGREE_SQL} - 1 FROM n JOIN pc USING (piece_id)), c AS (SELECT dist, bin, count(*) AS c FROM r WHERE bin >= 0 GROUP BY 1, 2)
 SELECT dist, CAST(bin AS INT) AS bin, round(c / (sum(c) OVER (PARTITION BY dist) + 1e-10), 9) AS p FROM c""",
     "detect_key": f"WITH {NOTES_SQL}, " + keys_sql("n", "piece_id"),
     "modulation_windows": f"WITH {NOTES_SQL}, w0 AS (SELECT piece_id, CAST((start - min(start) OVER (PARTITION BY piece_id)) // 3840 AS BIGINT) AS win, pitch FROM n), wn AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY piece_id, win) AS m FROM w0) WHERE m >= 4), best AS (WITH " + keys_sql("wn", "piece_id, win") + ") SELECT piece_id, win, key_root, key_mode FROM best WHERE corr > 0.5",
     "median_duration": f"WITH {NOTES_SQL} SELECT piece_id, voice, CAST(median(dur) AS DOUBLE) AS median_dur FROM n GROUP BY 1, 2",
-    "repeated_cells": f"WITH {NOTES_SQL}, {STEPS_SQL}, c AS (SELECT piece_id, voice, before, ivl, count(*) AS c FROM st WHERE before IS NOT NULL GROUP BY 1, 2, 3, 4) SELECT piece_id, voice, round(max(c) * 1.0 / sum(c), 9) AS repeat_ratio FROM c GROUP BY 1, 2",
-    "accompaniment_severity": f"""WITH {NOTES_SQL}, {STEPS_SQL}, c AS (SELECT piece_id, voice, max(k) * 1.0 / sum(k) AS rep FROM (SELECT piece_id, voice, before, ivl, count(*) AS k FROM st WHERE before IS NOT NULL GROUP BY 1, 2, 3, 4) GROUP BY 1, 2),
-v AS (SELECT n.piece_id, n.voice, count(*) AS c, avg(pitch) AS mean, median(dur) AS med, avg(CASE WHEN dur <= 240 THEN 1.0 ELSE 0.0 END) AS short, count(*) * 1.0 / greatest(1, ceil((max(start + dur) - min(start)) / 1920.0)) AS density FROM n GROUP BY 1, 2),
-x AS (SELECT v.*, coalesce(rep, 0) AS rep, row_number() OVER (PARTITION BY v.piece_id ORDER BY mean, v.voice) AS lo, row_number() OVER (PARTITION BY v.piece_id ORDER BY mean DESC, v.voice) AS hi, count(*) OVER (PARTITION BY v.piece_id) AS voices FROM v LEFT JOIN c USING (piece_id, voice))
-SELECT l.piece_id, round(CASE WHEN l.c < 24 OR t.c < 8 OR l.voices < 2 THEN 0.0 ELSE (least(1.0, l.short / 0.70) + least(1.0, l.density / 8) + least(1.0, l.rep / 0.20) + least(1.0, t.med / l.med / 1.8) + least(1.0, l.c * 1.0 / t.c / 1.5)) / 5 END, 9) AS severity FROM x l JOIN x t ON l.piece_id = t.piece_id AND l.lo = 1 AND t.hi = 1""",
+    "repeated_cells": f"WITH {NOTES_SQL}, {CELLS_SQL} SELECT piece_id, voice, round(rep, 9) AS repeat_ratio FROM ce",
+    "accompaniment_severity": f"""WITH {NOTES_SQL}, {CELLS_SQL},
+v AS (SELECT n.piece_id, n.voice, count(*) AS c, avg(pitch) AS mean, median(dur) AS med, avg(CASE WHEN dur <= 240 THEN 1.0 ELSE 0.0 END) AS short, count(*) * 1.0 / greatest(1, ceil(max(start + dur) / 1920.0)) AS density FROM n GROUP BY 1, 2),
+x AS (SELECT v.*, rep, row_number() OVER (PARTITION BY v.piece_id ORDER BY mean, v.voice) AS lo, row_number() OVER (PARTITION BY v.piece_id ORDER BY mean DESC, v.voice DESC) AS hi, count(*) OVER (PARTITION BY v.piece_id) AS voices FROM v JOIN ce USING (piece_id, voice))
+SELECT l.piece_id, round(CASE WHEN l.c < 24 OR t.c < 8 OR l.voices < 2 THEN 0.0 ELSE (l.short / 0.70 + l.density / 8 + l.rep / 0.20 + t.med / greatest(1, l.med) / 1.8 + l.c * 1.0 / t.c / 1.5) / 5 END, 9) AS severity FROM x l JOIN x t ON l.piece_id = t.piece_id AND l.lo = 1 AND t.hi = 1""",
     "nearest_rank_pct": "WITH r AS (SELECT l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - 1 AS r, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) SELECT l_returnflag, " + ", ".join(f"{floor_rank(q)} AS floor_p{int(q * 100)}, {round_rank(q)} AS round_p{int(q * 100)}, quantile_cont(l_quantity, {q}) AS linear_p{int(q * 100)}" for q in (0.1, 0.5, 0.9)) + " FROM r GROUP BY 1",
 }

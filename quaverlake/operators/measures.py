@@ -70,10 +70,12 @@ def repeated_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shifted_pairs(spark: SparkSession, sf_dir: str, length: int = 24) -> DataFrame:
-    """Inputs and labels of each turn: its first `length` tokens, padded, without the last and without the first."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(F.split(F.lower("text"), " "), 1, length).alias("w"))
-    full = c.withColumn("w", F.concat("w", F.array_repeat(F.lit("<pad>"), F.lit(length) - F.size("w"))))
-    return full.select("conv_id", "turn", F.array_join(F.slice("w", 1, length - 1), " ").alias("inputs"), F.array_join(F.slice("w", 2, length - 1), " ").alias("labels"))
+    """Inputs and labels of each turn, in crops of `length` tokens, the last one padded: without the last token and without the first."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split(F.lower("text"), " ").alias("words"))
+    crops = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / length).cast("int")), lambda i: F.slice("words", i * length + 1, F.lit(length)))
+    full = c.select("conv_id", "turn", F.posexplode(crops).alias("crop", "w"))
+    full = full.withColumn("w", F.concat("w", F.array_repeat(F.lit("<pad>"), F.lit(length) - F.size("w"))))
+    return full.select("conv_id", "turn", "crop", F.array_join(F.slice("w", 1, length - 1), " ").alias("inputs"), F.array_join(F.slice("w", 2, length - 1), " ").alias("labels"))
 
 
 def token_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,8 +99,8 @@ def frequency_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best variant of each text's head: by a priority of sources, then by doc_id, under a collision-safe name."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring("text", 1, 30).alias("head"))
+    """The best variant of each text (in lower case, white space aside): by a priority of sources, then by doc_id, under a collision-safe name."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.lower(F.regexp_replace("text", "[ \\t\\r\\n]+", "")), 256).alias("head"))
     prio = F.when(F.col("source") == "src1", 0).when(F.col("source") == "src0", 1).otherwise(2)
     best = d.groupBy("head").agg(F.min(F.struct(prio.alias("p"), "doc_id", "source")).alias("b"))
     return best.select("b.doc_id", F.concat_ws("__", "b.source", F.col("b.doc_id").cast("string")).alias("name"))
@@ -118,9 +120,9 @@ SQL = {
     "key_frequencies": f"WITH {NOTES_SQL}, k AS (WITH {keys_sql('n', 'piece_id')}), c AS (SELECT key_root, key_mode, count(*) AS pieces FROM k GROUP BY 1, 2) SELECT *, round(100 * pieces / sum(pieces) OVER (), 6) AS percent FROM c",
     "token_ring": f"WITH {TOKENS_SQL} SELECT piece_id, turn, pos, array_to_string(list(token) OVER (PARTITION BY piece_id ORDER BY turn, pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), ' ') AS ring FROM t",
     "repeated_patterns": f"WITH {TOKENS_SQL}, q AS (SELECT piece_id, token = lag(token, 2) OVER w AND lag(token, 1) OVER w = lag(token, 3) OVER w AS same FROM t WINDOW w AS (PARTITION BY piece_id ORDER BY turn, pos)) SELECT piece_id, count(*) FILTER (same) AS repeats, count(*) AS tokens FROM q GROUP BY 1",
-    "shifted_pairs": "WITH c AS (SELECT conv_id, turn, list_resize(string_split(lower(text), ' ')[1:24], 24, '<pad>') AS w FROM conversations) SELECT conv_id, turn, array_to_string(w[1:23], ' ') AS inputs, array_to_string(w[2:24], ' ') AS labels FROM c",
+    "shifted_pairs": "WITH s AS (SELECT conv_id, turn, string_split(lower(text), ' ') AS w FROM conversations), k AS (SELECT *, unnest(range((len(w) + 23) // 24)) AS i FROM s), c AS (SELECT conv_id, turn, CAST(i AS INT) AS crop, list_resize(w[i * 24 + 1:i * 24 + 24], 24, '<pad>') AS w FROM k) SELECT conv_id, turn, crop, array_to_string(w[1:23], ' ') AS inputs, array_to_string(w[2:24], ' ') AS labels FROM c",
     "token_subset": "SELECT conv_id, turn, len(w) AS n_tokens FROM (SELECT conv_id, turn, string_split(lower(text), ' ') AS w FROM conversations) WHERE len(w) >= 20 AND list_contains(w, 'the')",
     "conditioning_dropout": f"WITH {TOKENS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY piece_id, turn, token ORDER BY pos) AS k FROM t) SELECT piece_id, turn, count(*) AS kept, count(*) FILTER (token = 'the') AS marks FROM k WHERE token <> 'of' AND (token <> 'the' OR k = 1) GROUP BY 1, 2",
     "frequency_rollup": "SELECT c_mktsegment, o_orderpriority, count(*) AS orders, round(avg(o_totalprice), 4) AS mean FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ROLLUP (c_mktsegment, o_orderpriority)",
-    "fold_variants": "SELECT doc_id, source || '__' || doc_id AS name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY substring(text, 1, 30) ORDER BY CASE source WHEN 'src1' THEN 0 WHEN 'src0' THEN 1 ELSE 2 END, doc_id) AS r FROM documents) WHERE r = 1",
+    "fold_variants": "SELECT doc_id, source || '__' || doc_id AS name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY lower(regexp_replace(text, '[ \\t\\r\\n]+', '', 'g')) ORDER BY CASE source WHEN 'src1' THEN 0 WHEN 'src0' THEN 1 ELSE 2 END, doc_id) AS r FROM documents) WHERE r = 1",
 }

@@ -40,10 +40,11 @@ def scale_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(price - mean) / (population deviation + 1e-8) of an order within its priority."""
-    w = W.partitionBy("o_orderpriority")
+    """(price - mean) / (population deviation + 1e-8) of an order within its priority; the few means are joined back."""
     o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", F.round((F.col("o_totalprice") - F.avg("o_totalprice").over(w)) / (F.stddev_pop("o_totalprice").over(w) + 1e-8), 6).alias("advantage"))
+    per = o.groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("mean"), F.stddev_pop("o_totalprice").alias("dev"))
+    joined = o.join(per, o["o_orderpriority"].eqNullSafe(per["o_orderpriority"]))
+    return joined.select("o_orderkey", F.round((F.col("o_totalprice") - F.col("mean")) / (F.col("dev") + 1e-8), 6).alias("advantage"))
 
 
 def winner_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,9 +91,9 @@ def voice_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prefix_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of conversations whose first 20 words hold each of some marks before the first full stop."""
-    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(F.split(F.lower("text"), " "), 1, 20).alias("w"))
-    stop = F.coalesce(F.nullif(F.array_position(F.transform("w", lambda x: x.endswith(".")), True), F.lit(0)), F.lit(21))
+    """Share of conversations whose first 160 words (the rule's reach) hold each of some marks before the first full stop."""
+    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(F.split(F.lower("text"), " "), 1, 160).alias("w"))
+    stop = F.coalesce(F.nullif(F.array_position(F.transform("w", lambda x: x.endswith(".")), True), F.lit(0)), F.lit(161))
     head = words.select("conv_id", "turn", F.slice("w", F.lit(1), stop.cast("int")).alias("h"))
     return head.select(F.explode(F.array(*(F.struct(F.lit(m).alias("mark"), F.array_contains("h", m).alias("has")) for m in ("the", "of", "and", "la")))).alias("m")).groupBy("m.mark").agg(F.round(F.avg(F.when(F.col("m.has"), 1.0).otherwise(0.0)), 9).alias("share"))
 
@@ -108,6 +109,6 @@ SELECT piece_id, pitch, CAST(floor((pitch - key_root) / 12.0) - 1 AS INT) AS oct
     "running_reward": "SELECT event_id, round(sum(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS so_far, max(value) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) <= max(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 3 PRECEDING) + 0.005 AS plateau FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "page_names": "SELECT page_id, CASE WHEN regexp_replace(lower(split_part(url, ',', 1)), '[^a-z0-9]+', '', 'g') = '' THEN 'composer' ELSE regexp_replace(lower(split_part(url, ',', 1)), '[^a-z0-9]+', '', 'g') END AS slug, replace(replace(url, '/', '__'), ' ', '_') AS name, CASE WHEN contains(lower(url), 'news') THEN 'news' WHEN contains(lower(url), 'blog') THEN 'blog' ELSE 'other' END AS label FROM pages",
     "voice_suffixes": "SELECT source AS original, count(*) AS rows, count(DISTINCT doc_id % 4) AS groups FROM documents GROUP BY 1",
-    "prefix_health": """WITH w AS (SELECT conv_id, turn, string_split(lower(text), ' ')[1:20] AS w FROM conversations), s AS (SELECT *, coalesce(nullif(list_position(list_transform(w, lambda x: ends_with(x, '.')), TRUE), 0), 21) AS st FROM w), m AS (SELECT unnest(['the', 'of', 'and', 'la']) AS mark)
+    "prefix_health": """WITH w AS (SELECT conv_id, turn, string_split(lower(text), ' ')[1:160] AS w FROM conversations), s AS (SELECT *, coalesce(nullif(list_position(list_transform(w, lambda x: ends_with(x, '.')), TRUE), 0), 161) AS st FROM w), m AS (SELECT unnest(['the', 'of', 'and', 'la']) AS mark)
 SELECT mark, round(avg(CASE WHEN list_contains(w[1:st], mark) THEN 1.0 ELSE 0.0 END), 9) AS share FROM s, m GROUP BY 1""",
 }

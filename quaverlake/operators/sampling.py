@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaverlake.functions.pitch import HARMONIC_MINOR, MAJOR, lits
-from quaverlake.plans.views import LOGITS_SQL, logits
+from quaverlake.plans.views import LOGITS_SQL, logits, table
 
 TEMPERATURE, TOP_K, TOP_P, MIN_P = 1.15, 10, 0.9, 0.1
 
@@ -93,15 +93,24 @@ def key_bias(spark: SparkSession, sf_dir: str, weight: float = 0.5) -> DataFrame
 
 
 def degenerate_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logits after penalties that stand on a recent-token ring: here the five likeliest tokens, as if just played.
+    """Logits after penalties that stand on the recent tokens of the conversation of the same id.
 
-    The last token loses 1; tokens of a repeated three-token pattern lose 2 each.
+    Tokens 0 to 3 are PAD, BOS, EOS and VOICE_SEP, which opens each turn; a word counts as token 4, 5 or 6 by its length. The
+    last token loses 1, the tokens of a three-token pattern that was just repeated lose 2 for each time they stand in it.
+    PAD and BOS are barred, and VOICE_SEP while the turn has fewer than four words. With fewer than four tokens nothing changes.
     """
-    g = logits(spark, sf_dir)
-    ring = g.groupBy("ctx_id").agg(F.slice(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("logit", "token_id")))), lambda x: x["token_id"]), 1, 6).alias("ring"))
-    same = F.slice("ring", 1, 3) == F.slice("ring", 4, 3)
-    loss = F.when(F.col("token_id") == F.element_at("ring", -1), 1.0).otherwise(0.0) + F.when(same & F.array_contains("ring", F.col("token_id")), 2.0).otherwise(0.0)
-    return g.join(ring, "ctx_id").select("ctx_id", "token_id", F.round(F.col("logit") - loss, 6).alias("logit"))
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("ctx_id"), "turn", F.transform(F.split(F.lower("text"), " "), lambda w: 4 + F.length(w) % 3).alias("w"))
+    t = c.select("ctx_id", "turn", F.posexplode(F.concat(F.array(F.lit(3)), "w")).alias("pos", "tok"))
+    recent = t.withColumn("back", F.row_number().over(W.partitionBy("ctx_id").orderBy(F.desc("turn"), F.desc("pos")))).filter("back <= 6")
+    ring = recent.groupBy("ctx_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("b"), "tok"))), lambda x: x["tok"]).alias("ring"), F.max(F.struct("turn", "pos"))["pos"].alias("in_turn"))
+    last = F.slice("ring", -3, 3)
+    again = (F.size("ring") == 6) & (F.slice("ring", 1, 3) == last)
+    times = F.size(F.filter(last, lambda x: x == F.col("token_id")))
+    loss = F.when(F.col("token_id") == F.element_at("ring", -1), 1.0).otherwise(0.0) + F.when(again, 2.0 * times).otherwise(0.0)
+    barred = F.col("token_id").isin(0, 1) | ((F.col("token_id") == 3) & (F.col("in_turn") < 4))
+    new = F.when(barred, float("-inf")).otherwise(F.col("logit") - loss)
+    g = logits(spark, sf_dir).join(ring, "ctx_id", "left")
+    return g.select("ctx_id", "token_id", F.round(F.when(F.size("ring") >= 4, new).otherwise(F.col("logit")), 6).alias("logit"))
 
 
 def sampled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,5 +128,8 @@ SQL = {
     "argmax_token": f"WITH {LOGITS_SQL} SELECT ctx_id, token_id FROM (SELECT *, row_number() OVER (PARTITION BY ctx_id ORDER BY logit DESC, token_id) AS r FROM g) WHERE r = 1",
     "range_mask": f"WITH {LOGITS_SQL} SELECT ctx_id, count(*) AS allowed, max(logit) AS best FROM g WHERE token_id BETWEEN 12 AND 51 GROUP BY 1",
     "key_bias": f"WITH {LOGITS_SQL} SELECT ctx_id, token_id, round(logit + CASE WHEN list_contains(CASE WHEN ctx_id % 2 = 0 THEN {MAJOR} ELSE {HARMONIC_MINOR} END, token_id % 12) THEN 0.5 ELSE -0.25 END, 6) AS logit FROM g",
-    "degenerate_penalties": f"WITH {LOGITS_SQL}, r AS (SELECT ctx_id, token_id, row_number() OVER (PARTITION BY ctx_id ORDER BY logit DESC, token_id DESC) AS k FROM g) SELECT g.ctx_id, g.token_id, round(logit - CASE WHEN k = 6 THEN 1.0 ELSE 0.0 END, 6) AS logit FROM g JOIN r USING (ctx_id, token_id)",
+    "degenerate_penalties": f"""WITH {LOGITS_SQL}, s AS (SELECT conv_id, turn, list_concat([3], list_transform(string_split(lower(text), ' '), lambda w: 4 + length(w) % 3)) AS w FROM conversations),
+a AS (SELECT conv_id AS ctx_id, flatten(list(w ORDER BY turn)) AS a, len(arg_max(w, turn)) - 1 AS in_turn FROM s GROUP BY 1)
+SELECT g.ctx_id, g.token_id, round(CASE WHEN len(a) IS NULL OR len(a) < 4 THEN logit WHEN token_id IN (0, 1) OR token_id = 3 AND in_turn < 4 THEN CAST('-inf' AS DOUBLE)
+ ELSE logit - CASE WHEN token_id = a[-1] THEN 1.0 ELSE 0.0 END - CASE WHEN len(a) >= 6 AND a[-3:] = a[-6:-4] THEN 2.0 * len(list_filter(a[-3:], lambda x: x = token_id)) ELSE 0.0 END END, 6) AS logit FROM g LEFT JOIN a USING (ctx_id)""",
 }

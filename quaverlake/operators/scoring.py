@@ -220,10 +220,14 @@ def structural_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stagger(n: DataFrame) -> DataFrame:
-    """Our own contrapuntal measure: the share of onsets that one voice has alone, and the balance of voices by notes."""
+    """Our own contrapuntal measures: the share of onsets that one voice has alone, the share of joint onsets at which voices
+    move in different directions (independence, 1 without any), and the balance of voices by notes."""
     per = n.groupBy("piece_id", "start").agg(F.countDistinct("voice").alias("m")).groupBy("piece_id").agg(F.avg(one(F.col("m") == 1)).alias("stagger"))
+    way = F.signum(F.col("pitch") - F.lag("pitch").over(W.partitionBy("piece_id", "voice").orderBy("start", "note_idx")))
+    joint = n.withColumn("way", way).groupBy("piece_id", "start").agg(F.count("way").alias("k"), (F.min("way") < F.max("way")).alias("apart")).groupBy("piece_id")
+    per = per.join(joint.agg(F.coalesce(F.avg(F.when(F.col("k") > 1, one(F.col("apart")))), F.lit(1.0)).alias("independence")), "piece_id")
     size = n.groupBy("piece_id", "voice").agg(F.count(F.lit(1)).alias("c")).groupBy("piece_id").agg((F.min("c") / F.max("c")).alias("balance"), F.sum("c").alias("total"), F.count(F.lit(1)).alias("voices"))
-    return per.join(size, "piece_id").select("piece_id", F.round("stagger", 9).alias("stagger"), F.round("balance", 9).alias("balance"), "total", "voices")
+    return per.join(size, "piece_id").select("piece_id", F.round("stagger", 9).alias("stagger"), F.round("independence", 9).alias("independence"), F.round("balance", 9).alias("balance"), "total", "voices")
 
 
 def guarded(n: DataFrame) -> DataFrame:
@@ -236,7 +240,7 @@ def guarded(n: DataFrame) -> DataFrame:
         (big & (F.col("voices") < 4), 0.70, "fugue_missing_voice"),
         (big & (F.col("cadence") < 0.45), 0.85, "fugue_weak_cadence"),
         (big & (F.col("balance") < 0.35), 0.75, "fugue_unbalanced_voices"),
-        (big & (F.col("stagger") > 0.90) & (F.col("stagger") < 0.45), 0.80, "fugue_fragmented_not_dialogic"),
+        (big & (F.col("stagger") > 0.90) & (F.col("independence") < 0.45), 0.80, "fugue_fragmented_not_dialogic"),
         (big & (F.col("stagger") < 0.10), 0.85, "fugue_over_lockstep"),
         (big & (F.col("completeness") < 0.65), 0.80, "fugue_incomplete_form"),
     ]
@@ -311,10 +315,12 @@ def share_sql(name: str, source: str, value: str, bins: int) -> str:
 STATISTICAL_SQL = f"""{H.STEPS_SQL}, {share_sql("ja", "n", "pitch % 12", 12)}, {share_sql("jb", "st", "CASE WHEN ivl IS NOT NULL THEN least(greatest(ivl, -12), 12) + 12 END", 25)}, {share_sql("jc", "n", f"list_position({H.DURATIONS}, dur) - 1", 11)},
 {share_sql("jd", "(SELECT * FROM st WHERE before IS NOT NULL)", f"{H.kind_sql('before')} * 5 + {H.kind_sql('ivl')}", 25)}, je AS (SELECT piece_id, -sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END) AS ent FROM jd2 GROUP BY 1),
 sa AS (SELECT piece_id, round(greatest(0.0, 1 - 2 * (0.20 * ja4.d + 0.25 * jb4.d + 0.20 * jc4.d + 0.35 * (ent / 4.643856189774724 * 0.5))), 6) AS statistical FROM ja4 JOIN jb4 USING (piece_id) JOIN jc4 USING (piece_id) JOIN je USING (piece_id))"""
-GUARD_SQL = """og AS (SELECT piece_id, round(avg(CASE WHEN m = 1 THEN 1.0 ELSE 0.0 END), 9) AS stagger FROM (SELECT piece_id, start, count(DISTINCT voice) AS m FROM n GROUP BY 1, 2) GROUP BY 1),
+GUARD_SQL = """iw AS (SELECT piece_id, start, sign(pitch - lag(pitch) OVER (PARTITION BY piece_id, voice ORDER BY start, note_idx)) AS way FROM n),
+iv AS (SELECT piece_id, round(coalesce(avg(CASE WHEN k > 1 THEN CASE WHEN d > 1 THEN 1.0 ELSE 0.0 END END), 1.0), 9) AS independence FROM (SELECT piece_id, start, count(way) AS k, count(DISTINCT way) AS d FROM iw GROUP BY 1, 2) GROUP BY 1),
+og AS (SELECT piece_id, round(avg(CASE WHEN m = 1 THEN 1.0 ELSE 0.0 END), 9) AS stagger FROM (SELECT piece_id, start, count(DISTINCT voice) AS m FROM n GROUP BY 1, 2) GROUP BY 1),
 sz AS (SELECT piece_id, round(min(c) * 1.0 / max(c), 9) AS balance, sum(c) AS total, count(*) AS voices FROM (SELECT piece_id, voice, count(*) AS c FROM n GROUP BY 1, 2) GROUP BY 1),
 ge AS (SELECT *, [CASE WHEN voice_leading < 0.65 THEN 'low_voice_leading' END, CASE WHEN completeness < 0.50 THEN 'low_completeness' END, CASE WHEN total >= 32 AND voices < 4 THEN 'fugue_missing_voice' END, CASE WHEN total >= 32 AND cadence < 0.45 THEN 'fugue_weak_cadence' END,
- CASE WHEN total >= 32 AND balance < 0.35 THEN 'fugue_unbalanced_voices' END, CASE WHEN total >= 32 AND stagger > 0.90 AND stagger < 0.45 THEN 'fugue_fragmented_not_dialogic' END, CASE WHEN total >= 32 AND stagger < 0.10 THEN 'fugue_over_lockstep' END, CASE WHEN total >= 32 AND completeness < 0.65 THEN 'fugue_incomplete_form' END] AS fl FROM ld JOIN cm USING (piece_id) JOIN cd USING (piece_id) JOIN og USING (piece_id) JOIN sz USING (piece_id)),
+ CASE WHEN total >= 32 AND balance < 0.35 THEN 'fugue_unbalanced_voices' END, CASE WHEN total >= 32 AND stagger > 0.90 AND independence < 0.45 THEN 'fugue_fragmented_not_dialogic' END, CASE WHEN total >= 32 AND stagger < 0.10 THEN 'fugue_over_lockstep' END, CASE WHEN total >= 32 AND completeness < 0.65 THEN 'fugue_incomplete_form' END] AS fl FROM ld JOIN cm USING (piece_id) JOIN cd USING (piece_id) JOIN og USING (piece_id) JOIN iv USING (piece_id) JOIN sz USING (piece_id)),
 gr AS (SELECT *, array_to_string(list_filter(fl, lambda x: x IS NOT NULL), '|') AS flags, round(CASE WHEN fl[1] IS NULL THEN 1 ELSE 0.8 END * CASE WHEN fl[2] IS NULL THEN 1 ELSE 0.8 END * CASE WHEN fl[3] IS NULL THEN 1 ELSE 0.7 END * CASE WHEN fl[4] IS NULL THEN 1 ELSE 0.85 END * CASE WHEN fl[5] IS NULL THEN 1 ELSE 0.75 END * CASE WHEN fl[6] IS NULL THEN 1 ELSE 0.8 END * CASE WHEN fl[7] IS NULL THEN 1 ELSE 0.85 END * CASE WHEN fl[8] IS NULL THEN 1 ELSE 0.8 END, 9) AS multiplier FROM ge)"""
 SQL = {
     "cadence_events": f"""WITH {NOTES_SQL}, v AS (SELECT *, lag(pitch) OVER (PARTITION BY piece_id, voice ORDER BY start, note_idx) AS prev FROM n), br AS (SELECT piece_id, voices, unnest(range(1920, m + 1, 1920)) AS tick FROM (SELECT piece_id, CAST(max(start + dur) AS BIGINT) AS m, count(DISTINCT voice) AS voices FROM n GROUP BY 1)),

@@ -28,20 +28,30 @@ def token_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bigram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """exp of minus the mean, over distinct bigrams, of ln(count of the bigram / count of its first token)."""
-    t = tokens(spark, sf_dir)
-    b = bigrams(t).join(unigrams(t), ["piece_id", "token"])
+    """exp of minus the mean, over distinct bigrams, of ln(count of the bigram / bigrams that begin with its first token)."""
+    return perplexity(tokens(spark, sf_dir))
+
+
+def perplexity(t: DataFrame) -> DataFrame:
+    b = bigrams(t).withColumn("c", F.sum("c2").over(W.partitionBy("piece_id", "token")))
     return b.groupBy("piece_id").agg(F.round(F.exp(-F.avg(F.log(F.col("c2") / F.col("c") + 1e-10))), 6).alias("perplexity"))
 
 
 def token_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of distinct tokens and bigrams and of repeats, and a score of how far they are in usual ranges."""
-    t = tokens(spark, sf_dir)
+    """Shares of distinct tokens and bigrams and of repeats, and the weighted sum of a piecewise linear score of each."""
+    return diversity(tokens(spark, sf_dir))
+
+
+def diversity(t: DataFrame) -> DataFrame:
     w = W.partitionBy("piece_id").orderBy("turn", "pos")
     n = t.withColumn("same", F.when(F.lag("token").over(w) == F.col("token"), 1).otherwise(0)).groupBy("piece_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("token").alias("u"), F.sum("same").alias("r"))
     b = bigrams(t).groupBy("piece_id").agg(F.count(F.lit(1)).alias("b"))
     x = n.join(b, "piece_id").filter("n > 1").select("piece_id", "n", (F.col("u") / F.col("n")).alias("unique_ratio"), (F.col("b") / (F.col("n") - 1)).alias("bigram_ratio"), (F.col("r") / (F.col("n") - 1)).alias("repeat_ratio"))
-    score = 0.35 * in_range_score(F.col("unique_ratio"), 0.05, 0.6) + 0.35 * in_range_score(F.col("bigram_ratio"), 0.3, 0.9) + 0.30 * F.greatest(F.lit(0.0), 1 - F.col("repeat_ratio") * 2)
+    u, g, r = F.col("unique_ratio"), F.col("bigram_ratio"), F.col("repeat_ratio")
+    unique = F.when(u < 0.05, 0.1).when(u < 0.10, 0.1 + (u - 0.05) * 8.0).when(u <= 0.50, 0.5 + F.least(F.lit(0.5), (u - 0.10) * 1.25)).otherwise(F.greatest(F.lit(0.3), 1.0 - (u - 0.50) * 2))
+    varied = F.when(g < 0.15, g * 4).when(g <= 0.7, 0.6 + (g - 0.15) * 0.73).when(g <= 0.9, 1.0).otherwise(F.greatest(F.lit(0.5), 1.0 - (g - 0.9) * 5))
+    steady = F.when(r < 0.1, 1.0).when(r < 0.3, 1.0 - (r - 0.1) * 2.5).otherwise(F.greatest(F.lit(0.1), 0.5 - (r - 0.3)))
+    score = 0.35 * unique + 0.35 * varied + 0.30 * steady
     return x.select("piece_id", *(F.round(c, 9).alias(c) for c in ("unique_ratio", "bigram_ratio", "repeat_ratio")), F.round(F.when(F.col("n") < 10, 0.5).otherwise(score), 6).alias("diversity"))
 
 
@@ -105,12 +115,15 @@ def range_sql(v: str, lo: float, hi: float) -> str:
 
 
 BIGRAM_SQL = "bg AS (SELECT piece_id, token, nx, count(*) AS c2 FROM (SELECT *, lead(token) OVER (PARTITION BY piece_id ORDER BY turn, pos) AS nx FROM t) WHERE nx IS NOT NULL GROUP BY 1, 2, 3), un AS (SELECT piece_id, token, count(*) AS c FROM t GROUP BY 1, 2)"
+DIVERSITY_SQL = """0.35 * (CASE WHEN unique_ratio < 0.05 THEN 0.1 WHEN unique_ratio < 0.10 THEN 8 * unique_ratio - 0.3 WHEN unique_ratio <= 0.50 THEN least(1.0, 0.375 + 1.25 * unique_ratio) ELSE greatest(0.3, 2 - 2 * unique_ratio) END)
+ + 0.35 * (CASE WHEN bigram_ratio < 0.15 THEN 4 * bigram_ratio WHEN bigram_ratio <= 0.7 THEN 0.4905 + 0.73 * bigram_ratio WHEN bigram_ratio <= 0.9 THEN 1.0 ELSE greatest(0.5, 5.5 - 5 * bigram_ratio) END)
+ + 0.30 * (CASE WHEN repeat_ratio < 0.1 THEN 1.0 WHEN repeat_ratio < 0.3 THEN 1.25 - 2.5 * repeat_ratio ELSE greatest(0.1, 0.8 - repeat_ratio) END)"""
 SQL = {
     "token_entropy": f"WITH {TOKENS_SQL}, {BIGRAM_SQL}, p AS (SELECT piece_id, c * 1.0 / sum(c) OVER (PARTITION BY piece_id) AS p FROM un) SELECT piece_id, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY 1",
-    "bigram_perplexity": f"WITH {TOKENS_SQL}, {BIGRAM_SQL} SELECT piece_id, round(exp(-avg(ln(c2 * 1.0 / c + 1e-10))), 6) AS perplexity FROM bg JOIN un USING (piece_id, token) GROUP BY 1",
+    "bigram_perplexity": f"WITH {TOKENS_SQL}, {BIGRAM_SQL} SELECT piece_id, round(exp(-avg(ln(c2 * 1.0 / c + 1e-10))), 6) AS perplexity FROM bg JOIN (SELECT piece_id, token, sum(c2) AS c FROM bg GROUP BY 1, 2) USING (piece_id, token) GROUP BY 1",
     "token_diversity": f"""WITH {TOKENS_SQL}, {BIGRAM_SQL}, n AS (SELECT piece_id, count(*) AS n, count(DISTINCT token) AS u, sum(same) AS r FROM (SELECT *, CASE WHEN lag(token) OVER (PARTITION BY piece_id ORDER BY turn, pos) = token THEN 1 ELSE 0 END AS same FROM t) GROUP BY 1),
 x AS (SELECT piece_id, n, u * 1.0 / n AS unique_ratio, b * 1.0 / (n - 1) AS bigram_ratio, r * 1.0 / (n - 1) AS repeat_ratio FROM n JOIN (SELECT piece_id, count(*) AS b FROM bg GROUP BY 1) USING (piece_id) WHERE n > 1)
-SELECT piece_id, round(unique_ratio, 9) AS unique_ratio, round(bigram_ratio, 9) AS bigram_ratio, round(repeat_ratio, 9) AS repeat_ratio, round(CASE WHEN n < 10 THEN 0.5 ELSE 0.35 * {range_sql("unique_ratio", 0.05, 0.6)} + 0.35 * {range_sql("bigram_ratio", 0.3, 0.9)} + 0.30 * greatest(0.0, 1 - repeat_ratio * 2) END, 6) AS diversity FROM x""",
+SELECT piece_id, round(unique_ratio, 9) AS unique_ratio, round(bigram_ratio, 9) AS bigram_ratio, round(repeat_ratio, 9) AS repeat_ratio, round(CASE WHEN n < 10 THEN 0.5 ELSE {DIVERSITY_SQL} END, 6) AS diversity FROM x""",
     "prefix_length": f"WITH {TOKENS_SQL} SELECT piece_id, turn, CAST(coalesce(min(CASE WHEN ends_with(token, '.') THEN pos + 1 END), 0) AS INT) AS prefix_len FROM t GROUP BY 1, 2",
     "chunk_sequences": f"""WITH s AS (SELECT conv_id AS piece_id, turn, string_split(lower(text), ' ') AS w FROM conversations), c AS (SELECT piece_id, turn, w, unnest(CASE WHEN len(w) <= {CHUNK} THEN [0] ELSE range(0, greatest(len(w) - {CHUNK} + {STRIDE - PREFIX - 1}, 0) + 1, {STRIDE - PREFIX}) END) AS st FROM s),
 k AS (SELECT piece_id, turn, CAST(st // {STRIDE - PREFIX} AS INT) AS chunk_idx, CASE WHEN len(w) <= {CHUNK} THEN w ELSE list_concat(w[1:{PREFIX}], w[{PREFIX} + st + 1:{PREFIX} + st + {CHUNK - PREFIX}]) END AS ch FROM c) SELECT piece_id, turn, chunk_idx, CAST(len(ch) AS INT) AS n_tokens, array_to_string(ch, ' ') AS chunk FROM k""",
