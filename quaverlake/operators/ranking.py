@@ -209,7 +209,7 @@ def beat_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def number_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of a comma-separated argument; blanks go, what is no number is null."""
     raw = F.concat_ws(",", F.col("c_custkey").cast("string"), F.lit(" "), "c_mktsegment", (F.col("c_custkey") / 4).cast("string"))
-    items = F.filter(F.transform(F.split(raw, ","), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != "")
     return table(spark, sf_dir, "customer").select("c_custkey", F.size(items).alias("items"), F.round(F.aggregate(F.transform(items, lambda x: F.coalesce(x.try_cast("double"), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
