@@ -287,7 +287,7 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def candidate_sets(docs: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
     """sid and s (its sorted hashes) of the wanted sids, from one document each."""
-    reps = ids.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("row").alias("row"))
+    reps = ids.filter("n_shingles > 0").groupBy("sid").agg(F.min("row").alias("row")).join(wanted, "sid", "left_semi")
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(reps.hint("shuffle_hash"), "row").dropDuplicates(["sid"])
     return with_text_columns(texts, lambda t: (shingles(lower(t), WIDTH).tobytes(),), "s binary", carry=["sid"])
 
