@@ -214,20 +214,25 @@ class Scanner:
         return sorted(out)
 
 
+FINDING = ("start", "end", "licence", "saved", "coverage", "differences")
 _scanners: list[Scanner] = []
 
 
 def findings(text: str | None) -> tuple[list[dict]]:
     if not _scanners:
         _scanners.append(Scanner(TEMPLATES))
-    keys = ("start", "end", "licence", "saved", "coverage", "differences")
-    return ([dict(zip(keys, f, strict=True)) for f in _scanners[0].scan(as_text(text))],)
+    return ([dict(zip(FINDING, f, strict=True)) for f in _scanners[0].scan(as_text(text))],)
 
 
 def licence_scan(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The carried columns and one row a finding: start, end (code points), licence, saved, coverage, differences."""
+    """The carried columns and one row a finding: start, end (code points), licence, saved, coverage, differences.
+
+    A carried column with the name of one of these gives way to it. An empty table gives an empty result.
+    """
+    carry = [c for c in carry if c not in FINDING]
     found = with_text_columns(docs, findings, "found array<struct<start:bigint,end:bigint,licence:string,saved:double,coverage:double,differences:string>>", carry=carry, prefix="_")
-    return found.select(*carry, F.explode("_found").alias("_f")).select(*carry, "_f.*")
+    kept = [f"`{c}`" for c in carry]
+    return found.select(*kept, F.explode("_found").alias("_f")).select(*kept, "_f.*")
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

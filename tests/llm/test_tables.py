@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quaverlake.llm import components, jaccard, language, linededup, neardup, pii, quality, registry, toxicity
+from quaverlake.llm import components, jaccard, language, licences, linededup, neardup, pii, quality, registry, toxicity
 
 DATA = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
@@ -186,6 +186,23 @@ def test_winnowing_selects_few_lines():
     assert {f for f, _ in linededup.fingerprints(inner, 50)} & {f for f, _ in found}
 
 
+def test_licence_table(spark):
+    notices = ["Released under the MIT License.", "Licensed under CC BY 4.0.", "All rights reserved.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0."]
+    filler = " ".join(f"word{i}" for i in range(20_000))
+    texts = [None, "", " ".join(notices), "\n".join([notices[0]] * 3), f"{filler} {notices[3]} {filler}", "license terms of no kind at all"]
+    docs = spark.createDataFrame([(i, t, 7, "x") for i, t in enumerate(texts)] + [(2, texts[2], 7, "x")], DOCS + ", start int, `a.b` string")
+    out = licences.licence_scan(docs, ["doc_id", "start", "a.b"])
+    assert out.columns == ["doc_id", "a.b", *licences.FINDING]
+    found = {}
+    for r in out.collect():
+        found.setdefault(r.doc_id, []).append((r.start, r.licence))
+        assert r.coverage >= licences.COVERAGE and texts[r.doc_id][r.start : r.end]
+    assert sorted(found) == [2, 3, 4] and [n for _, n in sorted(found[4])] == ["GPL-3.0"]
+    assert sorted(n for _, n in found[2]) == sorted(["MIT", "CC-BY-4.0", "all-rights-reserved", "GPL-3.0", "Apache-2.0"] * 2)
+    assert [n for _, n in sorted(found[3])] == ["MIT"] * 3
+    assert licences.licence_scan(docs.limit(0), ["doc_id"]).collect() == []
+
+
 def test_line_dedup_edges(spark):
     docs = spark.createDataFrame([(1, None, 3), (2, "", 3), (2, "", 3), (None, "a\nb", 3)], DOCS + ", n_lines int")
     out = linededup.line_dedup(docs, ["doc_id", "n_lines"], prefix="_").select("doc_id", "n_lines", "_text").collect()
