@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, PII, packing, each on what the one before kept.
 
 Every stage takes (spark, docs, sf_dir). All but the last return the columns of documents; where a text changes, n_chars
-follows it. A document whose lines all went by line dedup stays, with an empty text.
+follows it. A document whose lines all went by line dedup stays, with an empty text. Null and empty texts fail the quality rules.
+Extra columns are carried through all stages but the last, whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,16 +20,30 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+def columns(docs: DataFrame) -> list[str]:
+    """The names of all columns, quoted, for they may hold dots."""
+    return [f"`{c}`" for c in docs.columns]
+
+
+def free(docs: DataFrame, prefix: str) -> str:
+    """The prefix, made longer until no column begins with it."""
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the trees reject go."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.quality(docs, model, docs.columns, prefix="_q_").filter("_q_kept").select(*docs.columns)
+    own = free(docs, "_q_")
+    return quality.quality(docs, model, docs.columns, prefix=own).filter(F.col(f"{own}kept")).select(*columns(docs))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of lines go from all places but the first."""
-    done = linededup.line_dedup(docs, docs.columns, prefix="_l_")
-    return counted(done.withColumn("text", F.col("_l_text")).select(*docs.columns))
+    own = free(docs, "_l_")
+    done = linededup.line_dedup(docs, docs.columns, prefix=own)
+    return counted(done.withColumn("text", F.col(f"{own}text")).select(*columns(docs)))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
