@@ -186,6 +186,21 @@ def test_winnowing_selects_few_lines():
     assert {f for f, _ in linededup.fingerprints(inner, 50)} & {f for f, _ in found}
 
 
+def test_pipeline_edges(spark):
+    whole = spark.read.parquet(f"{SMALL}/documents.parquet")
+    text = corpus_pipeline.quality_stage(spark, whole, SMALL).orderBy(F.length("text").desc()).first().text
+    n = 10**9  # no labels there, so the base rules decide alone
+    docs = spark.createDataFrame([(n, text, 5, True, "x"), (n + 1, text, 5, None, None), (n + 2, None, None, True, "x"), (n + 3, "", 0, True, "x")], DOCS + ", n_chars int, _q_kept boolean, `a.b` string")
+    rows, none = docs, docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows, none = jaccard.materialize(stage(spark, rows, SMALL), "edges"), stage(spark, none, SMALL)
+        assert rows.columns == none.columns == docs.columns
+    kept = {r.doc_id: (r.text, r["a.b"]) for r in rows.collect()}
+    assert kept.keys() <= {n, n + 1} and kept[n][0] and kept[n][1] == "x" and none.count() == 0
+    assert {r.doc_id for r in corpus_pipeline.packing_stage(spark, rows, SMALL).collect()} == set(kept)
+    assert corpus_pipeline.packing_stage(spark, none, SMALL).collect() == []
+
+
 def test_licence_table(spark):
     notices = ["Released under the MIT License.", "Licensed under CC BY 4.0.", "All rights reserved.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0."]
     filler = " ".join(f"word{i}" for i in range(20_000))
