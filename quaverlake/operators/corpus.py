@@ -1,15 +1,11 @@
-"""Corpus preparation: filters, keyed dedup, note transforms, MIDI events, ranking of runs, subject entries."""
+"""Corpus preparation: filters, keyed dedup, note transforms, MIDI events, ranking of runs."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quaverlake.operators.joins import ngrams
 from quaverlake.plans.views import NOTES_SQL, key_root, notes, table
 
 #: Styles by source, as a small dimension table of this fixture.
@@ -168,64 +164,14 @@ def outliers(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
     return long.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("measure", "rank", "value")
 
 
-def subjects(n: DataFrame, k: int = 4) -> DataFrame:
-    """piece_id and subject: the first k intervals of the voice that enters first (voice 0 on ties)."""
-    g = ngrams(n, k)
-    return g.groupBy("piece_id").agg(F.min_by("gram", F.struct("start", "voice")).alias("subject"))
-
-
-def candidates(n: DataFrame, k: int = 4) -> DataFrame:
-    """Every gram of a piece with its match with the subject: the share of intervals that are near (the first three by one)."""
-    g = ngrams(n, k).join(subjects(n, k), "piece_id")
-    near = F.transform(F.zip_with("gram", "subject", lambda x, y: F.abs(x - y)), lambda d, i: F.when(d <= F.when(i < 3, 1).otherwise(0), 1).otherwise(0))
-    return g.select("piece_id", "voice", "start", F.round(F.aggregate(near, F.lit(0), lambda a, x: a + x) / k, 9).alias("quality"))
-
-
-def subject_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(notes(spark, sf_dir)).filter("quality >= 0.5")
-
-
-def spaced(parts: Iterator[pd.DataFrame], refractory: int) -> Iterator[pd.DataFrame]:
-    """Rows that start `refractory` or more after the row kept before them; parts come by piece, voice and start, and only the last kept row is held."""
-    voice, until = None, 0
-    for part in parts:
-        keep = []
-        for i, r in enumerate(part.itertuples(index=False)):
-            if (r.piece_id, r.voice) != voice:
-                voice, until = (r.piece_id, r.voice), 0
-            if r.start >= until:
-                until = r.start + refractory
-                keep.append(i)
-        yield part.iloc[keep]
-
-
-def subject_entries_greedy(spark: SparkSession, sf_dir: str, least: float = 0.5, refractory: int = 1920) -> DataFrame:
-    """Entries of the subject, left to right in each voice, none within a bar of the one before: an order-bound scan."""
-    c = candidates(notes(spark, sf_dir)).filter(F.col("quality") >= least)
-    schema = "piece_id bigint, voice int, start bigint, quality double"
-    return c.repartition("piece_id", "voice").sortWithinPartitions("piece_id", "voice", "start", F.desc("quality")).mapInPandas(lambda parts: spaced(parts, refractory), schema)
-
-
-def thematic_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A recall score for each piece from its entries: more entries and more voices raise it, within caps."""
-    e = subject_entries_greedy(spark, sf_dir).groupBy("piece_id").agg(F.sum("quality").alias("w"), F.countDistinct("voice").alias("v"))
-    w = F.col("w") - 1
-    base = F.when(w < 0.25, 0.0).when(w < 1, 0.12 + 0.28 * (w - 0.25)).when(w < 2, 0.33 + 0.20 * (w - 1)).when(w < 3.5, 0.53 + 0.14 * (w - 2)).otherwise(0.74)
-    score = base + F.when((F.col("v") >= 2) & (base > 0), 0.10).otherwise(0.0) + F.when((F.col("v") >= 3) & (base > 0), 0.06).otherwise(0.0)
-    return e.select("piece_id", F.round(F.least(F.when(F.col("v") <= 1, 0.80).otherwise(1.0), score), 9).alias("recall"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (dedup_keep_first, composer_filter, anti_known_paths, error_page_filter, path_style_lookup, extract_pairs, json_shape, transpose_all_keys, crop_window, random_crop_seeded, overlap_truncate, note_pairing, midi_delta_events)
-    + (sweep_summary, pool_merge_topk, topn_per_group, max_ties, outliers, subject_candidates, subject_entries_greedy, thematic_recall)
+    + (sweep_summary, pool_merge_topk, topn_per_group, max_ties, outliers)
 }
 
 STYLE_SQL = "sty AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{t}')" for s, t in STYLES) + ") v(source, style))"
 MESSAGES_SQL = "ms AS (SELECT piece_id, voice, pitch, CAST(start AS BIGINT) AS tick, 1 AS \"on\" FROM {n} UNION ALL SELECT piece_id, voice, pitch, CAST(start + dur AS BIGINT), 0 FROM {n})"
-SUBJECT_SQL = """gr AS (SELECT * FROM (SELECT piece_id, voice, start, [lead(pitch, 1) OVER w - pitch, lead(pitch, 2) OVER w - lead(pitch, 1) OVER w, lead(pitch, 3) OVER w - lead(pitch, 2) OVER w, lead(pitch, 4) OVER w - lead(pitch, 3) OVER w] AS g, lead(pitch, 4) OVER w AS e FROM n WINDOW w AS (PARTITION BY piece_id, voice ORDER BY start, note_idx)) WHERE e IS NOT NULL),
-sb AS (SELECT piece_id, g AS s FROM (SELECT *, row_number() OVER (PARTITION BY piece_id ORDER BY start, voice) AS r FROM gr) WHERE r = 1),
-cn AS (SELECT piece_id, voice, start, round((CAST(abs(g[1] - s[1]) <= 1 AS INT) + CAST(abs(g[2] - s[2]) <= 1 AS INT) + CAST(abs(g[3] - s[3]) <= 1 AS INT) + CAST(g[4] = s[4] AS INT)) / 4.0, 9) AS quality FROM gr JOIN sb USING (piece_id))"""
 SQL = {
     "dedup_keep_first": "SELECT min(doc_id) AS doc_id, source FROM documents GROUP BY source, lower(text)",
     "composer_filter": f"WITH {STYLE_SQL} SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM sty WHERE style IN (SELECT style FROM sty WHERE source = 'src1'))",
@@ -244,5 +190,4 @@ SQL = {
     "topn_per_group": "SELECT o_orderpriority, CAST(rank AS INT) AS rank, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 5",
     "max_ties": "SELECT l_returnflag, count(*) AS ties FROM lineitem WHERE l_quantity = (SELECT max(l_quantity) FROM lineitem) GROUP BY 1",
     "outliers": "SELECT measure, CAST(rank AS INT) AS rank, value FROM (SELECT measure, value, row_number() OVER (PARTITION BY measure ORDER BY value DESC) AS rank FROM (UNPIVOT (SELECT l_quantity, l_extendedprice, l_tax FROM lineitem) ON l_quantity, l_extendedprice, l_tax INTO NAME measure VALUE value)) WHERE rank <= 10",
-    "subject_candidates": f"WITH {NOTES_SQL}, {SUBJECT_SQL} SELECT * FROM cn WHERE quality >= 0.5",
 }

@@ -10,6 +10,7 @@ from quaverlake.functions.pitch import PROFILE_MAJOR, PROFILE_MINOR, correlation
 from quaverlake.operators import histograms as H
 from quaverlake.operators.joins import as_of, stab
 from quaverlake.operators.labels import SCALE_SQL
+from quaverlake.operators.subjects import RECALL_SQL, recall
 from quaverlake.plans.views import NOTES_SQL, key_mode, key_root, notes
 
 #: Weights of the composite; fixed values.
@@ -256,10 +257,10 @@ def guardrail_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weighted sum under the fugue guardrails. Contrapuntal is our own measure; recall has no note input here and is 0."""
+    """The weighted sum under the fugue guardrails. Contrapuntal is our own measure."""
     n = notes(spark, sf_dir)
-    p = guarded(n).join(statistical(n), "piece_id").join(structure(n).select("piece_id", "structural"), "piece_id")
-    value = {k: F.col(k) for k in WEIGHTS} | {"contrapuntal": F.col("stagger"), "thematic_recall": F.lit(0.0)}
+    p = guarded(n).join(statistical(n), "piece_id").join(structure(n).select("piece_id", "structural"), "piece_id").join(recall(n), "piece_id")
+    value = {k: F.col(k) for k in WEIGHTS} | {"contrapuntal": F.col("stagger"), "thematic_recall": F.col("recall")}
     total = sum((w * value[k] for k, w in WEIGHTS.items()), F.lit(0.0))
     return p.select("piece_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total * F.col("multiplier"))), 5).alias("composite"))
 
@@ -335,5 +336,5 @@ e AS (SELECT *, CASE WHEN active = lag(active) OVER (PARTITION BY piece_id ORDER
     "structural_score": f"WITH {NOTES_SQL}, {COMPLETE_SQL}, {CADENCE_SQL}, {STRUCTURE_SQL} SELECT * FROM sr",
     "completeness_score": f"WITH {NOTES_SQL}, {COMPLETE_SQL} SELECT * FROM cm",
     "guardrail_flags": f"WITH {NOTES_SQL}, {leading_sql('n')}, {COMPLETE_SQL}, {CADENCE_SQL}, {GUARD_SQL} SELECT piece_id, multiplier, flags FROM gr",
-    "composite_score": f"WITH {NOTES_SQL}, {leading_sql('n')}, {COMPLETE_SQL}, {CADENCE_SQL}, {GUARD_SQL}, {STATISTICAL_SQL}, {STRUCTURE_SQL} SELECT piece_id, round(greatest(0.0, least(1.0, (0.20 * voice_leading + 0.09 * statistical + 0.22 * structural + 0.20 * stagger + 0.05 * completeness) * multiplier)), 5) AS composite FROM gr JOIN sa USING (piece_id) JOIN sr USING (piece_id)",
+    "composite_score": f"WITH RECURSIVE {NOTES_SQL}, {leading_sql('n')}, {COMPLETE_SQL}, {CADENCE_SQL}, {GUARD_SQL}, {STATISTICAL_SQL}, {STRUCTURE_SQL}, {RECALL_SQL} SELECT piece_id, round(greatest(0.0, least(1.0, (0.20 * voice_leading + 0.09 * statistical + 0.22 * structural + 0.20 * stagger + 0.24 * recall + 0.05 * completeness) * multiplier)), 5) AS composite FROM gr JOIN sa USING (piece_id) JOIN sr USING (piece_id) JOIN tr USING (piece_id)",
 }

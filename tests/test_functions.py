@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quaverlake.functions import pitch as P
-from quaverlake.operators import corpus, joins
+from quaverlake.operators import joins, subjects
 
 
 def one(spark, column):
@@ -49,13 +49,13 @@ def test_range_score(spark):
 
 
 def test_greedy_scan_goes_on_over_parts():
-    rows = [(1, 0, t, 1.0) for t in range(0, 9600, 480)] + [(1, 1, t, 1.0) for t in range(480, 4800, 960)] + [(2, 1, 0, 0.5)]
-    frame = pd.DataFrame(rows, columns=["piece_id", "voice", "start", "quality"])
+    rows = [(1, 0, t, t + 1920) for t in range(0, 9600, 480)] + [(1, 1, t, t + 1920) for t in range(480, 4800, 960)] + [(2, 1, 0, 1920)]
+    frame = pd.DataFrame(rows, columns=["piece_id", "voice", "place", "free"])
     want = [(1, 0, t) for t in range(0, 9600, 1920)] + [(1, 1, 480), (1, 1, 2400), (1, 1, 4320), (2, 1, 0)]
     for size in (1, 3, 7, 100):
         parts = (frame.iloc[i : i + size] for i in range(0, len(frame), size))
-        got = pd.concat(corpus.spaced(parts, 1920))
-        assert list(got[["piece_id", "voice", "start"]].itertuples(index=False, name=None)) == want
+        got = pd.concat(subjects.apart(parts))
+        assert list(got[["piece_id", "voice", "place"]].itertuples(index=False, name=None)) == want
 
 
 def test_fuzzy_counts_equal_pairs_and_make_no_pairs(spark):
