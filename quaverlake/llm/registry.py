@@ -17,7 +17,10 @@ from quaverlake.llm.oracle import SQL as ORACLE
 from quaverlake.llm.packing import op8_packing
 from quaverlake.llm.pii import op1_pii
 from quaverlake.llm.quality import op2_quality
+from quaverlake.llm.secretscan import op11_secrets
+from quaverlake.llm.spelling import op12_spelling
 from quaverlake.llm.toxicity import op5_toxicity
+from quaverlake.llm.trie import op13_prefix_trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
@@ -30,6 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_near_dup": op9_near_dup,
     "op10_licences": op10_licences,
+    "op11_secrets": op11_secrets,
+    "op12_spelling": op12_spelling,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
 
