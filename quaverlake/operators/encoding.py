@@ -80,18 +80,26 @@ def quantized_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantize(notes(spark, sf_dir).withColumn("start", F.greatest(F.lit(0), F.col("start") + F.col("event_id") * 37 % 81 - 40)))
 
 
-def triage(spark: SparkSession, sf_dir: str, least: int = 16, most_voices: int = 4) -> DataFrame:
-    """What each piece needs before it can be used: bad (too few notes or an empty span), voices separated, voices reduced, or nothing."""
+def triaged(n: DataFrame, least: int = 16, most_voices: int = 4) -> DataFrame:
+    """piece_id, notes, overlapping, voices_used, status: bad (too few notes), voices to be separated, voices to be reduced, or clean."""
     w = W.partitionBy("piece_id", "voice").orderBy("start", "event_id")
-    n = notes(spark, sf_dir, shifted=True).withColumn("over", F.lead("start").over(w) < F.col("start") + F.col("dur"))
-    p = n.groupBy("piece_id").agg(F.count(F.lit(1)).alias("notes"), F.countDistinct("voice").alias("voices"), F.count_if("over").alias("overlapping"))
-    status = F.when(F.col("notes") < least, "bad").when(F.col("overlapping") * 4 > F.col("notes"), "needs_voice_sep").when(F.col("voices") > most_voices, "needs_voice_reduce").otherwise("clean")
-    return p.select("piece_id", "notes", "overlapping", status.alias("status"))
+    p = n.withColumn("over", F.lead("start").over(w) < F.col("start") + F.col("dur"))
+    p = p.groupBy("piece_id").agg(F.count(F.lit(1)).alias("notes"), F.countDistinct("voice").alias("voices_used"), F.count_if("over").alias("overlapping"))
+    status = F.when(F.col("notes") < least, "bad").when(F.col("overlapping") * 4 > F.col("notes"), "needs_voice_sep").when(F.col("voices_used") > most_voices, "needs_voice_reduce").otherwise("clean")
+    return p.select("piece_id", "notes", "overlapping", "voices_used", status.alias("status"))
 
 
-def reduce_voices(spark: SparkSession, sf_dir: str, k: int = 2) -> DataFrame:
-    """Pieces in k voices: voices by mean pitch from the highest down, in k equal groups; of notes that start together the outer one stays, and each ends where the next begins."""
-    n = notes(spark, sf_dir)
+def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each piece needs before it can be used."""
+    return triaged(notes(spark, sf_dir, shifted=True)).drop("voices_used")
+
+
+def reduced(n: DataFrame, k: int) -> DataFrame:
+    """Pieces in k voices at most: voices by mean pitch from the highest down, in k equal groups; of notes that start together the outer one stays, and each ends where the next begins."""
+    return in_parts(n, k).select("piece_id", F.col("part").alias("voice"), "start", "dur", "pitch", F.monotonically_increasing_id().alias("event_id"))
+
+
+def in_parts(n: DataFrame, k: int) -> DataFrame:
     mean = n.groupBy("piece_id", "voice").agg(F.round(F.avg("pitch"), 9).alias("mean"))
     w = W.partitionBy("piece_id")
     group = mean.select("piece_id", "voice", F.floor((F.row_number().over(w.orderBy(F.desc("mean"), "voice")) - 1) * k / F.count(F.lit(1)).over(w)).cast("int").alias("part"))
@@ -101,6 +109,10 @@ def reduce_voices(spark: SparkSession, sf_dir: str, k: int = 2) -> DataFrame:
     return kept.select("piece_id", "part", "start", F.least(F.col("b.dur").cast("bigint"), F.coalesce(nxt - F.col("start"), F.col("b.dur").cast("bigint"))).cast("bigint").alias("dur"), F.col("b.pitch").alias("pitch"))
 
 
+def reduce_voices(spark: SparkSession, sf_dir: str, k: int = 2) -> DataFrame:
+    return in_parts(notes(spark, sf_dir), k)
+
+
 QUERIES = {f.__name__: f for f in (piece_tokens, sequence_settings, token_categories, quantized_notes, triage, reduce_voices)}
 
 ENCODED_SQL = f"""{CADENCES_SQL}, {ENTRY_SQL}, {SCAN_SQL}, mx AS (SELECT piece_id, CAST(max(start + dur) AS BIGINT) AS m FROM n GROUP BY 1),

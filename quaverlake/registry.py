@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaverlake.operators import constraints, corpus, encoding, histograms, joins, labels, measures, ranking, runs, sampling, scoring, sequences, subjects
+from quaverlake.operators import constraints, corpus, encoding, histograms, joins, labels, measures, ranking, runs, sampling, scoring, sequences, subjects, voices
 
-MODULES = (labels, joins, histograms, scoring, sampling, sequences, corpus, runs, measures, ranking, subjects, constraints, encoding)
+MODULES = (labels, joins, histograms, scoring, sampling, sequences, corpus, runs, measures, ranking, subjects, constraints, encoding, voices)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.SQL.items()}
