@@ -79,8 +79,9 @@ def length_bucket(bars: Column) -> Column:
 
 
 def catalogue_form(bwv: Column) -> Column:
-    """Form by catalogue number."""
-    return F.when(bwv.between(250, 438), "chorale").when(bwv.between(772, 786), "invention").when(bwv.between(787, 801), "sinfonia").when(bwv.between(846, 893), "fugue").when(bwv.between(525, 530), "trio_sonata")
+    """Form by catalogue number. Of 846 to 893 the odd numbers are the fugues, the even ones their preludes."""
+    fugue = bwv.between(847, 893) & (bwv % 2 == 1) | bwv.isin(565, 1080)
+    return F.when(bwv.between(250, 438), "chorale").when(bwv.between(772, 786), "invention").when(bwv.between(787, 801), "sinfonia").when(fugue, "fugue").when(bwv.between(525, 530), "trio_sonata")
 
 
 def note_name(p: Column) -> Column:

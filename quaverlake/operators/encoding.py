@@ -123,7 +123,7 @@ ec AS (SELECT piece_id, 'interleaved' AS encoding, row_number() OVER (PARTITION
  UNION ALL SELECT piece_id, e, 0, 'ENCODE_' || upper(e) FROM mx, (SELECT unnest(['interleaved', 'sequential']) AS e) UNION ALL SELECT piece_id, e, 1, 'FORM_' || upper(({FORMS})[CAST(piece_id % 5 AS INT) + 1]) FROM mx, (SELECT unnest(['interleaved', 'sequential']) AS e))"""
 SQL = {
     "piece_tokens": f"WITH RECURSIVE {NOTES_SQL}, {ENCODED_SQL} SELECT piece_id, encoding, CAST(pos AS INT) AS pos, token FROM ec",
-    "sequence_settings": f"WITH p AS (SELECT DISTINCT user_id AS piece_id, ({FORMS})[CAST(user_id % 5 AS INT) + 1] AS form FROM events) SELECT piece_id, e AS encoding, form, e AS mode FROM p, (SELECT unnest(['interleaved', 'sequential']) AS e)",
+    "sequence_settings": f"WITH RECURSIVE {NOTES_SQL}, {ENCODED_SQL} SELECT piece_id, encoding, coalesce(arg_min(lower(token[6:]), pos) FILTER (starts_with(token, 'FORM_')), 'chorale') AS form, coalesce(arg_min(lower(token[8:]), pos) FILTER (starts_with(token, 'ENCODE_')), 'interleaved') AS mode FROM ec GROUP BY 1, 2",
     "token_categories": f"WITH RECURSIVE {NOTES_SQL}, {ENCODED_SQL} SELECT encoding, CASE split_part(token, '_', 1) WHEN 'FORM' THEN 'conditioning' WHEN 'ENCODE' THEN 'conditioning' WHEN 'CAD' THEN 'cadence' WHEN 'SUBJECT' THEN 'subject' WHEN 'N' THEN 'note' WHEN 'BAR' THEN 'time' ELSE 'other' END AS category, count(*) AS tokens, count(DISTINCT token) AS kinds FROM ec GROUP BY 1, 2",
     "quantized_notes": f"WITH {NOTES_SQL}, j AS (SELECT piece_id, voice, pitch, dur, greatest(0, start + event_id * 37 % 81 - 40) AS s FROM n), q AS (SELECT piece_id, voice, pitch, CAST(greatest(120, round_even(dur / 120.0, 0) * 120) AS BIGINT) AS dur, CAST(CASE WHEN abs(s - round_even(s / 1920.0, 0) * 1920) <= 40 THEN round_even(s / 1920.0, 0) * 1920 ELSE round_even(s / 120.0, 0) * 120 END AS BIGINT) AS start FROM j) SELECT piece_id, voice, start, pitch, max(dur) AS dur, CAST(64 AS INT) AS velocity FROM q GROUP BY 1, 2, 3, 4",
     "triage": f"WITH {NOTES_SQL}, o AS (SELECT *, lead(start) OVER (PARTITION BY piece_id, voice ORDER BY start, event_id) < start + dur AS over FROM n2), p AS (SELECT piece_id, count(*) AS notes, count(DISTINCT voice) AS voices, count(*) FILTER (over) AS overlapping FROM o GROUP BY 1) SELECT piece_id, notes, overlapping, CASE WHEN notes < 16 THEN 'bad' WHEN overlapping * 4 > notes THEN 'needs_voice_sep' WHEN voices > 4 THEN 'needs_voice_reduce' ELSE 'clean' END AS status FROM p",

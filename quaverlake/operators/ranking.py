@@ -15,22 +15,28 @@ from quaverlake.operators.runs import parse_key
 from quaverlake.plans.views import LOGITS_SQL, NOTES_SQL, TOKENS_SQL, logits, notes, table, tokens
 
 # Thresholds and steps of the form profiles, keywords, directories and names that results must agree with.
-PROFILES = {
-    "fugue": ((0.62, 0.74, 0.74, 0.008), (0.70, 0.84, 0.80, 0.010), (0.78, 0.40, 0.88, 0.006), (0.90, 0.66, 0.40, -0.012), (0.92, 0.78, 0.66, 0.44, -0.018), 0.04),
-    "sinfonia": ((0.58, 0.70, 0.72, 0.006), (0.66, 0.80, 0.78, 0.008), (0.74, 0.38, 0.86, 0.005), (0.89, 0.64, 0.38, -0.010), (0.91, 0.76, 0.64, 0.42, -0.014), 0.035),
-    "invention": ((0.55, 0.68, 0.70, 0.006), (0.63, 0.78, 0.76, 0.008), (0.70, 0.36, 0.85, 0.004), (0.88, 0.62, 0.36, -0.010), (0.90, 0.74, 0.62, 0.40, -0.014), 0.035),
-}
 KEYWORDS = [("chorale", "chorale"), ("invention", "invention"), ("sinfonia", "sinfonia"), ("trio sonata", "trio_sonata"), ("sonata", "sonata"), ("fugue", "fugue"), ("quartet", "quartet"), ("motet", "motet"), ("wtc1f", "fugue"), ("wtc2f", "fugue"), ("inven", "invention")]
 KEYBOARD = ["sonata", "partita", "suite", "toccata", "fantasia", "prelude", "fughetta", "invention", "sinfonia", "keyboard", "klavier", "piano", "harpsichord", "clavier"]
 VOICES = {"2-part": 2, "invention": 2, "sinfonia": 3, "trio_sonata": 3, "chorale": 4, "quartet": 4, "sonata": 4, "fugue": 4, "motet": 4}
 STEM_PARTS = ["-auto", "-combined", "-beat", "-sampled", "-pan", "-nopan", "extractf", "-20", "-60", "-80", "-S"]
 KEY_NAMES = ["C_major", "C_minor", "Db_major", "Cs_minor", "D_major", "D_minor", "Eb_major", "Eb_minor", "E_major", "E_minor", "F_major", "F_minor", "Fs_major", "Fs_minor", "G_major", "G_minor", "Ab_major", "Gs_minor", "A_major", "A_minor", "Bb_major", "Bb_minor", "B_major", "B_minor"]
+QUARTETS_BY = [
+    "haydn", "mozart", "beethoven", "mayer", "saintgeorges", "hensel", "arriaga", "kalliwoda", "maier", "brahms", "schubert", "schumann", "cherubini",
+    "hoffmeister", "boccherini", "andree", "bartok", "beach", "borodin", "bridge", "busoni", "carreno", "debussy", "delius", "dvorak", "elgar",
+    "faure", "glazunov", "glinka", "gounod", "gouvy", "grieg", "indy", "janacek", "krzyzanowska", "moeran", "mullerhermann", "nielsen", "ravel",
+    "reger", "schulhoff", "smetana", "smyth", "stanford", "strauss", "wolf",
+]
+MOTETS_BY = [
+    "josquin", "ockeghem", "victoria", "lassus", "byrd", "dufay", "dunstable", "isaac", "banchieri", "flecha", "giovannelli", "landini", "vecchi",
+    "obrecht", "desprez", "busnois", "delarue", "martini", "agricola", "compere", "mouton", "brumel", "regis", "tinctoris", "palestrina", "trecento",
+    "ciconia", "luca", "lusitano", "monteverdi",
+]
 DURATION_CODES = {"w": 1920, "h": 960, "q": 480, "e": 240, "s": 120, "dq": 720, "dh": 1440, "de": 360}
 # End of fixed values.
 
-#: Directories and names that the sources of the fixture are made of.
-DIRECTORIES = {"haydn": "quartet", "mozart": "quartet", "josquin": "motet", "byrd": "motet"}
-NAMES = ["BWV 846 prelude", "bwv772", "BWV 9999 air", "Riemenschneider Chorale", "Two-part Invention", "Trio Sonata in C", "Piano Sonata", "kern/Haydn/op20", "kern/josquin/missa-combined", "wtc1f01", "Quartet op 18", "misc/toccata-S", "unknown work"]
+#: Forms by directory, and names that the sources of the fixture are made of.
+DIRECTORIES = dict.fromkeys(QUARTETS_BY, "quartet") | dict.fromkeys(MOTETS_BY, "motet")
+NAMES = ["BWV 847 in c", "BWV 1080/1", "bwv 868", "kern/Dvorak/op96", "x/tinctoris/missa", "BWV 846 prelude", "bwv772", "BWV 9999 air", "Riemenschneider Chorale", "Two-part Invention", "Trio Sonata in C", "Piano Sonata", "kern/Haydn/op20", "kern/josquin/missa-combined", "wtc1f01", "Quartet op 18", "misc/toccata-S", "unknown work"]
 ALIASES = {"2-part": "invention", "3-part": "sinfonia", "4-part": "chorale"}
 CALIBRATED = {"fugue": 0.24, "invention": 0.18}
 TEXTS = ["C4:q D4:e Eb4:e F4:q", "G4 A4:h x9 B4:zz", "F#3:dq G3:s", "C5:w", ":q", "Bb2:de C3:dh D3"]
@@ -87,31 +93,16 @@ def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interaction_adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Additive adjustment by form: two rewards of rhetoric, one of flow, two penalties, bounded; and how many applied."""
+    """The interaction of each run's form, bounded, and how many of its tests apply."""
     m = measures(spark, sf_dir)
     delta, count = F.lit(0.0), F.lit(0)
-    for form, (rhetoric, strong, flow, flat, safe, bound) in PROFILES.items():
-        c = F.col
-        tests = [((c("cadence") >= r[0]) & (c("phrase") >= r[1]) & (c("key_consistency") >= r[2]), r[3]) for r in (rhetoric, strong)]
-        tests.append(((c("stagger") >= flow[0]) & (c("contrary") >= flow[1]) & (c("melodic") >= flow[2]), flow[3]))
-        tests.append(((c("voice_leading") >= flat[0]) & ((c("phrase") < flat[1]) | (c("contrary") < flat[2])), flat[3]))
-        tests.append(((c("voice_leading") >= safe[0]) & (c("independence") < safe[1]) & (c("stagger") < safe[2]) & (c("contrary") < safe[3]), safe[4]))
-        total = sum((F.when(t, v).otherwise(0.0) for t, v in tests), F.lit(0.0))
-        mine = c("form").isin(*(["invention", "2-part"] if form == "invention" else [form]))
-        delta = F.when(mine, F.greatest(F.lit(-bound), F.least(F.lit(bound), total))).otherwise(delta)
-        count = F.when(mine, sum((t.cast("int") for t, _ in tests), F.lit(0))).otherwise(count)
+    for form in S.PROFILES:
+        mine = F.col("form").isin(*(["invention", "2-part"] if form == "invention" else [form]))
+        total, applied = S.interaction(form)
+        delta, count = F.when(mine, total).otherwise(delta), F.when(mine, applied).otherwise(count)
     return m.select("o_orderkey", F.round(delta, 6).alias("delta"), count.alias("applied"))
 
 
-def selection_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best run of each priority and form by its selection score: staggered and balanced for fugues, aligned and closed for others."""
-    m = measures(spark, sf_dir).filter("form in ('fugue', 'sinfonia')")
-    fugue = F.col("cadence") + 0.12 * F.col("stagger") + 0.05 * F.col("phrase") - 0.08 * F.col("melodic")
-    score = F.round(F.when(F.col("form") == "fugue", fugue).otherwise(F.col("cadence") + 0.08 * F.col("melodic") + 0.04 * F.col("contrary")), 9)
-    best = m.groupBy("o_orderpriority", "form").agg(F.max(F.struct(score.alias("s"), (-F.col("o_orderkey")).alias("k"))).alias("b"))
-    return best.select("o_orderpriority", "form", (-F.col("b.k")).alias("o_orderkey"), F.col("b.s").alias("selection"))
-
-
 def form_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The recall weight that runs of each requested form get: calibrated for the form, else for its alias, else the default."""
     form = F.element_at(lits(["fugue", "2-part", "3-part", "4-part", "motet"]), (F.col("doc_id") % 5 + 1).cast("int"))
@@ -151,9 +142,10 @@ def exact_or_active(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_max_per_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cadence of the highest confidence of each tick, the first on ties; and its token."""
-    c = S.cadences(notes(spark, sf_dir))
-    again = c.union(c.select("piece_id", "tick", "bar_index", F.lit("CAD_HC").alias("label"), F.lit(2.0).alias("confidence"))).withColumn("o", F.when(F.col("label") == "CAD_HC", 1).otherwise(0))
+    """The cadence of the highest confidence of each tick, the first on ties; and its token. Rivals of 1.5 to 3.5 stand beside the cadences."""
+    c = S.cadences(notes(spark, sf_dir)).withColumn("o", F.lit(0))
+    rival = 1.5 + F.col("bar_index") % 5 / 2
+    again = c.union(c.select("piece_id", "tick", "bar_index", F.lit("CAD_DC").alias("label"), rival.alias("confidence"), F.lit(1).alias("o")))
     best = again.groupBy("piece_id", "tick").agg(F.max(F.struct("confidence", (-F.col("o")).alias("o"), "label")).alias("b"))
     token = F.element_at(F.create_map(*(F.lit(x) for kv in {"CAD_PAC": 101, "CAD_IAC": 102, "CAD_HC": 103, "CAD_DC": 104}.items() for x in kv)), F.col("b.label"))
     return best.select("piece_id", "tick", F.col("b.label").alias("label"), token.alias("token"))
@@ -250,7 +242,7 @@ def voice_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logits(spark, sf_dir).join(r, "ctx_id").select("ctx_id", "token_id", F.when(barred, float("-inf")).otherwise(F.round(F.col("logit") + gain, 6)).alias("logit"))
 
 
-QUERIES = {f.__name__: f for f in (detect_form, accompaniment_like, information_score, interaction_adjustment, selection_score, form_weights, form_thresholds, loader_union, exact_or_active, keep_max_per_tick, cadence_density, sections, key_names, subject_tokens, beat_rounding, number_lists, sequence_summary, category_loss, anti_lockstep, voice_floor)}
+QUERIES = {f.__name__: f for f in (detect_form, accompaniment_like, information_score, interaction_adjustment, form_weights, form_thresholds, loader_union, exact_or_active, keep_max_per_tick, cadence_density, sections, key_names, subject_tokens, beat_rounding, number_lists, sequence_summary, category_loss, anti_lockstep, voice_floor)}
 
 
 def any_sql(c: str, words: list[str]) -> str:
@@ -266,11 +258,9 @@ def range_sql(v: str, lo: float, hi: float) -> str:
 
 
 def profile_sql(form: str) -> str:
-    a, b, c, d, e, bound = PROFILES[form]
     forms = "('invention', '2-part')" if form == "invention" else f"('{form}')"
-    tests = [f"cadence >= {r[0]} AND phrase >= {r[1]} AND key_consistency >= {r[2]}" for r in (a, b)] + [f"stagger >= {c[0]} AND contrary >= {c[1]} AND melodic >= {c[2]}", f"voice_leading >= {d[0]} AND (phrase < {d[1]} OR contrary < {d[2]})", f"voice_leading >= {e[0]} AND independence < {e[1]} AND stagger < {e[2]} AND contrary < {e[3]}"]
-    steps = [x[-1] for x in (a, b, c, d, e)]
-    return f"SELECT o_orderkey, round(greatest(-{bound}, least({bound}, {' + '.join(f'CASE WHEN {t} THEN {v} ELSE 0 END' for t, v in zip(tests, steps, strict=True))})), 6) AS delta, CAST({' + '.join(f'CASE WHEN {t} THEN 1 ELSE 0 END' for t in tests)} AS INT) AS applied FROM m WHERE form IN {forms}"
+    total, applied = S.interaction_sql(form)
+    return f"SELECT o_orderkey, round({total}, 6) AS delta, CAST({applied} AS INT) AS applied FROM m WHERE form IN {forms}"
 
 
 MEASURES_SQL = "m AS (SELECT o_orderkey, o_totalprice, o_orderpriority, " + pick_sql(["fugue", "sinfonia", "invention", "2-part", "motet"], "o_orderkey") + " AS form, " + ", ".join(f"(o_orderkey * {k} % {p}) * 1.0 / {p - 1} AS {n}" for n, k, p in (("voice_leading", 7, 101), ("cadence", 11, 103), ("phrase", 13, 107), ("key_consistency", 17, 109), ("stagger", 19, 113), ("contrary", 23, 127), ("melodic", 29, 131), ("independence", 31, 137))) + " FROM orders)"
@@ -278,20 +268,19 @@ CADENCES_SQL = S.SQL["cadence_events"].removeprefix(f"WITH {NOTES_SQL}, ").rspli
 RECENT_SQL = "rc AS (SELECT conv_id AS ctx_id, flatten(list(list_transform(string_split(lower(text), ' '), lambda w: length(w) % 8) ORDER BY turn)) AS toks FROM conversations GROUP BY 1)"
 SQL = {
     "detect_form": f"""WITH w AS (SELECT doc_id, {pick_sql(NAMES, 'doc_id')} AS s, CAST(doc_id % 5 + 1 AS INT) AS n_parts, {pick_sql(['baroque', 'renaissance', 'classical'], 'doc_id // 13')} AS style FROM documents),
-b AS (SELECT *, TRY_CAST(regexp_extract(lower(s), 'bwv\\s*(\\d+)', 1) AS INT) AS bwv FROM w), f AS (SELECT *, CASE WHEN bwv BETWEEN 250 AND 438 THEN 'chorale' WHEN bwv BETWEEN 772 AND 786 THEN 'invention' WHEN bwv BETWEEN 787 AND 801 THEN 'sinfonia' WHEN bwv BETWEEN 846 AND 893 THEN 'fugue' WHEN bwv BETWEEN 525 AND 530 THEN 'trio_sonata'
+b AS (SELECT *, TRY_CAST(regexp_extract(lower(s), 'bwv\\s*(\\d+)', 1) AS INT) AS bwv FROM w), f AS (SELECT *, CASE WHEN bwv BETWEEN 250 AND 438 THEN 'chorale' WHEN bwv BETWEEN 772 AND 786 THEN 'invention' WHEN bwv BETWEEN 787 AND 801 THEN 'sinfonia' WHEN bwv IN (565, 1080) OR bwv BETWEEN 847 AND 893 AND bwv % 2 = 1 THEN 'fugue' WHEN bwv BETWEEN 525 AND 530 THEN 'trio_sonata'
  {' '.join(f"WHEN contains(lower(s), '{k}') THEN '{v}'" for k, v in KEYWORDS)} {' '.join(f"WHEN list_contains(string_split(lower(s), '/'), '{k}') THEN '{v}'" for k, v in DIRECTORIES.items())}
  WHEN n_parts <= 2 THEN 'invention' WHEN n_parts = 3 THEN 'sinfonia' WHEN style = 'renaissance' THEN 'motet' WHEN style = 'classical' THEN 'quartet' ELSE 'chorale' END AS form FROM b)
 SELECT doc_id, form, CAST(CASE {' '.join(f"WHEN form = '{k}' THEN {v}" for k, v in VOICES.items())} END AS INT) AS voices, {any_sql('lower(s)', KEYBOARD)} AS keyboard, {any_sql('s', STEM_PARTS)} AS rejected FROM f""",
     "accompaniment_like": f"SELECT piece_id, severity >= 1.0 AS \"like\", severity >= 1.0 AND piece_id % 2 = 0 AS dropped FROM ({H.SQL['accompaniment_severity']})",
     "information_score": f"SELECT piece_id, round(0.35 * {range_sql('perplexity', 5.0, 25.0)} + 0.30 * {range_sql('entropy', 2.0, 5.0)} + 0.35 * diversity, 5) AS information FROM ({Q.SQL['bigram_perplexity']}) JOIN ({Q.SQL['token_entropy']}) USING (piece_id) JOIN ({Q.SQL['token_diversity']}) USING (piece_id)",
-    "interaction_adjustment": f"WITH {MEASURES_SQL} " + " UNION ALL ".join(profile_sql(f) for f in PROFILES) + " UNION ALL SELECT o_orderkey, 0.0 AS delta, CAST(0 AS INT) AS applied FROM m WHERE form = 'motet'",
-    "selection_score": f"WITH {MEASURES_SQL}, s AS (SELECT *, round(cadence + CASE WHEN form = 'fugue' THEN 0.12 * stagger + 0.05 * phrase - 0.08 * melodic ELSE 0.08 * melodic + 0.04 * contrary END, 9) AS selection FROM m WHERE form IN ('fugue', 'sinfonia')) SELECT o_orderpriority, form, o_orderkey, selection FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, form ORDER BY selection DESC, o_orderkey) AS r FROM s) WHERE r = 1",
+    "interaction_adjustment": f"WITH {MEASURES_SQL} " + " UNION ALL ".join(profile_sql(f) for f in S.PROFILES) + " UNION ALL SELECT o_orderkey, 0.0 AS delta, CAST(0 AS INT) AS applied FROM m WHERE form = 'motet'",
     "form_weights": f"SELECT form, count(*) AS runs, CASE form WHEN 'fugue' THEN 0.24 WHEN '2-part' THEN 0.18 ELSE 0.24 END AS weight FROM (SELECT {pick_sql(['fugue', '2-part', '3-part', '4-part', 'motet'], 'doc_id')} AS form FROM documents) GROUP BY 1",
     "form_thresholds": f"WITH {MEASURES_SQL} SELECT form, round(quantile_cont(round(stagger, 6), 0.33), 6) AS p33, round(quantile_cont(round(stagger, 6), 0.67), 6) AS p67 FROM m GROUP BY 1",
     "loader_union": "WITH u AS (SELECT 0 AS prio, doc_id AS id, lang || ':' || md5(text) AS name FROM documents UNION ALL SELECT 1, item_id, 'en:' || md5(text) FROM benchmark UNION ALL SELECT 2, page_id, 'en:' || md5(html) FROM pages), k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY prio, id) AS r FROM u WHERE starts_with(name, 'en:')) SELECT CAST(prio AS INT) AS prio, CAST(id AS BIGINT) AS id, CAST(k AS INT) AS k FROM (SELECT *, row_number() OVER (PARTITION BY prio ORDER BY id, name) AS k FROM k WHERE r = 1) WHERE k <= 50",
     "exact_or_active": f"""WITH {NOTES_SQL}, b AS (SELECT piece_id, unnest(range(0, m + 1, 1920)) AS tick FROM (SELECT piece_id, CAST(max(start + dur) AS BIGINT) AS m FROM n2 GROUP BY 1)),
 j AS (SELECT b.piece_id, tick, voice, pitch, note_idx, start FROM b JOIN n2 ON n2.piece_id = b.piece_id AND start <= tick AND tick < start + dur) SELECT piece_id, tick, voice, arg_min(pitch, note_idx) FILTER (start = tick) AS exact, coalesce(arg_min(pitch, note_idx) FILTER (start = tick), arg_min(pitch, start * 100000 + note_idx)) AS pitch FROM j GROUP BY 1, 2, 3""",
-    "keep_max_per_tick": f"WITH {NOTES_SQL}, {CADENCES_SQL}, x AS (SELECT piece_id, tick, CASE WHEN confidence > 2 OR label <> 'CAD_HC' THEN label ELSE 'CAD_HC' END AS label FROM cv) SELECT piece_id, tick, label, CASE label WHEN 'CAD_PAC' THEN 101 WHEN 'CAD_IAC' THEN 102 WHEN 'CAD_HC' THEN 103 ELSE 104 END AS token FROM x",
+    "keep_max_per_tick": f"WITH {NOTES_SQL}, {CADENCES_SQL}, u AS (SELECT piece_id, tick, label, confidence, 0 AS o FROM cv UNION ALL SELECT piece_id, tick, 'CAD_DC', 1.5 + bar_index % 5 / 2.0, 1 FROM cv), x AS (SELECT *, row_number() OVER (PARTITION BY piece_id, tick ORDER BY confidence DESC, o) AS r FROM u) SELECT piece_id, tick, label, CAST(CASE label WHEN 'CAD_PAC' THEN 101 WHEN 'CAD_IAC' THEN 102 WHEN 'CAD_HC' THEN 103 ELSE 104 END AS INT) AS token FROM x WHERE r = 1",
     "cadence_density": f"WITH {NOTES_SQL}, {CADENCES_SQL}, k AS (SELECT CASE WHEN piece_id % 2 = 0 THEN 'major' ELSE 'minor' END AS mode, count(*) AS cadences, round(avg(CASE WHEN label = 'CAD_PAC' THEN 1.0 ELSE 0 END), 9) AS cad_pac, round(avg(CASE WHEN label = 'CAD_HC' THEN 1.0 ELSE 0 END), 9) AS cad_hc FROM cv GROUP BY 1), z AS (SELECT CASE WHEN piece_id % 2 = 0 THEN 'major' ELSE 'minor' END AS mode, sum(b) AS bars FROM (SELECT piece_id, ceil(max(start + dur) / 1920.0) AS b FROM n GROUP BY 1) GROUP BY 1) SELECT mode, cadences, round(cadences / bars, 9) AS per_bar, cad_pac, cad_hc FROM k JOIN z USING (mode)",
     "sections": f"""WITH {NOTES_SQL}, {CADENCES_SQL}, e9 AS (SELECT piece_id, CAST(max(start + dur) AS BIGINT) AS m FROM n GROUP BY 1), c9 AS (SELECT piece_id, unnest(range(0, m, 7680)) AS tick FROM e9 UNION SELECT piece_id, tick FROM cv UNION SELECT piece_id, min(start) FROM n GROUP BY piece_id, voice),
 s9 AS (SELECT c9.piece_id, tick, coalesce(lead(tick) OVER (PARTITION BY c9.piece_id ORDER BY tick), m) AS until FROM c9 JOIN e9 USING (piece_id) WHERE tick < m) SELECT s9.piece_id, tick, until, count(n.pitch) AS notes FROM s9 LEFT JOIN n ON n.piece_id = s9.piece_id AND start >= tick AND start < until GROUP BY 1, 2, 3""",
@@ -299,7 +288,7 @@ s9 AS (SELECT c9.piece_id, tick, coalesce(lead(tick) OVER (PARTITION BY c9.piece
     "subject_tokens": f"""WITH t AS (SELECT c_custkey, string_split({pick_sql(TEXTS, 'c_custkey')}, ' ') AS p FROM customer), u AS (SELECT c_custkey, CAST(i AS INT) AS pos, p[i + 1] AS part FROM (SELECT *, unnest(range(len(p))) AS i FROM t)), v AS (SELECT c_custkey, pos, regexp_extract(split_part(part, ':', 1), '^([A-Ga-g])([#b]?)(-?\\d+)$', ['l', 'a', 'o']) AS g, split_part(part, ':', 2) AS d FROM u)
 SELECT c_custkey, pos, CAST((CAST(g.o AS INT) + 1) * 12 + ([0, 2, 4, 5, 7, 9, 11])[strpos('CDEFGAB', upper(g.l))] + CASE g.a WHEN '#' THEN 1 WHEN 'b' THEN -1 ELSE 0 END AS INT) AS pitch, CAST(CASE d {' '.join(f"WHEN '{k}' THEN {v}" for k, v in DURATION_CODES.items())} ELSE 480 END AS INT) AS dur FROM v WHERE g.l <> ''""",
     "beat_rounding": "SELECT CAST(round_even(CAST(l_quantity AS DOUBLE) / 64 * 480, 0) AS BIGINT) AS rounded, CAST(trunc(CAST(l_quantity AS DOUBLE) / 64 * 480) AS BIGINT) AS cut, count(*) AS rows FROM lineitem GROUP BY 1, 2",
-    "number_lists": "SELECT c_custkey, CAST(3 AS INT) AS items, round(c_custkey + c_custkey / 4.0, 6) AS total FROM customer",
+    "number_lists": "WITH r AS (SELECT c_custkey, list_filter(list_transform(string_split(concat_ws(',', CAST(c_custkey AS VARCHAR), ' ', c_mktsegment, CAST(c_custkey / 4 AS VARCHAR)), ','), lambda x: trim(x)), lambda x: x <> '') AS x FROM customer) SELECT c_custkey, CAST(len(x) AS INT) AS items, round(list_sum(list_transform(x, lambda v: coalesce(TRY_CAST(v AS DOUBLE), 0))), 6) AS total FROM r",
     "sequence_summary": "SELECT role, count(*) AS sequences, count(DISTINCT conv_id) AS pieces, CAST(min(n) AS INT) AS shortest, CAST(max(n) AS INT) AS longest, round(avg(n), 6) AS mean FROM (SELECT *, len(string_split(lower(text), ' ')) AS n FROM conversations) GROUP BY 1",
     "category_loss": f"WITH {LOGITS_SQL}, z AS (SELECT ctx_id, max(logit) AS top, ln(sum(exp(logit))) AS z FROM g GROUP BY 1), a AS (SELECT ctx_id, min(token_id) AS token FROM g JOIN z USING (ctx_id) WHERE logit = top GROUP BY 1) SELECT CAST(token % 4 AS INT) AS category, count(*) AS rows, round(avg(z - top), 5) AS loss FROM a JOIN z USING (ctx_id) GROUP BY 1",
     "anti_lockstep": f"""WITH {LOGITS_SQL}, {RECENT_SQL}, x AS (SELECT ctx_id, toks[greatest(len(toks) - 31, 1):] AS t FROM rc), y AS (SELECT ctx_id, len(list_distinct(list_filter(t, lambda v, i: v < 4 AND NOT list_contains(t[i:], 4)))) AS voices FROM x)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaverlake.functions.pitch import MAJOR, NATURAL_MINOR, floor_div, lits
+from quaverlake.plans.folds import exact_percentile
 from quaverlake.plans.views import NOTES_SQL, key_mode, key_root, notes, table
 
 
@@ -48,9 +49,9 @@ def group_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def winner_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders at or above the 75th percentile of their priority's prices. The percentile is an aggregate, joined back."""
+    """Orders at or above the 75th percentile of their priority's prices. The percentile is found by counts, joined back."""
     o = table(spark, sf_dir, "orders")
-    cut = o.groupBy("o_orderpriority").agg(F.percentile("o_totalprice", F.lit(0.75)).alias("cut"))
+    cut = exact_percentile(o, "o_orderpriority", "o_totalprice", 0.75, 100.0)
     return o.join(cut, "o_orderpriority").filter("o_totalprice >= cut").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("winners"))
 
 

@@ -15,6 +15,12 @@ from quaverlake.plans.views import NOTES_SQL, key_mode, key_root, notes
 
 #: Weights of the composite; fixed values.
 WEIGHTS = {"voice_leading": 0.20, "statistical": 0.09, "structural": 0.22, "contrapuntal": 0.20, "completeness": 0.05, "thematic_recall": 0.24}
+#: Thresholds and steps of the form profiles; fixed values.
+PROFILES = {
+    "fugue": ((0.62, 0.74, 0.74, 0.008), (0.70, 0.84, 0.80, 0.010), (0.78, 0.40, 0.88, 0.006), (0.90, 0.66, 0.40, -0.012), (0.92, 0.78, 0.66, 0.44, -0.018), 0.04),
+    "sinfonia": ((0.58, 0.70, 0.72, 0.006), (0.66, 0.80, 0.78, 0.008), (0.74, 0.38, 0.86, 0.005), (0.89, 0.64, 0.38, -0.010), (0.91, 0.76, 0.64, 0.42, -0.014), 0.035),
+    "invention": ((0.55, 0.68, 0.70, 0.006), (0.63, 0.78, 0.76, 0.008), (0.70, 0.36, 0.85, 0.004), (0.88, 0.62, 0.36, -0.010), (0.90, 0.74, 0.62, 0.40, -0.014), 0.035),
+}
 
 
 def one(c: Column) -> Column:
@@ -207,17 +213,47 @@ def completeness_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return completeness(notes(spark, sf_dir))
 
 
+def phrase_lengths(n: DataFrame) -> DataFrame:
+    """piece_id, how (gaps or melody), ticks of each phrase longer than half a bar: by beats on which nothing sounds, and by the long notes of voice 0."""
+    end = n.groupBy("piece_id").agg(F.max(F.col("start") + F.col("dur")).cast("long").alias("hi"))
+    w = W.partitionBy("piece_id").orderBy("tick")
+    g = islands(n)
+    turns = g.withColumn("was", F.lag("active").over(w)).filter("was IS NULL OR was <> active").withColumn("next", F.lead("tick").over(w)).join(end, "piece_id")
+    gaps = turns.filter("active = 1 OR next IS NULL").select("piece_id", F.lit("gaps").alias("how"), (F.coalesce("next", "hi") - F.col("tick")).alias("ticks"))
+    v = W.partitionBy("piece_id").orderBy("start", "note_idx")
+    top = n.filter("voice = 0").withColumn("i", F.row_number().over(v)).withColumn("m", F.count(F.lit(1)).over(W.partitionBy("piece_id"))).withColumn("until", (F.col("start") + F.col("dur")).cast("long"))
+    closes = top.filter("m >= 4 AND (i = 1 OR dur >= 720)").withColumn("since", F.lag(F.when(F.col("i") == 1, F.col("start")).otherwise(F.col("until"))).over(v))
+    melody = closes.filter("i > 1").select("piece_id", F.lit("melody").alias("how"), (F.col("until") - F.col("since")).cast("long").alias("ticks"))
+    return gaps.unionByName(melody).filter("ticks > 960")
+
+
+def phrases(n: DataFrame) -> DataFrame:
+    """piece_id, phrase: whether phrases show, how near their lengths are to 2, 4 or 8 bars, and how many lengths there are; 0.3 where none shows."""
+    bars = F.col("ticks") / 1920
+    near = F.array_min(F.array(*(F.struct(F.abs(bars - k).alias("d"), F.lit(k).alias("k")) for k in (2, 4, 8))))
+    per = phrase_lengths(n).groupBy("piece_id", "how").agg(F.count(F.lit(1)).alias("k"), F.avg(F.greatest(F.lit(0.0), 1 - near["d"] / near["k"])).alias("regular"), (F.countDistinct(F.bround(bars)) / F.count(F.lit(1))).alias("unique"))
+    some = per.filter("k >= 2")
+    best = some.groupBy("piece_id").agg(F.min_by(F.struct("k", "regular", "unique"), "how").alias("p"))  # gaps before melody
+    u = F.col("p.unique")
+    variety = F.when(F.col("p.k") < 3, 0.15).otherwise(0.3 * F.when(u < 0.2, 0.5).when(u <= 0.7, 1.0).otherwise(F.greatest(F.lit(0.3), 1 - (u - 0.7) * 2)))
+    score = F.least(F.lit(1.0), 0.3 + 0.4 * F.col("p.regular") + variety)
+    full = n.groupBy("piece_id").agg(F.count(F.lit(1)).alias("c")).join(best, "piece_id", "left")
+    return full.select("piece_id", F.round(F.when((F.col("c") < 16) | F.col("p").isNull(), 0.3).otherwise(score), 9).alias("phrase"))
+
+
 def structure(n: DataFrame) -> DataFrame:
-    """The parts of the structural score but for phrases, which count as 0.3 (none found: voices without gaps)."""
+    """The parts of the structural score and the score, which few pitches lower."""
     p = key_consistency(n)
-    for part in (cadence, modulation, length):
+    for part in (cadence, phrases, modulation, length):
         p = p.join(part(n), "piece_id")
-    score = 0.25 * F.col("key_consistency") + 0.25 * F.col("cadence") + 0.20 * F.lit(0.3) + 0.15 * F.col("modulation") + 0.15 * F.col("length")
-    return p.withColumn("structural", F.round(score, 6))
+    p = p.join(n.groupBy("piece_id").agg(F.count(F.lit(1)).alias("c"), F.countDistinct("pitch").alias("u")), "piece_id")
+    ramp = F.when((F.col("c") <= 8) | (F.col("u") > 5), 1.0).when(F.col("u") <= 2, 0.1).otherwise(0.2 + (F.col("u") - 2) * 0.27)
+    score = 0.25 * F.col("key_consistency") + 0.25 * F.col("cadence") + 0.20 * F.col("phrase") + 0.15 * F.col("modulation") + 0.15 * F.col("length")
+    return p.withColumn("structural", F.round(score * ramp, 6)).drop("c", "u")
 
 
 def structural_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure(notes(spark, sf_dir)).select("piece_id", "key_consistency", "cadence", "modulation", "length", "structural")
+    return structure(notes(spark, sf_dir)).select("piece_id", "key_consistency", "cadence", "phrase", "modulation", "length", "structural")
 
 
 def stagger(n: DataFrame) -> DataFrame:
@@ -256,16 +292,63 @@ def guardrail_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guarded(notes(spark, sf_dir)).select("piece_id", "multiplier", "flags")
 
 
-def composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weighted sum under the fugue guardrails. Contrapuntal is our own measure."""
-    n = notes(spark, sf_dir)
-    p = guarded(n).join(statistical(n), "piece_id").join(structure(n).select("piece_id", "structural"), "piece_id").join(recall(n), "piece_id")
+def interaction_tests(form: str) -> list[tuple[Column, float]]:
+    """What a form's profile asks of the measures, and the step of each: two rewards of rhetoric, one of flow, two penalties."""
+    rhetoric, strong, flow, flat, safe, _ = PROFILES[form]
+    c = F.col
+    return [
+        *(((c("cadence") >= r[0]) & (c("phrase") >= r[1]) & (c("key_consistency") >= r[2]), r[3]) for r in (rhetoric, strong)),
+        ((c("stagger") >= flow[0]) & (c("contrary") >= flow[1]) & (c("melodic") >= flow[2]), flow[3]),
+        ((c("voice_leading") >= flat[0]) & ((c("phrase") < flat[1]) | (c("contrary") < flat[2])), flat[3]),
+        ((c("voice_leading") >= safe[0]) & (c("independence") < safe[1]) & (c("stagger") < safe[2]) & (c("contrary") < safe[3]), safe[4]),
+    ]
+
+
+def interaction(form: str) -> tuple[Column, Column]:
+    """The bounded sum of the steps, and how many apply."""
+    tests, bound = interaction_tests(form), PROFILES[form][-1]
+    total = sum((F.when(t, v).otherwise(0.0) for t, v in tests), F.lit(0.0))
+    return F.greatest(F.lit(-bound), F.least(F.lit(bound), total)), sum((t.cast("int") for t, _ in tests), F.lit(0))
+
+
+def motion(n: DataFrame) -> DataFrame:
+    """Our own measures for the interaction: contrary, the share of joint onsets of the outer voices at which they move in opposite directions (0
+    without any), and melodic, the share of intervals of a fifth at most."""
+    w = W.partitionBy("piece_id", "voice").orderBy("start", "note_idx")
+    s = n.withColumn("ivl", F.col("pitch") - F.lag("pitch").over(w))
+    melodic = s.groupBy("piece_id").agg(F.avg(F.when(F.col("ivl").isNotNull(), one(F.abs("ivl") <= 7))).alias("melodic"))
+    both = s.filter("voice in (0, 3) and ivl is not null").groupBy("piece_id", "start").agg(F.max(F.when(F.col("voice") == 0, F.signum("ivl"))).alias("u"), F.max(F.when(F.col("voice") == 3, F.signum("ivl"))).alias("l")).filter("u is not null and l is not null")
+    contrary = both.groupBy("piece_id").agg(F.avg(one(F.col("u") * F.col("l") < 0)).alias("contrary"))
+    return melodic.join(contrary, "piece_id", "left").select("piece_id", F.round(F.coalesce("melodic", F.lit(0.0)), 9).alias("melodic"), F.round(F.coalesce("contrary", F.lit(0.0)), 9).alias("contrary"))
+
+
+def composed(n: DataFrame, form: str = "fugue") -> DataFrame:
+    """All measures of each piece, with composite: the weighted sum under the guardrails, plus the interaction of the form's profile."""
+    p = guarded(n).join(statistical(n), "piece_id").join(structure(n).drop("cadence"), "piece_id").join(recall(n), "piece_id").join(motion(n), "piece_id")
     value = {k: F.col(k) for k in WEIGHTS} | {"contrapuntal": F.col("stagger"), "thematic_recall": F.col("recall")}
     total = sum((w * value[k] for k, w in WEIGHTS.items()), F.lit(0.0))
-    return p.select("piece_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total * F.col("multiplier"))), 5).alias("composite"))
+    return p.withColumn("composite", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total * F.col("multiplier") + interaction(form)[0])), 5))
+
+
+def composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces as fugues. Contrapuntal, contrary and melodic are our own measures."""
+    return composed(notes(spark, sf_dir)).select("piece_id", "composite")
+
+
+def selection_score(spark: SparkSession, sf_dir: str, groups: int = 10) -> DataFrame:
+    """The best two of each group of pieces (ids with the same last digit) by the selection score of fugues, and the best two by that of
+    chorales: the composite, raised by stagger and balance and lowered by onsets of three and more; or raised by such onsets and completeness."""
+    n = notes(spark, sf_dir)
+    dense = n.groupBy("piece_id", "start").agg(F.countDistinct("voice").alias("k")).groupBy("piece_id").agg(F.avg(one(F.col("k") >= 3)).alias("dense"))
+    p = composed(n).join(dense, "piece_id")
+    fugue = F.col("composite") + 0.12 * F.col("stagger") + 0.05 * F.col("balance") - 0.08 * F.col("dense")
+    chorale = F.col("composite") + 0.08 * F.col("dense") + 0.04 * F.col("completeness")
+    both = p.select("piece_id", (F.col("piece_id") % groups).alias("prompt"), F.explode(F.array(F.struct(F.lit("fugue").alias("form"), F.round(fugue, 5).alias("selection")), F.struct(F.lit("chorale").alias("form"), F.round(chorale, 5).alias("selection")))).alias("s")).select("piece_id", "prompt", "s.*")
+    best = F.row_number().over(W.partitionBy("prompt", "form").orderBy(F.desc("selection"), "piece_id"))
+    return both.withColumn("rank", best).filter("rank <= 2")
 
 
-QUERIES = {f.__name__: f for f in (cadence_events, phrase_islands, voice_leading_score, statistical_score, structural_score, completeness_score, guardrail_flags, composite_score)}
+QUERIES = {f.__name__: f for f in (cadence_events, phrase_islands, voice_leading_score, statistical_score, structural_score, completeness_score, guardrail_flags, composite_score, selection_score)}
 
 
 def leading_sql(n: str) -> str:
@@ -302,7 +385,14 @@ md AS (SELECT piece_id, round(CASE WHEN c < 16 THEN 0.3 WHEN k IS NULL OR k <= 1
 ln AS (SELECT piece_id, round(CASE WHEN b < 4 THEN 0.1 WHEN b < 12 THEN 0.3 + 0.4 * (b - 4) / 8 WHEN b <= 60 THEN 0.8 + 0.2 * least(1.0, (b - 12) / 20) ELSE greatest(0.5, 1 - (b - 60) / 60) END, 9) AS length FROM (SELECT piece_id, (max(start + dur) - min(start)) / 1920.0 AS b FROM n GROUP BY 1)),
 kx AS (SELECT pc.piece_id, pcl, key_root, key_mode, count(n.pitch) AS c FROM pc CROSS JOIN (SELECT unnest(range(12)) AS pcl) LEFT JOIN n ON n.piece_id = pc.piece_id AND n.pitch % 12 = pcl GROUP BY 1, 2, 3, 4),
 kc2 AS (SELECT piece_id, round(least(1.0, greatest(0.0, (coalesce(corr(c, CASE WHEN key_mode = 'major' THEN ({PROFILE_MAJOR})[(pcl - key_root + 12) % 12 + 1] ELSE ({PROFILE_MINOR})[(pcl - key_root + 12) % 12 + 1] END), 0) + 0.2) / 1.2)), 9) AS key_consistency FROM kx GROUP BY 1),
-sr AS (SELECT piece_id, key_consistency, cadence, modulation, length, round(0.25 * key_consistency + 0.25 * cadence + 0.06 + 0.15 * modulation + 0.15 * length, 6) AS structural FROM kc2 JOIN cd USING (piece_id) JOIN md USING (piece_id) JOIN ln USING (piece_id))"""
+pg AS (SELECT piece_id, unnest(range(CAST(min(start) AS BIGINT), CAST(max(start + dur) AS BIGINT), 480)) AS tick, CAST(max(start + dur) AS BIGINT) AS hi FROM n GROUP BY 1), ps AS (SELECT DISTINCT pg.piece_id, tick FROM pg JOIN n ON n.piece_id = pg.piece_id AND start <= tick AND tick < start + least(dur, 3840)),
+pw AS (SELECT pg.*, ps.tick IS NOT NULL AS active, lag(ps.tick IS NOT NULL) OVER (PARTITION BY pg.piece_id ORDER BY pg.tick) AS was FROM pg LEFT JOIN ps ON ps.piece_id = pg.piece_id AND ps.tick = pg.tick), px AS (SELECT *, lead(tick) OVER (PARTITION BY piece_id ORDER BY tick) AS nx FROM pw WHERE was IS NULL OR was <> active),
+py AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY piece_id) AS m FROM n WHERE voice = 0 WINDOW w AS (PARTITION BY piece_id ORDER BY start, note_idx)), pz AS (SELECT *, lag(CASE WHEN i = 1 THEN start ELSE start + dur END) OVER (PARTITION BY piece_id ORDER BY i) AS since FROM py WHERE m >= 4 AND (i = 1 OR dur >= 720)),
+pl AS (SELECT piece_id, 0 AS how, coalesce(nx, hi) - tick AS ticks FROM px WHERE active OR nx IS NULL UNION ALL SELECT piece_id, 1, start + dur - since FROM pz WHERE i > 1),
+pq AS (SELECT *, ticks / 1920.0 AS b, CASE WHEN abs(ticks / 1920.0 - 2) <= abs(ticks / 1920.0 - 4) THEN 2 WHEN abs(ticks / 1920.0 - 4) <= abs(ticks / 1920.0 - 8) THEN 4 ELSE 8 END AS s FROM pl WHERE ticks > 960),
+pr AS (SELECT piece_id, how, count(*) AS k, avg(greatest(0.0, 1 - abs(b - s) / s)) AS rg, count(DISTINCT round_even(b, 0)) * 1.0 / count(*) AS u FROM pq GROUP BY 1, 2 HAVING count(*) >= 2), pu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY piece_id ORDER BY how) AS r FROM pr) WHERE r = 1),
+ph AS (SELECT piece_id, c, q, round(CASE WHEN c < 16 OR k IS NULL THEN 0.3 ELSE least(1.0, 0.3 + 0.4 * rg + CASE WHEN k < 3 THEN 0.15 WHEN u < 0.2 THEN 0.15 WHEN u <= 0.7 THEN 0.3 ELSE 0.3 * greatest(0.3, 1 - (u - 0.7) * 2) END) END, 9) AS phrase FROM (SELECT piece_id, count(*) AS c, count(DISTINCT pitch) AS q FROM n GROUP BY 1) LEFT JOIN pu USING (piece_id)),
+sr AS (SELECT piece_id, key_consistency, cadence, phrase, modulation, length, round((0.25 * key_consistency + 0.25 * cadence + 0.20 * phrase + 0.15 * modulation + 0.15 * length) * CASE WHEN c <= 8 OR q > 5 THEN 1.0 WHEN q <= 2 THEN 0.1 ELSE 0.2 + (q - 2) * 0.27 END, 6) AS structural FROM kc2 JOIN cd USING (piece_id) JOIN md USING (piece_id) JOIN ln USING (piece_id) JOIN ph USING (piece_id))"""
 
 
 def share_sql(name: str, source: str, value: str, bins: int) -> str:
@@ -323,6 +413,19 @@ sz AS (SELECT piece_id, round(min(c) * 1.0 / max(c), 9) AS balance, sum(c) AS to
 ge AS (SELECT *, [CASE WHEN voice_leading < 0.65 THEN 'low_voice_leading' END, CASE WHEN completeness < 0.50 THEN 'low_completeness' END, CASE WHEN total >= 32 AND voices < 4 THEN 'fugue_missing_voice' END, CASE WHEN total >= 32 AND cadence < 0.45 THEN 'fugue_weak_cadence' END,
  CASE WHEN total >= 32 AND balance < 0.35 THEN 'fugue_unbalanced_voices' END, CASE WHEN total >= 32 AND stagger > 0.90 AND independence < 0.45 THEN 'fugue_fragmented_not_dialogic' END, CASE WHEN total >= 32 AND stagger < 0.10 THEN 'fugue_over_lockstep' END, CASE WHEN total >= 32 AND completeness < 0.65 THEN 'fugue_incomplete_form' END] AS fl FROM ld JOIN cm USING (piece_id) JOIN cd USING (piece_id) JOIN og USING (piece_id) JOIN iv USING (piece_id) JOIN sz USING (piece_id)),
 gr AS (SELECT *, array_to_string(list_filter(fl, lambda x: x IS NOT NULL), '|') AS flags, round(CASE WHEN fl[1] IS NULL THEN 1 ELSE 0.8 END * CASE WHEN fl[2] IS NULL THEN 1 ELSE 0.8 END * CASE WHEN fl[3] IS NULL THEN 1 ELSE 0.7 END * CASE WHEN fl[4] IS NULL THEN 1 ELSE 0.85 END * CASE WHEN fl[5] IS NULL THEN 1 ELSE 0.75 END * CASE WHEN fl[6] IS NULL THEN 1 ELSE 0.8 END * CASE WHEN fl[7] IS NULL THEN 1 ELSE 0.85 END * CASE WHEN fl[8] IS NULL THEN 1 ELSE 0.8 END, 9) AS multiplier FROM ge)"""
+def interaction_sql(form: str) -> tuple[str, str]:
+    """The bounded sum of a profile's steps, and how many apply."""
+    a, b, c, d, e, bound = PROFILES[form]
+    tests = [f"cadence >= {r[0]} AND phrase >= {r[1]} AND key_consistency >= {r[2]}" for r in (a, b)] + [f"stagger >= {c[0]} AND contrary >= {c[1]} AND melodic >= {c[2]}", f"voice_leading >= {d[0]} AND (phrase < {d[1]} OR contrary < {d[2]})", f"voice_leading >= {e[0]} AND independence < {e[1]} AND stagger < {e[2]} AND contrary < {e[3]}"]
+    steps = [x[-1] for x in (a, b, c, d, e)]
+    return f"greatest(-{bound}, least({bound}, {' + '.join(f'CASE WHEN {t} THEN {v} ELSE 0 END' for t, v in zip(tests, steps, strict=True))}))", " + ".join(f"CASE WHEN {t} THEN 1 ELSE 0 END" for t in tests)
+
+
+COMPOSITE_SQL = f"""{NOTES_SQL}, {leading_sql('n')}, {COMPLETE_SQL}, {CADENCE_SQL}, {GUARD_SQL}, {STATISTICAL_SQL}, {STRUCTURE_SQL}, {RECALL_SQL},
+mo AS (SELECT *, pitch - lag(pitch) OVER (PARTITION BY piece_id, voice ORDER BY start, note_idx) AS ivl FROM n), ml AS (SELECT piece_id, round(coalesce(avg(CASE WHEN ivl IS NOT NULL THEN CASE WHEN abs(ivl) <= 7 THEN 1.0 ELSE 0.0 END END), 0.0), 9) AS melodic FROM mo GROUP BY 1),
+mb AS (SELECT piece_id, start, max(sign(ivl)) FILTER (voice = 0) AS u, max(sign(ivl)) FILTER (voice = 3) AS l FROM mo WHERE ivl IS NOT NULL GROUP BY 1, 2), mc AS (SELECT piece_id, round(avg(CASE WHEN u * l < 0 THEN 1.0 ELSE 0.0 END), 9) AS contrary FROM mb WHERE u IS NOT NULL AND l IS NOT NULL GROUP BY 1),
+cp AS (SELECT gr.piece_id, gr.voice_leading, gr.completeness, gr.cadence, stagger, independence, balance, multiplier, statistical, key_consistency, phrase, structural, recall, melodic, coalesce(contrary, 0.0) AS contrary FROM gr JOIN sa USING (piece_id) JOIN sr USING (piece_id) JOIN tr USING (piece_id) JOIN ml USING (piece_id) LEFT JOIN mc USING (piece_id)),
+co AS (SELECT *, round(greatest(0.0, least(1.0, (0.20 * voice_leading + 0.09 * statistical + 0.22 * structural + 0.20 * stagger + 0.24 * recall + 0.05 * completeness) * multiplier + {interaction_sql('fugue')[0]})), 5) AS composite FROM cp)"""
 SQL = {
     "cadence_events": f"""WITH {NOTES_SQL}, v AS (SELECT *, lag(pitch) OVER (PARTITION BY piece_id, voice ORDER BY start, note_idx) AS prev FROM n), br AS (SELECT piece_id, voices, unnest(range(1920, m + 1, 1920)) AS tick FROM (SELECT piece_id, CAST(max(start + dur) AS BIGINT) AS m, count(DISTINCT voice) AS voices FROM n GROUP BY 1)),
 h AS (SELECT br.piece_id, tick, voices, count(v.pitch) AS sounding, count(*) FILTER (dur >= 960 OR abs(start + dur - tick) <= 120) AS settled, max(pitch) FILTER (voice = 3) AS bp, max(prev) FILTER (voice = 3) AS bv, max(dur) FILTER (voice = 3) AS bd0, max(pitch) FILTER (voice = 0) AS sp, max(dur) FILTER (voice = 0) AS sd0 FROM br JOIN v ON v.piece_id = br.piece_id AND start <= tick AND tick < start + dur GROUP BY 1, 2, 3),
@@ -336,5 +439,8 @@ e AS (SELECT *, CASE WHEN active = lag(active) OVER (PARTITION BY piece_id ORDER
     "structural_score": f"WITH {NOTES_SQL}, {COMPLETE_SQL}, {CADENCE_SQL}, {STRUCTURE_SQL} SELECT * FROM sr",
     "completeness_score": f"WITH {NOTES_SQL}, {COMPLETE_SQL} SELECT * FROM cm",
     "guardrail_flags": f"WITH {NOTES_SQL}, {leading_sql('n')}, {COMPLETE_SQL}, {CADENCE_SQL}, {GUARD_SQL} SELECT piece_id, multiplier, flags FROM gr",
-    "composite_score": f"WITH RECURSIVE {NOTES_SQL}, {leading_sql('n')}, {COMPLETE_SQL}, {CADENCE_SQL}, {GUARD_SQL}, {STATISTICAL_SQL}, {STRUCTURE_SQL}, {RECALL_SQL} SELECT piece_id, round(greatest(0.0, least(1.0, (0.20 * voice_leading + 0.09 * statistical + 0.22 * structural + 0.20 * stagger + 0.24 * recall + 0.05 * completeness) * multiplier)), 5) AS composite FROM gr JOIN sa USING (piece_id) JOIN sr USING (piece_id) JOIN tr USING (piece_id)",
+    "composite_score": f"WITH RECURSIVE {COMPOSITE_SQL} SELECT piece_id, composite FROM co",
+    "selection_score": f"""WITH RECURSIVE {COMPOSITE_SQL}, ds AS (SELECT piece_id, avg(CASE WHEN k >= 3 THEN 1.0 ELSE 0.0 END) AS dense FROM (SELECT piece_id, start, count(DISTINCT voice) AS k FROM n GROUP BY 1, 2) GROUP BY 1),
+bo AS (SELECT piece_id, piece_id % 10 AS prompt, 'fugue' AS form, round(composite + 0.12 * stagger + 0.05 * balance - 0.08 * dense, 5) AS selection FROM co JOIN ds USING (piece_id) UNION ALL SELECT piece_id, piece_id % 10, 'chorale', round(composite + 0.08 * dense + 0.04 * completeness, 5) FROM co JOIN ds USING (piece_id))
+SELECT piece_id, prompt, form, selection, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY prompt, form ORDER BY selection DESC, piece_id) AS r FROM bo) WHERE r <= 2""",
 }
