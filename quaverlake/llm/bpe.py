@@ -11,6 +11,7 @@ Columns other than the key and the text are not carried along.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import struct
@@ -31,6 +32,8 @@ CHUNK = re.compile(r"\s*\S+|\s+")
 NO_RANK = 1 << 40
 #: Fragments that a Python worker remembers; beyond that it forgets all of them and goes on.
 REMEMBERED = 400_000
+#: Bytes from which a fragment is merged by a heap over a linked list, whose time grows with n log n; below, a scan is faster.
+LONG = 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -66,6 +69,8 @@ class ForcedBoundaryCodec:
 
     def merge(self, fragment: bytes) -> bytes:
         """Merge the adjacent pair of the lowest rank, leftmost first, until no pair has a rank."""
+        if len(fragment) >= LONG:
+            return self.merge_long(fragment)
         ids = [self.single[b] for b in fragment]
         rank_of = self.ranks.get
         ranks = [rank_of(a << 16 | b, NO_RANK) for a, b in zip(ids, ids[1:], strict=False)]
@@ -79,6 +84,38 @@ class ForcedBoundaryCodec:
                 ranks[i] = rank_of(new << 16 | ids[i + 1], NO_RANK)
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def merge_long(self, fragment: bytes) -> bytes:
+        """The same by a heap of pairs (rank, place) and links to the next and the previous token; a pair that has changed is passed over."""
+        ids = [self.single[b] for b in fragment]
+        n, rank_of = len(ids), self.ranks.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        now = [rank_of(a << 16 | b, NO_RANK) for a, b in zip(ids, ids[1:], strict=False)] + [NO_RANK]
+        heap = [rank << 32 | i for i, rank in enumerate(now) if rank < NO_RANK]
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            rank, i = top >> 32, top & 0xFFFFFFFF
+            if now[i] != rank:
+                continue
+            ids[i] = new = rank & 0xFFFF
+            gone = after[i]
+            j = after[i] = after[gone]
+            now[gone] = NO_RANK
+            ids[gone] = -1
+            now[i] = NO_RANK
+            if j < n:
+                before[j] = i
+                now[i] = rank_of(new << 16 | ids[j], NO_RANK)
+                if now[i] < NO_RANK:
+                    heapq.heappush(heap, now[i] << 32 | i)
+            h = before[i]
+            if h >= 0:
+                now[h] = rank_of(ids[h] << 16 | new, NO_RANK)
+                if now[h] < NO_RANK:
+                    heapq.heappush(heap, now[h] << 32 | h)
+        kept = [i for i in ids if i >= 0]
+        return struct.pack(f"<{len(kept)}I", *kept)
+
     def split(self, pretoken: bytes) -> list[bytes]:
         """The fragments between forced boundaries."""
         joined, left, start, out = self.joined, pretoken[0], 0, []
@@ -157,7 +194,17 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     return map_rows(encoded.select(key, "ids"), lambda c, k, i: (k, i, c.decode(i)), f"`{key}` {kind}, ids binary, decoded string", lambda: codec(path))
 
 
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, ids and the text that the ids stand for, in one pass over the texts."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def both(c: ForcedBoundaryCodec, k: object, t: str | None) -> tuple:
+        ids = c.encode(as_text(t))
+        return k, ids, c.decode(ids)
+
+    return map_rows(docs.select(key, text), both, f"`{key}` {kind}, ids binary, decoded string", lambda: codec(path))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(VOCABULARY)
-    done = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    done = round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
     return done.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
