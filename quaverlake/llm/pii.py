@@ -3,11 +3,12 @@ r"""Operator 1: personal data, by candidate generators and boosted trees, in Dat
 Four base patterns (email, IP address, card, phone) give the base spans, which always stay. Wider generators propose
 overlapping candidate spans (written-out addresses, numbers in other groupings, keys and passwords). Boosted trees score each
 candidate by its format and its context. They learn on a bounded sample of documents: true are base spans and their
-rewritings (at and dot written out, other separators, other prefixes) in the context of the base span, false are all other
+rewritings (at and dot written out, other separators, 00 for +) in the context of the base span, false are all other
 candidates; of secrets, for which there is no base pattern, those are true that a word such as token or password is assigned
 to, and the trees don't see that word. On a held-out part each kind gets the least threshold at which PRECISION of the accepted
-candidates are true, or none. Accepted candidates that touch no base span compete: of those that overlap, the one of the
-higher score is added. The scored model is an expression of Spark columns; numpy serves on the driver only, for the fit.
+candidates are true (midway to the next lower score, even odds at least), or none; a secret that such a word is assigned to needs no score. Accepted candidates that touch no
+base span compete: of those that overlap, the one of the higher score is added. The scored model is an expression of Spark
+columns; numpy serves on the driver only, for the fit.
 
 Base patterns are leftmost and non-overlapping per kind. They are written so that matching is linear: runs start only
 where a run can start, and groups don't give back. Positions are code points, ends exclusive. Null texts count as empty and
@@ -16,6 +17,8 @@ have no spans. Repeated rows give equal results.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,27 +41,31 @@ BASE = {
 }
 #: Generators: wider than the base in what they take, so their spans overlap base spans and each other.
 WIDE = {
-    "email": rf"(?<!{LOCAL}){LOCAL}++\x20?(?:@|[(\[]at[)\]])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9])[0-9]{1,3}(?:\x20?[.,]\x20?[0-9]{1,3}){3}(?![0-9])",
+    "email": rf"(?<!{LOCAL}){LOCAL}++(?:\x20?@\x20?|\x20?[(\[]at[)\]]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]{1,3}(?:\x20?\.\x20?[0-9]{1,3}){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[\x20._/-]?[0-9]){12,18}(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\+|00)?[\x20]?\(?[0-9]{1,4}\)?(?:[\x20./-]?\(?[0-9]{2,5}\)?){1,5}(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{16,200}={0,2}(?![A-Za-z0-9+/_=@-])",
+    "phone": r"(?<![0-9+])(?:\+|00)\x20?\(?[0-9]{1,4}\)?(?:[\x20./-]?\(?[0-9]{2,5}\)?){1,5}(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=@-])",
 }
-#: Rewritings of base spans, as pattern and replacement; the trees learn from them what candidates look like that no base pattern finds.
+#: What a text holds in which a pattern of a kind can match, by a test that is cheaper than the pattern.
+HINTS = {"email": r"@|[(\[]at[)\]]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]", "secret": "[0-9]"}
+#: Where a card number of four groups is cut, and rewritings of base spans: patterns and replacements in order, and whether what they
+#: give is still true. The trees learn from them what candidates look like that no base pattern finds.
+CUT = r"[^0-9]|(?<=^[0-9]{4}|^[0-9]{8}|^[0-9]{12})(?=[0-9])"
 REWRITTEN = {
-    "email": (("@", " [at] "), ("@", " @ "), (r"^([^@]*)@(.*)\.([^.]*)$", "$1(at)$2(dot)$3")),
-    "ip": ((r"\.", " . "), (r"\.", ",")),
-    "card": ((r"[^0-9]|(?<=^[0-9]{4}|^[0-9]{8}|^[0-9]{12})(?=[0-9])", "."), (r"[^0-9]|(?<=^[0-9]{4}|^[0-9]{8}|^[0-9]{12})(?=[0-9])", "/")),
-    "phone": ((r"^\+", "00"), (r"^\+[0-9]{1,3}[\x20.-]", ""), (r"[\x20-]", "/")),
+    "email": (((("@", " [at] "),), True), ((("@", " @ "),), True), (((r"^([^@]*)@(.*)\.([^.]*)$", "$1(at)$2(dot)$3"),), True), (((r"^([^@]*)@(.*)\.([^.]*)$", "$1 [at] $2 [dot] $3"),), True)),
+    "ip": ((((r"\.", " . "),), True), (((r"\.", ". "),), True), ((("^[0-9]+", "999"),), False), ((("^[0-9]+", "999"), (r"\.", " . ")), False)),
+    "card": (*((((CUT, c),), True) for c in "./ "), *((((end, "9"), (CUT, c)), False) for end in ("[0-8]$", "^[0-8]") for c in "./ "), ((("[0-8]$", "9"),), False)),
+    "phone": ((((r"^\+", "00"),), True), (((r"[\x20-]", "/"),), True)),
 }
 #: What a secret is assigned to.
 ASSIGNED = r"(?i)(?:token|secret|passwor[dt]|passwd|pwd|api[_-]?key|access[_-]?key|credential|auth)\w*[\"']?\x20?(?:=>?|:)\x20?[\"']?$"
 CUES = (r"(?i)\b(?:e-?mail|contact|write|mailto)\b", r"(?i)\b(?:ip|host|server|address|client)\b", r"(?i)\b(?:card|visa|credit|payment)\b", r"(?i)\b(?:tel|phone|call|mobile|fax)\b")
-CONTEXT, FEATURES = 24, 13 + len(CUES)
+CONTEXT, FEATURES = 24, 14 + len(CUES)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, m>> of all matches: code points before, up to the end, and the match."""
+def matches(text: Column, pattern: str, some: Column | None = None) -> Column:
+    """array<struct<s, e, m>> of all matches: code points before, up to the end, and the match. None is sought where `some` doesn't hold."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
     steps = F.zip_with(gaps, found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
@@ -70,7 +77,7 @@ def matches(text: Column, pattern: str) -> Column:
         e = s + F.length(x["m"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(empty)
+    return F.when(text.rlike(pattern) if some is None else some & text.rlike(pattern), F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(empty)
 
 
 def digits(m: Column) -> Column:
@@ -105,7 +112,7 @@ def spans_of(kind: str, found: Column) -> Column:
 
 def base_columns(text: Column) -> dict[str, Column]:
     def base(kind: str) -> Column:
-        return spans_of(kind, F.filter(matches(text, BASE[kind]), lambda x: valid(kind, x["m"])))
+        return spans_of(kind, F.filter(matches(text, BASE[kind], F.col(f"some_{kind}")), lambda x: valid(kind, x["m"])))
 
     return {f"base_{k}": base(k) for k in KINDS}
 
@@ -122,6 +129,7 @@ def features(kind: Column, m: Column, before: Column, after: Column) -> list[Col
         F.length(F.regexp_replace(m, "[^A-Za-z]", "")).cast("double"),
         flag(F.when(number.between(13, 19), luhn(m)).otherwise(False)),
         F.size(F.array_distinct(F.split(m, ""))).cast("double"),
+        flag(F.when(kind == ALL.index("ip"), F.forall(F.split(m, "[^0-9]+"), lambda part: part.cast("int") <= 255)).otherwise(False)),
         flag(m.rlike("^[0-9a-f]+$")),
         flag(m.rlike("[a-z]") & m.rlike("[A-Z]")),
         flag(before.rlike("[=:]\\x20?[\"']?$")),
@@ -131,7 +139,7 @@ def features(kind: Column, m: Column, before: Column, after: Column) -> list[Col
     ]
 
 
-def candidates(text: Column, kind: str) -> Column:
+def candidates(text: Column, kind: str, some: Column | None = None) -> Column:
     """array<struct<kind, s, e, assigned, x>> of the wide generator of a kind, with the features x."""
 
     def row(c: Column) -> Column:
@@ -140,27 +148,28 @@ def candidates(text: Column, kind: str) -> Column:
         assigned = before.rlike(ASSIGNED) if kind == "secret" else F.lit(False)
         return F.struct(F.lit(ALL.index(kind)).alias("kind"), c["s"].alias("s"), c["e"].alias("e"), assigned.alias("assigned"), F.array(*features(F.lit(ALL.index(kind)), c["m"], before, after)).alias("x"))
 
-    return F.transform(matches(text, WIDE[kind]), row)
+    return F.transform(matches(text, WIDE[kind], some), row)
 
 
 def with_candidates(docs: DataFrame, carry: list[Column]) -> DataFrame:
     """carry, body (the text, or empty), base (all base spans) and wide (all candidates), by kind and then by start."""
     body = docs.select(*carry, F.coalesce("text", F.lit("")).alias("body"))
-    found = body.select("*", *(c.alias(n) for n, c in base_columns(F.col("body")).items()), *(candidates(F.col("body"), k).alias(f"wide_{k}") for k in ALL))
-    return found.select("*", F.concat(*(f"base_{k}" for k in KINDS)).alias("base"), F.concat(*(f"wide_{k}" for k in ALL)).alias("wide"))
+    body = body.select("*", *(F.col("body").rlike(HINTS[k]).alias(f"some_{k}") for k in ALL))
+    found = body.select("*", *(c.alias(n) for n, c in base_columns(F.col("body")).items()), *(candidates(F.col("body"), k, F.col(f"some_{k}")).alias(f"wide_{k}") for k in ALL))
+    return found.drop(*(f"some_{k}" for k in ALL)).select("*", F.concat(*(f"base_{k}" for k in KINDS)).alias("base"), F.concat(*(f"wide_{k}" for k in ALL)).alias("wide"))
 
 
 def rewritings(sample: DataFrame) -> DataFrame:
-    """x and y of the candidates of each kind in rewritten base spans, within their context: true are those that are the whole span."""
+    """x and y of the candidates of each kind in rewritten base spans, within their context: true are those that are the whole span of a true rewriting."""
     spans = sample.select("body", F.explode("base").alias("b"))
     near = spans.select(F.col("b.kind").alias("kind"), F.substring("body", F.greatest(F.col("b.s") - CONTEXT, F.lit(0)) + 1, F.least(F.col("b.s"), F.lit(CONTEXT))).alias("before"), F.substring("body", F.col("b.s") + 1, F.col("b.e") - F.col("b.s")).alias("m"), F.substring("body", F.col("b.e") + 1, F.lit(CONTEXT)).alias("after"))
     out = []
     for kind, rules in REWRITTEN.items():
         own = near.filter(F.col("kind") == KINDS.index(kind))
-        new = own.select("before", "after", F.explode(F.array(*(F.regexp_replace("m", *rule) for rule in rules))).alias("new"), "m").filter("new <> m")
-        text = new.select(F.concat("before", "new", "after").alias("body"), F.length("before").alias("s"), (F.length("before") + F.length("new")).alias("e"))
-        c = text.select("s", "e", F.explode(candidates(F.col("body"), kind)).alias("c"))
-        out.append(c.select(F.col("c.x").alias("x"), ((F.col("c.s") == F.col("s")) & (F.col("c.e") == F.col("e"))).cast("int").alias("y")))
+        new = own.select("before", "after", F.explode(F.array(*(F.struct(reduce(lambda m, step: F.regexp_replace(m, *step), steps, F.col("m")).alias("new"), F.lit(true).alias("kept")) for steps, true in rules))).alias("r"), "m").select("before", "after", "r.*", "m").filter("new <> m")
+        text = new.select("kept", F.concat("before", "new", "after").alias("body"), F.length("before").alias("s"), (F.length("before") + F.length("new")).alias("e"))
+        c = text.select("s", "e", "kept", F.explode(candidates(F.col("body"), kind)).alias("c")).filter("c.s < e AND s < c.e")  # other data in the context tells nothing
+        out.append(c.select(F.col("c.x").alias("x"), (F.col("kept") & (F.col("c.s") == F.col("s")) & (F.col("c.e") == F.col("e"))).cast("int").alias("y")))
     return out[0].union(out[1]).union(out[2]).union(out[3])
 
 
@@ -174,7 +183,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE) -> tuple[boosting.Trees, list[float
         return boosting.flat([], [], -20.0), [float("inf")] * len(ALL)
     x, y, n = np.array([r.x for r in found]), np.array([r.y for r in found], float), np.array([r["count"] for r in found], float)
     held = np.arange(len(y)) % 3 == 2
-    trees = boosting.fit(x[~held], y[~held], weight=n[~held], trees=25)
+    trees = boosting.fit(x[~held], y[~held], weight=n[~held], trees=40, depth=4)
     margins, limits = trees.margin(x), []
     for k in range(len(ALL)):
         own = held & (x[:, 0] == k)
@@ -183,7 +192,8 @@ def fit(docs: DataFrame, rows: int = SAMPLE) -> tuple[boosting.Trees, list[float
         precise = np.cumsum(true * weight) >= PRECISION * np.cumsum(weight)
         last = np.append(level[1:] != level[:-1], True) if len(level) else np.empty(0, bool)
         good = np.flatnonzero(precise & last & (level > 0)) if len(level) else []
-        limits.append(float(level[good[-1]]) if len(good) else float("inf"))
+        below = level[good[-1] + 1 :][:1] if len(good) else []  # midway to the first candidate that would spoil the precision, but not below even odds
+        limits.append(float(max(0.0, (level[good[-1]] + below[0]) / 2)) if len(below) else 0.0 if len(good) else float("inf"))
     return trees, limits
 
 
@@ -191,12 +201,10 @@ def personal_data(docs: DataFrame, model: tuple[boosting.Trees, list[float]], ca
     """carry, body, base and spans: array<struct<kind, s, e>> of base and added spans, by kind and then by start."""
     trees, limits = model
     found = with_candidates(docs, carry)
-    if all(np.isinf(limits)):
-        return found.select("*", F.col("base").alias("spans"))
     limit = F.array(*(F.lit(float(v)) for v in limits))
     free = F.filter("wide", lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    scored = F.transform("free", lambda c: F.struct((-trees.column([c["x"][i] for i in range(FEATURES)])).alias("score"), c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
-    wanted = F.array_sort(F.filter("scored", lambda c: -c["score"] >= F.element_at(limit, c["kind"] + 1)))
+    scored = F.transform("free", lambda c: F.struct((-trees.column([c["x"][i] for i in range(FEATURES)])).alias("score"), c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"), c["assigned"].alias("assigned")))
+    wanted = F.array_sort(F.filter("scored", lambda c: c["assigned"] | (-c["score"] >= F.element_at(limit, c["kind"] + 1))))
     span = lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"))
     none = F.array().cast("array<struct<kind:int,s:int,e:int>>")
     add = lambda acc, c: F.when(F.exists(acc, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])), acc).otherwise(F.concat(acc, F.array(span(c))))
