@@ -159,6 +159,7 @@ def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), new_path(spark, "ledger")
     scan(docs, folder)
     found = findings(docs, folder, ["doc_id"])
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
+    number = lambda k: F.size(F.filter("spans", lambda x: x["k"] == k)).cast("long")
+    counts = [number(k).alias(f"n_{kind}") for k, kind in enumerate(BASE)]
     base = F.filter("spans", lambda x: x["k"] < len(BASE))
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), "blob")

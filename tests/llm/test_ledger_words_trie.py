@@ -69,6 +69,14 @@ def test_secrets_query(spark):
         assert {f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in spans} <= set(r.spans.split(","))
 
 
+def test_secret_counts_by_kind(spark, tmp_path):
+    """Each kind is counted by itself, whatever stands before it."""
+    spark.createDataFrame(list(enumerate(SECRETS)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in secretscan.op11_secrets(spark, str(tmp_path)).collect():
+        spans = plain_base(SECRETS[r.doc_id])
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in spans) for i in range(3)] and r.base_sha256 == digest(spans)
+
+
 def test_ledger_scans_only_what_is_new(spark):
     """Old blobs and rules aren't scanned again; a new version of a rule is, alone; findings reach every path."""
     folder = new_path(spark, "test-ledger")
