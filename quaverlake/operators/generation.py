@@ -175,6 +175,16 @@ def section_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_scores(spark, sf_dir).select("piece_id", "tick", "place", *(F.round(k, 6).alias(k) for k in SECTION), "reward")
 
 
+def section_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces whose composite reaches the 75th percentile of their group (ids with the same last digit), of whose sections none is below 0.3,
+    and whose mean section reaches the 70th percentile of the group. Scores are rounded, so that the percentiles hold few values."""
+    per = section_scores(spark, sf_dir).groupBy("piece_id").agg(F.min("reward").alias("least"), F.round(F.avg("reward"), 6).alias("mean"))
+    x = scoring.composite_score(spark, sf_dir).join(per, "piece_id").withColumn("prompt", F.col("piece_id") % 10)
+    group = W.partitionBy("prompt")
+    x = x.withColumn("a", F.percentile("composite", F.lit(0.75)).over(group)).withColumn("b", F.percentile("mean", F.lit(0.70)).over(group))
+    return x.filter("composite >= a AND least >= 0.3 AND mean >= b").select("piece_id", "prompt", "composite", "least", "mean")
+
+
 def token_advantages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The advantage of each token's section among the sections of the same place of the pieces of its group (ids with the same last digit)."""
     s = section_scores(spark, sf_dir).select("piece_id", "tick", "until", "place", "reward", (F.col("piece_id") % 10).alias("prompt"))
@@ -194,7 +204,7 @@ def equal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return won.withColumn("source", F.lit("winner")).unionByName(real.withColumn("source", F.lit("real")))
 
 
-QUERIES = {f.__name__: f for f in (random_subjects, forced_starts, chained_chunks, section_rewards, token_advantages, equal_mix)}
+QUERIES = {f.__name__: f for f in (random_subjects, forced_starts, chained_chunks, section_rewards, section_winners, token_advantages, equal_mix)}
 
 
 def draw_sql(what: str, i: str = "0") -> str:
@@ -231,6 +241,8 @@ SELECT piece_id, chunk, cand, score, t, first, size FROM (SELECT q.piece_id, q.c
  row_number() OVER (PARTITION BY q.piece_id ORDER BY q.own + {SEAM} * len(list_filter(q.t[1:{OVERLAP}], lambda x: list_contains(r.t[-{OVERLAP}:], x))) DESC, q.cand) AS k FROM r JOIN q ON q.piece_id = r.piece_id AND q.chunk = r.chunk + 1) WHERE k = 1)
 SELECT piece_id, CAST(chunk AS INT) AS chunk, cand, CAST(score AS BIGINT) AS score, CAST(first AS BIGINT) AS first, CAST(size AS INT) AS size, md5(coalesce(array_to_string(CASE WHEN chunk = 0 THEN t ELSE t[{OVERLAP + 1}:] END, ' '), '')) AS tokens_md5 FROM r""",
     "section_rewards": f"WITH {SECTION_SQL} SELECT piece_id, tick, CAST(place AS INT) AS place, {', '.join(f'round({k}, 6) AS {k}' for k in SECTION)}, reward FROM rv",
+    "section_winners": f"""WITH cs AS ({scoring.SQL['composite_score']}), pe AS (WITH {SECTION_SQL} SELECT piece_id, min(reward) AS least, round(avg(reward), 6) AS mean FROM rv GROUP BY 1),
+xx AS (SELECT *, piece_id % 10 AS prompt, quantile_cont(composite, 0.75) OVER (PARTITION BY piece_id % 10) AS a, quantile_cont(mean, 0.70) OVER (PARTITION BY piece_id % 10) AS b FROM cs JOIN pe USING (piece_id)) SELECT piece_id, prompt, composite, least, mean FROM xx WHERE composite >= a AND least >= 0.3 AND mean >= b""",
     "token_advantages": f"""WITH RECURSIVE av AS (WITH {SECTION_SQL} SELECT piece_id, tick, until, place, round((reward - avg(reward) OVER w) / (stddev_pop(reward) OVER w + 1e-8), 4) AS advantage FROM rv WINDOW w AS (PARTITION BY piece_id % 10, place)),
 et AS (WITH RECURSIVE {NOTES_SQL}, {ENCODED_SQL} SELECT piece_id, tick, voice, note, kind FROM ev) SELECT et.piece_id, CAST(et.tick AS BIGINT) AS tick, voice, CAST(note AS BIGINT) AS note, kind, CAST(place AS INT) AS place, advantage FROM et JOIN av ON av.piece_id = et.piece_id AND et.tick >= av.tick AND et.tick < until""",
     "equal_mix": """WITH o AS (SELECT o_orderkey, o_orderpriority, o_totalprice >= quantile_cont(o_totalprice, 0.75) OVER (PARTITION BY o_orderpriority) AS won FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, won ORDER BY md5(CAST(o_orderkey AS VARCHAR))) AS r, count(*) FILTER (won) OVER (PARTITION BY o_orderpriority) AS k FROM o)

@@ -105,13 +105,20 @@ def onset_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def voice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adjacent voices and the outer pair of each piece, with the share of head notes that cross within half a beat."""
+    """Adjacent voices and the outer pair of each piece, with the share of head notes that cross within half a beat; voices that cross at more than
+    half of them are swapped, and a pair is valid if both voices reach over 16 quarters."""
     n = notes(spark, sf_dir)
     head = n.filter("note_idx < 20").select("piece_id", "voice", "start", "pitch")
     last = n.groupBy("piece_id").agg(F.max("voice").alias("last"))
     a, b = (head.select("piece_id", F.col("voice").alias(f"voice_{s}"), F.col("start").alias(f"start_{s}"), F.col("pitch").alias(f"pitch_{s}")) for s in "ab")
     met = a.join(b, "piece_id").join(last, "piece_id").filter("voice_b = voice_a + 1 or (voice_a = 0 and voice_b = last and last > 1)").filter("abs(start_a - start_b) < 240")
-    return met.groupBy("piece_id", "voice_a", "voice_b").agg(F.count(F.lit(1)).alias("near"), F.round(F.avg(F.when(F.col("pitch_a") < F.col("pitch_b"), 1.0).otherwise(0.0)), 9).alias("crossed"))
+    pairs = met.groupBy("piece_id", "voice_a", "voice_b").agg(F.count(F.lit(1)).alias("near"), F.round(F.avg(F.when(F.col("pitch_a") < F.col("pitch_b"), 1.0).otherwise(0.0)), 9).alias("crossed"))
+    span = n.groupBy("piece_id", "voice").agg((F.max(F.col("start") + F.col("dur")) - F.min("start")).alias("span"))
+    for s in "ab":
+        pairs = pairs.join(span.withColumnsRenamed({"voice": f"voice_{s}", "span": f"span_{s}"}), ["piece_id", f"voice_{s}"])
+    swap = F.col("crossed") > 0.5
+    upper, lower = F.when(swap, F.col("voice_b")).otherwise(F.col("voice_a")), F.when(swap, F.col("voice_a")).otherwise(F.col("voice_b"))
+    return pairs.select("piece_id", upper.alias("upper"), lower.alias("lower"), "near", "crossed", swap.alias("swapped"), (F.least("span_a", "span_b") >= 7680).alias("valid"))
 
 
 def voice_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,9 +172,11 @@ f AS (SELECT p.*, (SELECT CASE WHEN x.start + x.dur > p.tick THEN x.pitch END FR
 SELECT piece_id, tick, max(CASE WHEN voice = 0 THEN pitch END) AS upper, max(CASE WHEN voice = 1 THEN pitch END) AS lower FROM f GROUP BY 1, 2 HAVING max(pitch) IS NOT NULL""",
     "onset_multiplicity": f"""WITH {NOTES_SQL}, p AS (SELECT piece_id, start, count(DISTINCT voice) AS m FROM n GROUP BY 1, 2)
 SELECT piece_id, count(*) AS onsets, {", ".join(f"round(avg(CASE WHEN m = {k} THEN 1.0 ELSE 0.0 END), 9) AS share_{k}" for k in (1, 2, 3, 4))}, round(avg(CASE WHEN m >= 3 THEN 1.0 ELSE 0.0 END), 9) AS share_3or4 FROM p GROUP BY 1""",
-    "voice_pairs": f"""WITH {NOTES_SQL}, h AS (SELECT * FROM n WHERE note_idx < 20), l AS (SELECT piece_id, max(voice) AS last FROM n GROUP BY 1)
+    "voice_pairs": f"""WITH {NOTES_SQL}, h AS (SELECT * FROM n WHERE note_idx < 20), l AS (SELECT piece_id, max(voice) AS last FROM n GROUP BY 1), sp AS (SELECT piece_id, voice, max(start + dur) - min(start) AS span FROM n GROUP BY 1, 2), vp AS (
 SELECT a.piece_id, a.voice AS voice_a, b.voice AS voice_b, count(*) AS near, round(avg(CASE WHEN a.pitch < b.pitch THEN 1.0 ELSE 0.0 END), 9) AS crossed FROM h a JOIN h b ON a.piece_id = b.piece_id JOIN l ON l.piece_id = a.piece_id
-WHERE (b.voice = a.voice + 1 OR (a.voice = 0 AND b.voice = last AND last > 1)) AND abs(a.start - b.start) < 240 GROUP BY 1, 2, 3""",
+WHERE (b.voice = a.voice + 1 OR (a.voice = 0 AND b.voice = last AND last > 1)) AND abs(a.start - b.start) < 240 GROUP BY 1, 2, 3)
+SELECT vp.piece_id, CASE WHEN crossed > 0.5 THEN voice_b ELSE voice_a END AS upper, CASE WHEN crossed > 0.5 THEN voice_a ELSE voice_b END AS lower, near, crossed, crossed > 0.5 AS swapped, least(x.span, y.span) >= 7680 AS valid
+FROM vp JOIN sp x ON x.piece_id = vp.piece_id AND x.voice = voice_a JOIN sp y ON y.piece_id = vp.piece_id AND y.voice = voice_b""",
     "voice_groups": f"""WITH {NOTES_SQL}, p AS (SELECT piece_id, voice, count(*) AS c, row_number() OVER (PARTITION BY piece_id ORDER BY voice) - 1 AS r FROM n GROUP BY 1, 2)
 SELECT a.piece_id, CAST(a.r AS INT) AS group_idx, CAST(sum(b.c) AS BIGINT) AS n_notes FROM p a JOIN p b ON a.piece_id = b.piece_id AND b.r BETWEEN a.r AND a.r + 2 GROUP BY 1, 2 HAVING count(*) = 3""",
     "fuzzy_ngram_join": f"""WITH {NOTES_SQL}, {GRAMS_SQL}, g AS (SELECT * FROM iv WHERE i2 IS NOT NULL) SELECT a.piece_id, a.voice AS voice_a, b.voice AS voice_b, count(*) AS matches FROM g a JOIN g b ON a.piece_id = b.piece_id AND a.voice < b.voice

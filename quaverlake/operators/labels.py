@@ -102,7 +102,24 @@ def crosstab_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("texture").pivot("chromaticism", ["low", "moderate", "high"]).count().na.fill(0)
 
 
-QUERIES = {f.__name__: f for f in (texture_labels, imitation_labels, harmonic_rhythm_labels, tension_labels, chromaticism_labels, analysis_labels, crosstab_labels)}
+#: Crosstabs of labels: names of rows and columns, each with its values in order; fixed values.
+CROSSTABS = {
+    "imitation_x_texture": (("imitation", ["none", "low", "high"]), ("texture", ["homophonic", "mixed", "polyphonic"])),
+    "imitation_x_harmonic_rhythm": (("imitation", ["none", "low", "high"]), ("harmonic_rhythm", ["slow", "moderate", "fast"])),
+    "tension_x_chromaticism": (("tension", ["low", "moderate", "high"]), ("chromaticism", ["low", "moderate", "high"])),
+}
+
+
+def label_crosstabs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces by two labels, for three pairs of labels: every cell, in order, zero where nothing falls."""
+    kinds = sorted({name for pair in CROSSTABS.values() for name, _ in pair})
+    counts = analysis_labels(spark, sf_dir).groupBy(*kinds).agg(F.count(F.lit(1)).alias("c"))  # at most 243 rows
+    cells = [F.struct(F.lit(t).alias("crosstab"), F.lit(i * len(columns) + j).cast("int").alias("place"), F.lit(r).alias("row"), F.lit(k).alias("column"), ((F.col(row) == r) & (F.col(column) == k)).alias("hit")) for t, ((row, rows), (column, columns)) in CROSSTABS.items() for i, r in enumerate(rows) for j, k in enumerate(columns)]
+    each = counts.select("c", F.explode(F.array(*cells)).alias("x"))
+    return each.groupBy("x.crosstab", "x.place", "x.row", "x.column").agg(F.coalesce(F.sum(F.when(F.col("x.hit"), F.col("c"))), F.lit(0)).alias("pieces"))
+
+
+QUERIES = {f.__name__: f for f in (label_crosstabs, texture_labels, imitation_labels, harmonic_rhythm_labels, tension_labels, chromaticism_labels, analysis_labels, crosstab_labels)}
 
 TEXTURE_SQL = """tx AS (SELECT piece_id, sync_ratio, CASE WHEN sync_ratio > 0.60 THEN 'homophonic' WHEN sync_ratio < 0.54 THEN 'polyphonic' ELSE 'mixed' END AS texture FROM (
   SELECT piece_id, round(avg(c * 1.0 / voices), 9) AS sync_ratio FROM (SELECT piece_id, start // 240 AS slot, count(DISTINCT voice) AS c FROM n GROUP BY 1, 2) JOIN (SELECT piece_id, count(DISTINCT voice) AS voices FROM n GROUP BY 1) USING (piece_id) GROUP BY 1))"""
@@ -131,3 +148,6 @@ SQL = {
     "analysis_labels": f"WITH {NOTES_SQL}, {TEXTURE_SQL}, {IMITATION_SQL}, {RHYTHM_SQL}, {TENSION_SQL}, {CHROMATIC_SQL} SELECT piece_id, texture, imitation, harmonic_rhythm, tension, chromaticism FROM tx JOIN im USING (piece_id) JOIN hr USING (piece_id) JOIN tn USING (piece_id) JOIN cr USING (piece_id)",
     "crosstab_labels": f"""WITH {NOTES_SQL}, {TEXTURE_SQL}, {CHROMATIC_SQL} SELECT texture, {", ".join(f"count(*) FILTER (chromaticism = '{k}') AS {k}" for k in ("low", "moderate", "high"))} FROM tx JOIN cr USING (piece_id) GROUP BY 1""",
 }
+SQL["label_crosstabs"] = f"WITH lb AS ({SQL['analysis_labels']}) " + " UNION ALL ".join(
+    f"SELECT '{t}' AS crosstab, CAST({i * len(columns) + j} AS INT) AS place, '{r}' AS row, '{k}' AS \"column\", count(*) FILTER ({row} = '{r}' AND {column} = '{k}') AS pieces FROM lb" for t, ((row, rows), (column, columns)) in CROSSTABS.items() for i, r in enumerate(rows) for j, k in enumerate(columns)
+)

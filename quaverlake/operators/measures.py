@@ -56,16 +56,16 @@ def key_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last eight tokens at each place of a conversation."""
-    w = W.partitionBy("piece_id").orderBy("turn", "pos").rowsBetween(-7, 0)
+    """The last 32 tokens at each place of a conversation."""
+    w = W.partitionBy("piece_id").orderBy("turn", "pos").rowsBetween(-31, 0)
     return tokens(spark, sf_dir).select("piece_id", "turn", "pos", F.array_join(F.collect_list("token").over(w), " ").alias("ring"))
 
 
 def repeated_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places where the last two tokens equal the two before, by conversation."""
+    """Places where the last three tokens equal the three before, by conversation."""
     w = W.partitionBy("piece_id").orderBy("turn", "pos")
     t = tokens(spark, sf_dir)
-    same = (F.col("token") == F.lag("token", 2).over(w)) & (F.lag("token", 1).over(w) == F.lag("token", 3).over(w))
+    same = (F.col("token") == F.lag("token", 3).over(w)) & (F.lag("token", 1).over(w) == F.lag("token", 4).over(w)) & (F.lag("token", 2).over(w) == F.lag("token", 5).over(w))
     return t.withColumn("same", same).groupBy("piece_id").agg(F.count_if("same").alias("repeats"), F.count(F.lit(1)).alias("tokens"))
 
 
@@ -118,8 +118,8 @@ SQL = {
     "melody_phrases": f"WITH {NOTES_SQL}, v AS (SELECT *, min(start) OVER (PARTITION BY piece_id) AS first FROM n WHERE voice = 0) SELECT piece_id, start + dur AS end_tick, start + dur - coalesce(lag(start + dur) OVER (PARTITION BY piece_id ORDER BY start), first) AS length FROM v WHERE dur >= 720",
     "boundaries": f"WITH {NOTES_SQL}, b AS (SELECT *, lead(start) OVER (PARTITION BY piece_id ORDER BY start, note_idx) - start - dur AS gap FROM n2 WHERE voice = 3) SELECT piece_id, count(*) FILTER (dur >= 960 OR gap >= 480) AS points, count(*) FILTER (gap >= 480) AS rests FROM b WHERE gap IS NOT NULL GROUP BY 1",
     "key_frequencies": f"WITH {NOTES_SQL}, k AS (WITH {keys_sql('n', 'piece_id')}), c AS (SELECT key_root, key_mode, count(*) AS pieces FROM k GROUP BY 1, 2) SELECT *, round(100 * pieces / sum(pieces) OVER (), 6) AS percent FROM c",
-    "token_ring": f"WITH {TOKENS_SQL} SELECT piece_id, turn, pos, array_to_string(list(token) OVER (PARTITION BY piece_id ORDER BY turn, pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), ' ') AS ring FROM t",
-    "repeated_patterns": f"WITH {TOKENS_SQL}, q AS (SELECT piece_id, token = lag(token, 2) OVER w AND lag(token, 1) OVER w = lag(token, 3) OVER w AS same FROM t WINDOW w AS (PARTITION BY piece_id ORDER BY turn, pos)) SELECT piece_id, count(*) FILTER (same) AS repeats, count(*) AS tokens FROM q GROUP BY 1",
+    "token_ring": f"WITH {TOKENS_SQL} SELECT piece_id, turn, pos, array_to_string(list(token) OVER (PARTITION BY piece_id ORDER BY turn, pos ROWS BETWEEN 31 PRECEDING AND CURRENT ROW), ' ') AS ring FROM t",
+    "repeated_patterns": f"WITH {TOKENS_SQL}, q AS (SELECT piece_id, token = lag(token, 3) OVER w AND lag(token, 1) OVER w = lag(token, 4) OVER w AND lag(token, 2) OVER w = lag(token, 5) OVER w AS same FROM t WINDOW w AS (PARTITION BY piece_id ORDER BY turn, pos)) SELECT piece_id, count(*) FILTER (same) AS repeats, count(*) AS tokens FROM q GROUP BY 1",
     "shifted_pairs": "WITH s AS (SELECT conv_id, turn, string_split(lower(text), ' ') AS w FROM conversations), k AS (SELECT *, unnest(range((len(w) + 23) // 24)) AS i FROM s), c AS (SELECT conv_id, turn, CAST(i AS INT) AS crop, list_resize(w[i * 24 + 1:i * 24 + 24], 24, '<pad>') AS w FROM k) SELECT conv_id, turn, crop, array_to_string(w[1:23], ' ') AS inputs, array_to_string(w[2:24], ' ') AS labels FROM c",
     "token_subset": "SELECT conv_id, turn, len(w) AS n_tokens FROM (SELECT conv_id, turn, string_split(lower(text), ' ') AS w FROM conversations) WHERE len(w) >= 20 AND list_contains(w, 'the')",
     "conditioning_dropout": f"WITH {TOKENS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY piece_id, turn, token ORDER BY pos) AS k FROM t) SELECT piece_id, turn, count(*) AS kept, count(*) FILTER (token = 'the') AS marks FROM k WHERE token <> 'of' AND (token <> 'the' OR k = 1) GROUP BY 1, 2",

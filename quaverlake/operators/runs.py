@@ -63,6 +63,16 @@ def running_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "so_far", (recent <= before + 0.005).alias("plateau"))
 
 
+def iteration_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs by iteration (orders by month): how many, their mean, best and the mean of the best tenth (at or above the 90th percentile), and whether
+    the best mean of the last three iterations is no better than the best before by a half per cent."""
+    o = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("iteration"), "o_totalprice")
+    top = o.join(exact_percentile(o, "iteration", "o_totalprice", 0.9, 100.0), "iteration").filter("o_totalprice >= cut").groupBy("iteration").agg(F.round(F.avg("o_totalprice"), 4).alias("top_tenth"))
+    m = o.groupBy("iteration").agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("o_totalprice"), 4).alias("mean"), F.max("o_totalprice").alias("best")).join(top, "iteration")
+    w = W.partitionBy(F.lit(1)).orderBy("iteration")  # a row an iteration
+    return m.withColumn("plateau", F.max("mean").over(w.rowsBetween(-2, 0)) <= 1.005 * F.max("mean").over(w.rowsBetween(W.unboundedPreceding, -3)))
+
+
 def slug(text: Column) -> Column:
     """ASCII letters and digits of what stands before a comma, in lower case; `composer` if nothing is left."""
     head = F.regexp_replace(F.lower(F.substring_index(text, ",", 1)), "[^a-z0-9]+", "")
@@ -99,7 +109,7 @@ def prefix_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return head.select(F.explode(F.array(*(F.struct(F.lit(m).alias("mark"), F.array_contains("h", m).alias("has")) for m in ("the", "of", "and", "la")))).alias("m")).groupBy("m.mark").agg(F.round(F.avg(F.when(F.col("m.has"), 1.0).otherwise(0.0)), 9).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (scale_degrees, group_advantage, winner_filter, running_reward, page_names, voice_suffixes, prefix_health)}
+QUERIES = {f.__name__: f for f in (scale_degrees, group_advantage, winner_filter, running_reward, iteration_metrics, page_names, voice_suffixes, prefix_health)}
 
 STEPS_SQL = "CASE WHEN key_mode = 'major' THEN [0,2,4,5,7,9,11] ELSE [0,2,3,5,7,8,10] END"
 SQL = {
@@ -108,6 +118,7 @@ SELECT piece_id, pitch, CAST(floor((pitch - key_root) / 12.0) - 1 AS INT) AS oct
     "group_advantage": "SELECT o_orderkey, round((o_totalprice - avg(o_totalprice) OVER w) / (stddev_pop(o_totalprice) OVER w + 1e-8), 6) AS advantage FROM orders WINDOW w AS (PARTITION BY o_orderpriority)",
     "winner_filter": "SELECT o_orderpriority, count(*) AS winners FROM orders JOIN (SELECT o_orderpriority, quantile_cont(o_totalprice, 0.75) AS cut FROM orders GROUP BY 1) USING (o_orderpriority) WHERE o_totalprice >= cut GROUP BY 1",
     "running_reward": "SELECT event_id, round(sum(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS so_far, max(value) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) <= max(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 3 PRECEDING) + 0.005 AS plateau FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
+    "iteration_metrics": "WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') AS iteration, o_totalprice, quantile_cont(o_totalprice, 0.9) OVER (PARTITION BY strftime(o_orderdate, '%Y-%m')) AS cut FROM orders), m AS (SELECT iteration, count(*) AS runs, round(avg(o_totalprice), 4) AS mean, max(o_totalprice) AS best, round(avg(o_totalprice) FILTER (o_totalprice >= cut), 4) AS top_tenth FROM o GROUP BY 1) SELECT *, max(mean) OVER (ORDER BY iteration ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) <= 1.005 * max(mean) OVER (ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 3 PRECEDING) AS plateau FROM m",
     "page_names": "SELECT page_id, CASE WHEN regexp_replace(lower(split_part(url, ',', 1)), '[^a-z0-9]+', '', 'g') = '' THEN 'composer' ELSE regexp_replace(lower(split_part(url, ',', 1)), '[^a-z0-9]+', '', 'g') END AS slug, replace(replace(url, '/', '__'), ' ', '_') AS name, CASE WHEN contains(lower(url), 'news') THEN 'news' WHEN contains(lower(url), 'blog') THEN 'blog' ELSE 'other' END AS label FROM pages",
     "voice_suffixes": "SELECT source AS original, count(*) AS rows, count(DISTINCT doc_id % 4) AS groups FROM documents GROUP BY 1",
     "prefix_health": """WITH w AS (SELECT conv_id, turn, string_split(lower(text), ' ')[1:160] AS w FROM conversations), s AS (SELECT *, coalesce(nullif(list_position(list_transform(w, lambda x: ends_with(x, '.')), TRUE), 0), 161) AS st FROM w), m AS (SELECT unnest(['the', 'of', 'and', 'la']) AS mark)

@@ -166,8 +166,8 @@ def islands(n: DataFrame, step: int = 480, reach: int = 3840) -> DataFrame:
 
 
 def phrase_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of beats on which the two upper voices sound, with their bounds."""
-    g = islands(notes(spark, sf_dir, shifted=True).filter("voice < 1"))
+    """Runs of beats on which anything sounds, with their bounds."""
+    g = islands(notes(spark, sf_dir, shifted=True))
     w = W.partitionBy("piece_id").orderBy("tick")
     runs = g.withColumn("edge", F.when(F.col("active") == F.lag("active").over(w), 0).otherwise(1)).withColumn("run", F.sum("edge").over(w))
     return runs.filter("active = 1").groupBy("piece_id", "run").agg(F.min("tick").alias("begin_tick"), (F.max("tick") + 480).alias("end_tick")).select("piece_id", "begin_tick", "end_tick")
@@ -432,7 +432,7 @@ h AS (SELECT br.piece_id, tick, voices, count(v.pitch) AS sounding, count(*) FIL
 d AS (SELECT h.*, nullif(list_position({SCALE_SQL.replace("[0,2,4,5,7,9,11]", "list_transform([0,2,4,5,7,9,11], lambda q: (q + key_root) % 12)").replace("[0,2,3,5,7,8,11]", "list_transform([0,2,3,5,7,8,11], lambda q: (q + key_root) % 12)")}, bp % 12), 0) AS bd, nullif(list_position({SCALE_SQL}, (bv % 12 - key_root + 12) % 12), 0) AS pd, nullif(list_position({SCALE_SQL}, (sp % 12 - key_root + 12) % 12), 0) AS sd, bp - bv AS mv FROM h JOIN pc USING (piece_id) WHERE bp IS NOT NULL AND bv IS NOT NULL),
 e AS (SELECT *, (mv IN (5, -7) OR (abs(mv) <= 12 AND ((mv % 12) + 12) % 12 = 5)) AS dom, coalesce(pd IN (2, 4), FALSE) AS pre, settled + voices - sounding >= greatest(2, ceil(voices * 0.5)) AS conv, (bd0 >= 960 OR coalesce(sd0 >= 960, FALSE)) AS lng FROM d),
 f AS (SELECT piece_id, tick, CAST(tick // 1920 AS BIGINT) AS bar_index, CASE WHEN bd = 1 AND dom THEN CASE WHEN sd = 1 THEN 'CAD_PAC' WHEN sd IN (3, 5) THEN 'CAD_IAC' END WHEN bd = 5 AND (pre OR conv) THEN 'CAD_HC' WHEN bd = 6 AND dom THEN 'CAD_DC' END AS label, CAST(CASE WHEN bd = 5 THEN CAST(pre AS INT) ELSE 1 END + CAST(conv AS INT) + CAST(lng AS INT) AS DOUBLE) AS confidence FROM e) SELECT * FROM f WHERE label IS NOT NULL AND confidence >= 2""",
-    "phrase_islands": f"""WITH {NOTES_SQL}, u AS (SELECT * FROM n2 WHERE voice < 1), gd AS (SELECT piece_id, unnest(range(CAST(min(start) AS BIGINT), CAST(max(start + dur) AS BIGINT), 480)) AS tick FROM u GROUP BY 1), ac AS (SELECT gd.piece_id, gd.tick, EXISTS (SELECT 1 FROM u WHERE u.piece_id = gd.piece_id AND start <= tick AND tick < start + least(dur, 3840)) AS active FROM gd),
+    "phrase_islands": f"""WITH {NOTES_SQL}, u AS (SELECT * FROM n2), gd AS (SELECT piece_id, unnest(range(CAST(min(start) AS BIGINT), CAST(max(start + dur) AS BIGINT), 480)) AS tick FROM u GROUP BY 1), ac AS (SELECT gd.piece_id, gd.tick, EXISTS (SELECT 1 FROM u WHERE u.piece_id = gd.piece_id AND start <= tick AND tick < start + least(dur, 3840)) AS active FROM gd),
 e AS (SELECT *, CASE WHEN active = lag(active) OVER (PARTITION BY piece_id ORDER BY tick) THEN 0 ELSE 1 END AS edge FROM ac), r AS (SELECT *, sum(edge) OVER (PARTITION BY piece_id ORDER BY tick) AS run FROM e) SELECT piece_id, min(tick) AS begin_tick, max(tick) + 480 AS end_tick FROM r WHERE active GROUP BY piece_id, run""",
     "voice_leading_score": f"WITH {NOTES_SQL}, {leading_sql('n2')} SELECT * FROM ld",
     "statistical_score": f"WITH {NOTES_SQL}, {STATISTICAL_SQL} SELECT * FROM sa",
