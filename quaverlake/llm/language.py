@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from quaverlake.llm.common import as_text, bounded_sample, crc_fold, schema_of, struct_of, table
+from quaverlake.llm.common import as_text, bounded_sample, crc_fold, cut, schema_of, struct_of, table
 
 #: Labelled documents that n-grams are counted on, about (twice that at most).
 SAMPLE = 6_000
@@ -185,7 +185,7 @@ def identify(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     out = StructType([StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(kept)] + [StructField(f"n{i}", f.dataType) for i, f in enumerate(struct_of(made).fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches):
             rows, waiting, held = [], [], 0
             for text in map(as_text, batch.column(batch.num_columns - 1).to_pylist()):
                 words = words_of(text) if model.languages else (np.zeros(0, np.int64),) * 4

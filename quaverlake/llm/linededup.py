@@ -2,10 +2,10 @@
 
 A passage counts as repeated when a run of whole lines with at least PASSAGE words occurs earlier: in an earlier document by
 doc_id, or earlier in the same one. A window is the shortest run of lines from a line on, or up to a line, with that many
-words; of each window the least line hash is selected (the last one among equals). Neighbouring windows mostly select the same line,
-so there are far fewer fingerprints than lines, and two equal runs always have a fingerprint in common, at the same line.
+words; of each window the least line hash is selected (the last one among equals). Neighbouring windows often select the same line,
+so there are fewer fingerprints than lines (two thirds where most lines have tens of words), and two equal runs always have a fingerprint in common, at the same line.
 Fingerprints are joined first: one that occurs once in the corpus can't lie in a repeated run and goes. Around those that
-repeat, matches are verified and extended both ways by the windows that selected them, which have digests: the windows that
+repeat, matches are verified and extended both ways by the windows that selected them, which have digests, not line by line: the windows that
 agree with an earlier place reach as far as the repeated run, and no farther. Only the first place of each is looked up, never
 all pairs, and the lines of matching windows go from all places but the first.
 

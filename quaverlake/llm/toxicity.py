@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaverlake.llm.common import as_text, bounded_sample, crc_fold, schema_of, table, with_text_columns
+from quaverlake.llm.common import as_text, bounded_sample, crc_fold, cut, schema_of, table, with_text_columns
 
 #: Labelled documents that words and the prior are learned on, and documents whose votes are modelled; twice that at most.
 SAMPLE, UNLABELLED = 10_000, 10_000
+#: The lexicon's size is bounded: what stands in fewer toxic documents than SUPPORT, or is less likely in them than LIFT asks, or comes after the
+#: MINED best, has no voter of its own; texts are scored whole by the voters that there are.
 #: Mined entries at most, the toxic documents one must stand in, and by how much (natural log) it must be likelier in toxic ones.
 MINED, SUPPORT, LIFT = 60, 8, 2.5
 #: Entries that may be counted: those of the most toxic documents.
@@ -76,7 +78,7 @@ def mine(labelled: DataFrame) -> list[str]:
 
     def counter(wanted: set[str] | None):
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in cut(batches):
                 sums = {True: Counter(), False: Counter()}
                 for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     own = entries(set(WORD.findall(as_text(text).lower())))
