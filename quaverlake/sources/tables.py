@@ -41,3 +41,31 @@ def write_runs(parts: list[DataFrame], path: str) -> None:
     """Run tables of different columns as one CSV table whose header is the union of theirs, in first-seen order."""
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     whole.write.mode("errorifexists").option("header", True).csv(path)
+
+
+def read_form_weights(spark: SparkSession, path: str | None) -> DataFrame:
+    """form, dimension, weight of a JSON file whose `weights_by_form` holds weights by form and dimension; no rows without a file."""
+    none = spark.createDataFrame([], "form string, dimension string, weight double")
+    if path is None:
+        return none
+    text = spark.read.option("wholetext", True).text(path)
+    known = text.select(F.from_json("value", "weights_by_form map<string, map<string, double>>").alias("j"))
+    return known.select(F.explode("j.weights_by_form").alias("form", "w")).select("form", F.explode("w").alias("dimension", "weight")).filter("weight IS NOT NULL")
+
+
+def weights_for(weights: DataFrame, defaults: dict[str, float], form: str) -> dict[str, float]:
+    """The weights of a form, or the defaults where the table has none for it."""
+    return {r.dimension: r.weight for r in weights.filter(F.col("form") == form).collect()} or defaults
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """Rows as CSV under the names of their columns."""
+    df.write.mode("errorifexists").option("header", True).csv(path)
+
+
+def collect_files(spark: SparkSession, patterns: list[str], explicit: list[str] = (), suffixes: tuple[str, ...] = ("mid", "midi")) -> DataFrame:
+    """The paths that patterns match and those that are named, each once, of the suffixes (in either case), in order."""
+    found = [spark.read.format("binaryFile").load(p).select("path") for p in patterns] + ([spark.createDataFrame([(p,) for p in explicit], "path string")] if explicit else [])
+    every = reduce(DataFrame.union, found) if found else spark.createDataFrame([], "path string")
+    plain = every.select(F.regexp_replace("path", "^file:/*", "/").alias("path"))
+    return plain.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*suffixes)).distinct().orderBy("path")

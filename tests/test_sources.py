@@ -73,3 +73,18 @@ def test_tables(spark, tmp_path):
     assert [r.c is not None for r in texts.select(tables.parse_calibration("t").alias("c")).collect()] == [True, False, False]
     tables.write_runs([spark.range(1).select(F.lit(1).alias("a")), spark.range(1).select(F.lit(2).alias("b"))], str(tmp_path / "r"))
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).columns == ["a", "b"]
+
+
+def test_weights_reports_and_file_lists(spark, tmp_path):
+    (tmp_path / "w.json").write_text('{"other": 1,\n "weights_by_form": {"fugue": {"structural": 0.3, "recall": null}, "chorale": {}}}')
+    w = tables.read_form_weights(spark, str(tmp_path / "w.json"))
+    assert [tuple(r) for r in w.collect()] == [("fugue", "structural", 0.3)]
+    assert tables.weights_for(w, {"x": 1.0}, "fugue") == {"structural": 0.3} and tables.weights_for(w, {"x": 1.0}, "motet") == {"x": 1.0}
+    assert tables.read_form_weights(spark, None).count() == 0
+    tables.write_report(spark.range(2).withColumn("name", F.lit("a,b")), str(tmp_path / "report"))
+    assert [r.name for r in spark.read.option("header", True).csv(str(tmp_path / "report")).collect()] == ["a,b"] * 2
+    for name in ("a.mid", "b.MIDI", "c.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    got = tables.collect_files(spark, [f"{tmp_path}/*.*"], [f"{tmp_path}/a.mid", "/elsewhere/z.mid"])
+    assert [r.path for r in got.collect()] == sorted([f"{tmp_path}/a.mid", f"{tmp_path}/b.MIDI", "/elsewhere/z.mid"])
+    assert tables.collect_files(spark, []).count() == 0
