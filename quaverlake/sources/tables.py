@@ -48,7 +48,7 @@ def read_form_weights(spark: SparkSession, path: str | None) -> DataFrame:
     none = spark.createDataFrame([], "form string, dimension string, weight double")
     if path is None:
         return none
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     known = text.select(F.from_json("value", "weights_by_form map<string, map<string, double>>").alias("j"))
     return known.select(F.explode("j.weights_by_form").alias("form", "w")).select("form", F.explode("w").alias("dimension", "weight")).filter("weight IS NOT NULL")
 
