@@ -318,4 +318,4 @@ def test_pipeline_stages(spark):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in registry.QUERIES if k.startswith("op")} and "pipeline" in registry.QUERIES
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in registry.QUERIES if k.startswith("op")} and "pipeline" in registry.QUERIES
