@@ -74,3 +74,11 @@ def test_fuzzy_counts_equal_pairs_and_make_no_pairs(spark):
     # 20,000 equal grams in each of two voices: 400 million pairs, which are only counted
     hot = spark.range(40_000).select(F.lit(1).cast("long").alias("piece_id"), (F.col("id") % 2).cast("int").alias("voice"), F.col("id").cast("int").alias("note_idx"), (F.col("id") * 960).alias("start"), F.lit(60).alias("pitch"))
     assert [r.matches for r in joins.fuzzy_counts(hot, k=2).collect()] == [19_998**2]
+
+
+def test_fuzzy_counts_shuffle_coded_grams_only(spark):
+    n = spark.createDataFrame([(1, v, i, 480 * i, 60 + i % 3) for v in range(2) for i in range(9)], "piece_id bigint, voice int, note_idx int, start bigint, pitch int")
+    plan = joins.fuzzy_counts(n)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert shuffled and not any("gram#" in line for line in shuffled)  # near grams, 13 a note, stay in their task
