@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,33 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from quaverlake.plans.written import materialize, new_path, shared_dir  # noqa: F401 (for the operators)
+
 #: Bytes of output that one Arrow batch may hold before it is handed to Spark.
 BATCH_BYTES = 8 << 20
-#: Folder for written tables of a local session that names none (tests, notebooks).
-LOCAL_DIR = "/tmp/checkpoints"
 #: Rows of a written table for which one task suffices where it is read again.
 TASK_ROWS = 50_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (found or LOCAL_DIR).rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quaverlake/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: the lineage ends there."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Scratch:
     """Tables that an operator writes on its way; they are deleted together once what follows doesn't read them."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quaverlake.functions.pitch import pitch_class, scale
 from quaverlake.operators.joins import GRAMS_SQL, beats, fuzzy_counts, stab
 from quaverlake.plans.views import NOTES_SQL, key_mode, key_root, notes
+from quaverlake.plans.written import materialize
 
 
 def band(value: Column, high: float, mid: float, names: tuple[str, str, str], default: str | None = None) -> Column:
@@ -88,10 +89,11 @@ def chromaticism_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analysis_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = notes(spark, sf_dir)
-    out = texture(n)
+    """The notes and the labels of each kind are written on the way, so that the driver plans one kind at a time."""
+    n = materialize(notes(spark, sf_dir), "notes")
+    out = materialize(texture(n), "texture")
     for part in (imitation, harmonic_rhythm, tension, chromaticism):
-        out = out.join(part(n), "piece_id")
+        out = out.join(materialize(part(n), part.__name__), "piece_id")
     return out.select("piece_id", "texture", "imitation", "harmonic_rhythm", "tension", "chromaticism")
 
 
