@@ -28,14 +28,16 @@ def one(c: Column) -> Column:
 
 
 def leading(n: DataFrame) -> DataFrame:
-    """piece_id, voice_leading: penalties of each voice pair per aligned transition, averaged over the pairs."""
+    """piece_id, voice_leading: penalties of each voice pair per aligned transition, averaged over the pairs.
+
+    Onsets and notes are shuffled once, by piece; pairs are made and followed in the tasks of their piece, without a join.
+    """
     onsets = n.select("piece_id", F.col("start").alias("tick")).distinct()
     voices = n.select("piece_id", "voice").distinct()
-    at = as_of(onsets.join(voices, "piece_id"), n, ["piece_id", "voice"])
-    starts = n.select("piece_id", F.col("start").alias("tick"), "voice", F.lit(True).alias("hit")).distinct()
-    at = at.join(starts, ["piece_id", "tick", "voice"], "left")
-    a, b = (at.select("piece_id", "tick", F.col("voice").alias(f"v{s}"), F.col("pitch").alias(s), F.col("hit").alias(f"hit_{s}")) for s in "ul")
-    pairs = a.join(b, ["piece_id", "tick"]).filter("vu < vl and (hit_u or hit_l) and (u is not null or l is not null)")
+    at = as_of(onsets.join(voices, "piece_id"), n, ["piece_id", "voice"], within="piece_id")
+    upper = F.collect_list(F.struct("voice", "pitch", "hit")).over(W.partitionBy("piece_id", "tick").orderBy("voice").rowsBetween(W.unboundedPreceding, -1))
+    pairs = at.withColumn("x", upper).select("piece_id", "tick", F.explode("x").alias("x"), F.col("voice").alias("vl"), F.col("pitch").alias("l"), F.col("hit").alias("hit_l"))
+    pairs = pairs.select("piece_id", "tick", F.col("x.voice").alias("vu"), "vl", F.col("x.pitch").alias("u"), "l", F.col("x.hit").alias("hit_u"), "hit_l").filter("(hit_u or hit_l) and (u is not null or l is not null)")
     w = W.partitionBy("piece_id", "vu", "vl").orderBy("tick")
     t = pairs.withColumn("pu", F.lag("u").over(w)).withColumn("pl", F.lag("l").over(w))
     u, l, pu, pl = map(F.col, ("u", "l", "pu", "pl"))
