@@ -82,3 +82,22 @@ def test_fuzzy_counts_shuffle_coded_grams_only(spark):
     assert "Join" not in plan and "Broadcast" not in plan
     shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
     assert shuffled and not any("gram#" in line for line in shuffled)  # near grams, 13 a note, stay in their task
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_labels_are_planned_one_kind_at_a_time(spark):
+    from quaverlake.operators import labels
+
+    for query in (labels.analysis_labels, labels.label_crosstabs):
+        assert "Window" not in (plan := plan_of(query(spark, "/root/testdata/sf0.001"))) and "events.parquet" not in plan
+
+
+def test_voice_leading_joins_no_ticks(spark):
+    from quaverlake.operators import scoring
+    from quaverlake.plans.views import notes
+
+    plan = plan_of(scoring.leading(notes(spark, "/root/testdata/sf0.001")))
+    assert not any("Join" in line and "tick#" in line for line in plan.splitlines())
