@@ -100,7 +100,7 @@ def degenerate_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     PAD and BOS are barred, and VOICE_SEP while the turn has fewer than four words. With fewer than four tokens nothing changes.
     """
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("ctx_id"), "turn", F.transform(F.split(F.lower("text"), " "), lambda w: 4 + F.length(w) % 3).alias("w"))
-    t = c.select("ctx_id", "turn", F.posexplode(F.concat(F.array(F.lit(3)), "w")).alias("pos", "tok"))
+    t = c.select("ctx_id", "turn", F.posexplode(F.concat(F.array(F.lit(3)), F.coalesce("w", F.array().cast("array<int>")))).alias("pos", "tok"))
     recent = t.withColumn("back", F.row_number().over(W.partitionBy("ctx_id").orderBy(F.desc("turn"), F.desc("pos")))).filter("back <= 6")
     ring = recent.groupBy("ctx_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("b"), "tok"))), lambda x: x["tok"]).alias("ring"), F.max(F.struct("turn", "pos"))["pos"].alias("in_turn"))
     last = F.slice("ring", -3, 3)
