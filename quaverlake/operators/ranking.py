@@ -220,7 +220,7 @@ def category_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ctx_id and toks: the token kinds of the conversation of that id in order; 0 to 3 are voices, 4 is a temporal token."""
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("ctx_id"), "turn", F.transform(F.split(F.lower("text"), " "), lambda w: F.length(w) % 8).alias("w"))
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("ctx_id"), "turn", F.coalesce(F.transform(F.split(F.lower("text"), " "), lambda w: F.length(w) % 8), F.array().cast("array<int>")).alias("w"))  # a null text has no tokens
     return c.groupBy("ctx_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", "w"))), lambda x: x["w"])).alias("toks"))
 
 

@@ -101,3 +101,14 @@ def test_voice_leading_joins_no_ticks(spark):
 
     plan = plan_of(scoring.leading(notes(spark, "/root/testdata/sf0.001")))
     assert not any("Join" in line and "tick#" in line for line in plan.splitlines())
+
+
+def test_null_texts_hide_no_other_turns(spark, tmp_path):
+    from quaverlake.operators import ranking, sampling
+
+    spark.createDataFrame([(0, 0, "aaaaaaaa b"), (0, 1, None)], "conv_id bigint, turn bigint, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(0, [0.0] * 8)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.token_id: r.logit for r in ranking.voice_floor(spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys(range(8), 0.0)  # voices 0 and 1 have notes
+    got = {r.token_id: r.logit for r in sampling.degenerate_penalties(spark, str(tmp_path)).collect()}
+    assert got[3] == float("-inf")  # the turn without a text is open, and has no words
