@@ -84,6 +84,14 @@ def test_fuzzy_counts_shuffle_coded_grams_only(spark):
     assert shuffled and not any("gram#" in line for line in shuffled)  # near grams, 13 a note, stay in their task
 
 
+def test_repeated_grams_are_counted_before_their_near_grams_are_made(spark):
+    n = spark.createDataFrame([(1, v, i, 480 * i, 60) for v in range(2) for i in range(1000)], "piece_id bigint, voice int, note_idx int, start bigint, pitch int")
+    near = joins.near_grams(joins.coded_grams(n, 6), 6)
+    assert near.count() == 2 * 13 and {r.own for r in near.filter("own > 0").collect()} == {994}  # not 13 for each of 1,988 grams
+    windows = [line for line in plan_of(joins.fuzzy_counts(n)).splitlines() if "Window [" in line and "RangeFrame" in line]
+    assert windows and not any("gram#" in line for line in windows)  # near grams are not sorted by tick
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
