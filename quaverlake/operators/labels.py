@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,7 +40,7 @@ def harmonic_rhythm(n: DataFrame, measure: int = 1920) -> DataFrame:
     """Changes of the sounding pitch-class set from beat to beat, per measure. A silent beat counts when sound returns."""
     grid = beats(n)
     masks = stab(grid, n.select("piece_id", "start", "dur", "pitch"), ["piece_id"]).groupBy("piece_id", "tick").agg(F.bit_or(F.expr("shiftleft(1, cast(pitch % 12 as int))")).alias("mask"))
-    full = grid.join(masks, ["piece_id", "tick"], "left").fillna({"mask": 0})
+    full = grid.join(masks.hint("merge"), ["piece_id", "tick"], "left").fillna({"mask": 0})
     w = W.partitionBy("piece_id").orderBy("tick")
     changed = full.withColumn("before", F.lag("mask").over(w)).withColumn("change", F.when(F.col("before").isNotNull() & (F.col("mask") != 0) & (F.col("mask") != F.col("before")), 1).otherwise(0))
     ends = n.groupBy("piece_id").agg(F.greatest(F.lit(1), F.ceil(F.max(F.col("start") + F.col("dur")) / measure)).alias("measures"))
@@ -54,7 +56,7 @@ def tension(n: DataFrame) -> DataFrame:
     sounding = stab(onsets.select("piece_id", "tick").distinct(), n.select("piece_id", "voice", "start", "dur", "pitch"), ["piece_id"]).select("piece_id", "tick", "voice", "pitch")
     attacks = onsets.groupBy("piece_id", "tick").agg(F.collect_set("at").alias("attacking"))
     a, b = (sounding.select("piece_id", "tick", F.col("voice").alias(f"v{s}"), F.col("pitch").alias(f"p{s}")) for s in "ab")
-    pairs = a.join(b, ["piece_id", "tick"]).filter("va < vb").join(attacks, ["piece_id", "tick"]).filter("array_contains(attacking, va) or array_contains(attacking, vb)")
+    pairs = a.join(b.hint("merge"), ["piece_id", "tick"]).filter("va < vb").join(attacks.hint("merge"), ["piece_id", "tick"]).filter("array_contains(attacking, va) or array_contains(attacking, vb)")
     rough = (F.abs(F.col("pa") - F.col("pb")) % 12).isin(1, 2, 6, 10, 11)
     ratio = pairs.groupBy("piece_id").agg(F.round(F.avg(F.when(rough, 1.0).otherwise(0.0)), 9).alias("tension_ratio"))
     full = n.select("piece_id").distinct().join(ratio, "piece_id", "left")
@@ -91,10 +93,15 @@ def chromaticism_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def analysis_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The notes and the labels of each kind are written on the way, so that the driver plans one kind at a time."""
     n = materialize(notes(spark, sf_dir), "notes")
-    out = materialize(texture(n), "texture")
-    for part in (imitation, harmonic_rhythm, tension, chromaticism):
-        out = out.join(materialize(part(n), part.__name__), "piece_id")
-    return out.select("piece_id", "texture", "imitation", "harmonic_rhythm", "tension", "chromaticism")
+    return together([(part.__name__, materialize(part(n), part.__name__)) for part in (texture, imitation, harmonic_rhythm, tension, chromaticism)])
+
+
+def together(parts: list[tuple[str, DataFrame]]) -> DataFrame:
+    """piece_id and a column for each part, of the pieces that all parts have, once each: a union and one aggregation, so that the driver holds no table to broadcast."""
+    names = [name for name, _ in parts]
+    rows = [df.select("piece_id", *(F.col(name) if name == k else F.lit(None).cast("string").alias(k) for k in names)) for name, df in parts]
+    both = reduce(DataFrame.unionByName, rows).filter("piece_id is not null")
+    return both.groupBy("piece_id").agg(*(F.max(k).alias(k) for k in names)).filter(" and ".join(f"{k} is not null" for k in names))
 
 
 def crosstab_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +122,7 @@ CROSSTABS = {
 def label_crosstabs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces by two labels, for three pairs of labels: every cell, in order, zero where nothing falls."""
     kinds = sorted({name for pair in CROSSTABS.values() for name, _ in pair})
-    counts = analysis_labels(spark, sf_dir).groupBy(*kinds).agg(F.count(F.lit(1)).alias("c"))  # at most 243 rows
+    counts = materialize(analysis_labels(spark, sf_dir), "labels").groupBy(*kinds).agg(F.count(F.lit(1)).alias("c"))  # at most 243 rows
     cells = [F.struct(F.lit(t).alias("crosstab"), F.lit(i * len(columns) + j).cast("int").alias("place"), F.lit(r).alias("row"), F.lit(k).alias("column"), ((F.col(row) == r) & (F.col(column) == k)).alias("hit")) for t, ((row, rows), (column, columns)) in CROSSTABS.items() for i, r in enumerate(rows) for j, k in enumerate(columns)]
     each = counts.select("c", F.explode(F.array(*cells)).alias("x"))
     return each.groupBy("x.crosstab", "x.place", "x.row", "x.column").agg(F.coalesce(F.sum(F.when(F.col("x.hit"), F.col("c"))), F.lit(0)).alias("pieces"))

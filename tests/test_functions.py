@@ -103,6 +103,18 @@ def test_labels_are_planned_one_kind_at_a_time(spark):
         assert "Window" not in (plan := plan_of(query(spark, "/root/testdata/sf0.001"))) and "events.parquet" not in plan
 
 
+def test_labels_broadcast_no_notes(spark):
+    """The driver builds no table of notes, ticks or attacks; small files would be broadcast otherwise. The labels are put together without a join."""
+    from quaverlake.operators import labels
+
+    n = labels.materialize(labels.notes(spark, "/root/testdata/sf0.001"), "notes")
+    for part in (labels.tension, labels.harmonic_rhythm):
+        plan = plan_of(part(n))
+        built = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+        assert "SortMergeJoin" in plan and not any("tick#" in line for line in built)
+    assert "Join" not in plan_of(labels.analysis_labels(spark, "/root/testdata/sf0.001"))
+
+
 def test_voice_leading_joins_no_ticks(spark):
     from quaverlake.operators import scoring
     from quaverlake.plans.views import notes
