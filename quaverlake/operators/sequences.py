@@ -7,9 +7,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaverlake.functions.pitch import in_range_score
-from quaverlake.plans.views import TOKENS_SQL, table, tokens
+from quaverlake.plans.views import TOKENS_SQL, split_turns, table, tokens
 
 CHUNK, STRIDE, PREFIX = 16, 12, 2
+#: Characters of text whose tokens one task sorts and counts.
+TASK_CHARS = 8 << 20
+
+
+def tokens_by_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of all turns, which are shuffled whole, by piece, before they are split.
+
+    There are as many tasks as the text needs, so that a task's memory doesn't grow with the input: a token takes ten times
+    as much there as in a shuffled turn, by whose bytes tasks would be put together otherwise.
+    """
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    chars = turns.agg(F.sum(F.length("text"))).first()[0] or 0
+    return split_turns(turns.repartition(max(spark.sparkContext.defaultParallelism, -(-chars // TASK_CHARS)), "conv_id"))
 
 
 def unigrams(t: DataFrame) -> DataFrame:
@@ -22,14 +35,18 @@ def bigrams(t: DataFrame) -> DataFrame:
 
 
 def token_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = unigrams(tokens(spark, sf_dir))
+    return entropy(tokens_by_piece(spark, sf_dir))
+
+
+def entropy(t: DataFrame) -> DataFrame:
+    u = unigrams(t)
     p = F.col("c") / F.sum("c").over(W.partitionBy("piece_id"))
     return u.withColumn("p", p).groupBy("piece_id").agg(F.round(-F.sum(F.col("p") * F.log2("p")), 6).alias("entropy"))
 
 
 def bigram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """exp of minus the mean, over distinct bigrams, of ln(count of the bigram / bigrams that begin with its first token)."""
-    return perplexity(tokens(spark, sf_dir))
+    return perplexity(tokens_by_piece(spark, sf_dir))
 
 
 def perplexity(t: DataFrame) -> DataFrame:
@@ -39,7 +56,7 @@ def perplexity(t: DataFrame) -> DataFrame:
 
 def token_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of distinct tokens and bigrams and of repeats, and the weighted sum of a piecewise linear score of each."""
-    return diversity(tokens(spark, sf_dir))
+    return diversity(tokens_by_piece(spark, sf_dir))
 
 
 def diversity(t: DataFrame) -> DataFrame:
