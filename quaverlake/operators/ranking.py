@@ -12,7 +12,7 @@ from quaverlake.operators import scoring as S
 from quaverlake.operators import sequences as Q
 from quaverlake.operators.joins import stab
 from quaverlake.operators.runs import parse_key
-from quaverlake.plans.views import LOGITS_SQL, NOTES_SQL, TOKENS_SQL, logits, notes, table, tokens
+from quaverlake.plans.views import LOGITS_SQL, NOTES_SQL, TOKENS_SQL, logits, notes, table
 
 # Thresholds and steps of the form profiles, keywords, directories and names that results must agree with.
 KEYWORDS = [("chorale", "chorale"), ("invention", "invention"), ("sinfonia", "sinfonia"), ("trio sonata", "trio_sonata"), ("sonata", "sonata"), ("fugue", "fugue"), ("quartet", "quartet"), ("motet", "motet"), ("wtc1f", "fugue"), ("wtc2f", "fugue"), ("inven", "invention")]
@@ -78,8 +78,8 @@ def accompaniment_like(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def information_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """0.35 perplexity in 5 to 25, 0.30 entropy in 2 to 5, 0.35 diversity, for each conversation."""
-    t = tokens(spark, sf_dir)
-    p = Q.perplexity(t).join(Q.token_entropy(spark, sf_dir), "piece_id").join(Q.diversity(t).select("piece_id", "diversity"), "piece_id")
+    t = Q.tokens_by_piece(spark, sf_dir)
+    p = Q.perplexity(t).join(Q.entropy(t), "piece_id").join(Q.diversity(t).select("piece_id", "diversity"), "piece_id")
     score = 0.35 * in_range_score(F.col("perplexity"), 5.0, 25.0) + 0.30 * in_range_score(F.col("entropy"), 2.0, 5.0) + 0.35 * F.col("diversity")
     return p.select("piece_id", F.round(score, 5).alias("information"))
 

@@ -132,3 +132,12 @@ def test_null_texts_hide_no_other_turns(spark, tmp_path):
     assert got == dict.fromkeys(range(8), 0.0)  # voices 0 and 1 have notes
     got = {r.token_id: r.logit for r in sampling.degenerate_penalties(spark, str(tmp_path)).collect()}
     assert got[3] == float("-inf")  # the turn without a text is open, and has no words
+
+
+def test_tokens_are_shuffled_as_whole_turns(spark):
+    """Tasks are dealt by the text they hold, and tokens, ten times as large, are never shuffled."""
+    from quaverlake.operators import ranking, sequences
+
+    for query in (sequences.bigram_perplexity, sequences.token_diversity, ranking.information_score):
+        plan = plan_of(query(spark, "/root/testdata/sf0.001"))
+        assert "REPARTITION_BY_NUM" in plan and not any("token#" in line for line in plan.splitlines() if "Exchange hashpartitioning(" in line)
