@@ -1,9 +1,9 @@
 """Operator 2: quality rules. Boosted trees over document statistics, behind two fixed base rules.
 
-Statistics are taken of the whole text; words are runs of characters other than ASCII white space. The trees are fitted on a
-bounded sample of labelled documents (SAMPLE rows) with directions fixed for some statistics, kept as flat numpy node arrays
-and scored a batch at a time. Of the labelled sample a quarter is held out; the threshold is the one that keeps all but
-MISSED of its good documents, so that clean documents stay.
+Statistics are taken of the whole text; words are runs of characters other than ASCII white space. The trees are fitted on all
+labelled documents (by Spark's sums of gradients, see `boosting`) with directions fixed for some statistics, kept as flat numpy
+node arrays and scored a batch at a time. A quarter of the labelled documents, by a hash of their ids, is held out; the threshold
+is the margin (rounded down to 2**-MARGIN_SCALE) that keeps all but MISSED of its good documents, so that clean documents stay.
 
 Null and empty texts have no words and fail the base rule. Without labels (or with one kind only) the trees reject nothing.
 Repeated rows get equal verdicts.
@@ -16,10 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaverlake.llm import boosting
-from quaverlake.llm.common import as_text, bounded_sample, mix, table, with_text_columns, word_hashes
+from quaverlake.llm.common import Scratch, as_text, mix, table, with_text_columns, word_hashes
 
-#: Labelled documents that the trees are fitted on, about (twice that at most).
-SAMPLE = 12_000
 #: Share of held-out good documents that the threshold may reject.
 MISSED = 0.0005
 SPACE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
@@ -59,19 +57,21 @@ def features(rows: np.ndarray) -> np.ndarray:
     return np.stack([np.log1p(words), chars / per_word, symbols / per_word, dups / per_line, repeats / per_word, upper / per_char, digits / per_char, marks / per_word, distinct / per_word, words / per_line], axis=1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[boosting.Trees, float]:
-    """Trees and threshold from a bounded sample of labelled rows; its doc_ids are broadcast, as their number is bounded."""
-    known = bounded_sample(labels.filter("doc_id is not null and quality is not null").select("doc_id", "quality"), rows, "doc_id")
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    found = with_text_columns(sample, statistics, STATISTICS, carry=["quality"]).limit(4 * rows).collect()
-    if not found:
-        return boosting.flat([], [], 20.0), 0.0
-    data = np.array(sorted(tuple(r) for r in found), np.int64)
-    y, x = (data[:, 0] > 0).astype(float), features(data[:, 1:])
-    held = mix(np.arange(len(y), dtype=np.uint64)) % np.uint64(4) == 0
-    trees = boosting.fit(x[~held], y[~held], monotone=DIRECTIONS)
-    good = trees.probability(x[held & (y > 0)])
-    return trees, min(0.5, float(np.quantile(good, MISSED, method="lower"))) if len(good) else 0.0
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[boosting.Trees, float]:
+    """Trees and threshold from all labelled rows; texts become statistics before the join, so that no text is shuffled."""
+    known = labels.filter("doc_id is not null and quality is not null").select("doc_id", "quality")
+    found = with_text_columns(docs.select("doc_id", "text"), statistics, "x array<double>", carry=["doc_id"], after=lambda rows: [(x,) for x in features(np.array(rows, np.int64)).tolist()])
+    held = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(4)) == 0
+    scratch = Scratch()
+    data = scratch.keep(found.join(known, "doc_id").select("x", (F.col("quality") > 0).cast("int").alias("y"), F.lit(1).cast("bigint").alias("n"), held.alias("held"), F.lit(0).alias("part")), "labelled")
+    trees, margins = boosting.fit_table(scratch, data, len(FEATURES), monotone=DIRECTIONS)
+    scratch.drop()
+    good = sorted((level, n) for _, level, y, n in margins if y == 1)
+    if not good:
+        return trees, 0.0
+    upto = np.cumsum([n for _, n in good])
+    least = good[int(np.searchsorted(upto, int(MISSED * (upto[-1] - 1)) + 1))][0] / (1 << boosting.MARGIN_SCALE)
+    return trees, min(0.5, float(1 / (1 + np.exp(-least))))
 
 
 def quality(docs: DataFrame, model: tuple[boosting.Trees, float], carry: list[str], prefix: str = "") -> DataFrame:
