@@ -2,13 +2,13 @@ r"""Operator 1: personal data, by candidate generators and boosted trees, in Dat
 
 Four base patterns (email, IP address, card, phone) give the base spans, which always stay. Wider generators propose
 overlapping candidate spans (written-out addresses, numbers in other groupings, keys and passwords). Boosted trees score each
-candidate by its format and its context. They learn on a bounded sample of documents: true are base spans and their
+candidate by its format and its context. They learn on all documents (by Spark's sums of gradients, see `boosting`): true are base spans and their
 rewritings (at and dot written out, other separators, 00 for +) in the context of the base span, false are all other
 candidates; of secrets, for which there is no base pattern, those are true that a word such as token or password is assigned
-to, and the trees don't see that word. On a held-out part each kind gets the least threshold at which PRECISION of the accepted
+to, and the trees don't see that word. On a held-out third (by a hash of the features) each kind gets the least threshold at which PRECISION of the accepted
 candidates are true (midway to the next lower score, even odds at least), or none; a secret that such a word is assigned to needs no score. Accepted candidates that touch no
 base span compete: of those that overlap, the one of the higher score is added. The scored model is an expression of Spark
-columns; numpy serves on the driver only, for the fit.
+columns; the driver only picks the splits of trees and the thresholds from sums.
 
 Base patterns are leftmost and non-overlapping per kind. They are written so that matching is linear: runs start only
 where a run can start, and groups don't give back. Positions are code points, ends exclusive. Null texts count as empty and
@@ -24,13 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaverlake.llm import boosting
-from quaverlake.llm.common import bounded_sample, table
+from quaverlake.llm.common import Scratch, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kinds of candidates: those of base spans, then those that only the method finds.
 ALL = (*KINDS, "secret")
-#: Documents that the trees are fitted on, about, and candidates at most.
-SAMPLE, MOST_CANDIDATES = 6_000, 40_000
 PRECISION = 0.99
 LOCAL = "[A-Za-z0-9._%+-]"
 BASE = {
@@ -159,41 +157,48 @@ def with_candidates(docs: DataFrame, carry: list[Column]) -> DataFrame:
     return found.drop(*(f"some_{k}" for k in ALL)).select("*", F.concat(*(f"base_{k}" for k in KINDS)).alias("base"), F.concat(*(f"wide_{k}" for k in ALL)).alias("wide"))
 
 
-def rewritings(sample: DataFrame) -> DataFrame:
-    """x and y of the candidates of each kind in rewritten base spans, within their context: true are those that are the whole span of a true rewriting."""
-    spans = sample.select("body", F.explode("base").alias("b"))
-    near = spans.select(F.col("b.kind").alias("kind"), F.substring("body", F.greatest(F.col("b.s") - CONTEXT, F.lit(0)) + 1, F.least(F.col("b.s"), F.lit(CONTEXT))).alias("before"), F.substring("body", F.col("b.s") + 1, F.col("b.e") - F.col("b.s")).alias("m"), F.substring("body", F.col("b.e") + 1, F.lit(CONTEXT)).alias("after"))
+def learnt(docs: DataFrame) -> DataFrame:
+    """x, y of all candidates, and kind, before, m, after of all base spans (their context and themselves; x is null), each once with its number n."""
+    is_base = lambda c: F.exists("base", lambda b: (b["kind"] == c["kind"]) & (b["s"] == c["s"]) & (b["e"] == c["e"]))
+    text = lambda s, n: F.substring("body", s + 1, n)
+    row = lambda *v: F.struct(*(c.cast(t).alias(k) for c, (k, t) in zip(v, (("x", "array<double>"), ("y", "int"), ("kind", "int"), ("before", "string"), ("m", "string"), ("after", "string")), strict=True)))
+    none = F.lit(None)
+    known = F.transform("wide", lambda c: row(c["x"], is_base(c) | c["assigned"], none, none, none, none))
+    near = F.transform("base", lambda b: row(none, none, b["kind"], text(F.greatest(b["s"] - CONTEXT, F.lit(0)), F.least(b["s"], F.lit(CONTEXT))), text(b["s"], b["e"] - b["s"]), text(b["e"], F.lit(CONTEXT))))
+    return with_candidates(docs, []).select(F.explode(F.concat(known, near)).alias("r")).select("r.*").groupBy("x", "y", "kind", "before", "m", "after").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rewritings(near: DataFrame) -> DataFrame:
+    """x, y and n of the candidates of each kind in rewritten base spans, within their context: true are those that are the whole span of a true rewriting."""
     out = []
+    changed = lambda steps: F.regexp_replace("m", *steps[0]) != F.col("m")  # noqa: E731 (a number that ends in 9 stays true where its end becomes 9)
     for kind, rules in REWRITTEN.items():
         own = near.filter(F.col("kind") == KINDS.index(kind))
-        new = own.select("before", "after", F.explode(F.array(*(F.struct(reduce(lambda m, step: F.regexp_replace(m, *step), steps, F.col("m")).alias("new"), F.lit(true).alias("kept")) for steps, true in rules))).alias("r"), "m").select("before", "after", "r.*", "m").filter("new <> m")
-        text = new.select("kept", F.concat("before", "new", "after").alias("body"), F.length("before").alias("s"), (F.length("before") + F.length("new")).alias("e"))
-        c = text.select("s", "e", "kept", F.explode(candidates(F.col("body"), kind)).alias("c")).filter("c.s < e AND s < c.e")  # other data in the context tells nothing
-        out.append(c.select(F.col("c.x").alias("x"), (F.col("kept") & (F.col("c.s") == F.col("s")) & (F.col("c.e") == F.col("e"))).cast("int").alias("y")))
+        new = own.select("before", "after", "n", F.explode(F.array(*(F.struct(reduce(lambda m, step: F.regexp_replace(m, *step), steps, F.col("m")).alias("new"), F.lit(true).alias("kept"), (F.lit(true) | changed(steps)).alias("told")) for steps, true in rules))).alias("r"), "m").select("before", "after", "n", "r.*", "m").filter("told and new <> m")
+        text = new.select("kept", "n", F.concat("before", "new", "after").alias("body"), F.length("before").alias("s"), (F.length("before") + F.length("new")).alias("e"))
+        c = text.select("s", "e", "kept", "n", F.explode(candidates(F.col("body"), kind)).alias("c")).filter("c.s < e AND s < c.e")  # other data in the context tells nothing
+        out.append(c.select(F.col("c.x").alias("x"), (F.col("kept") & (F.col("c.s") == F.col("s")) & (F.col("c.e") == F.col("e"))).cast("int").alias("y"), "n"))
     return out[0].union(out[1]).union(out[2]).union(out[3])
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE) -> tuple[boosting.Trees, list[float]]:
+def fit(docs: DataFrame) -> tuple[boosting.Trees, list[float]]:
     """Trees, and for each kind the margin from which a candidate is accepted (infinite if no threshold is precise enough)."""
-    sample = with_candidates(bounded_sample(docs.select("doc_id", "text"), rows, "doc_id"), [])
-    is_base = F.exists("base", lambda b: (b["kind"] == F.col("c.kind")) & (b["s"] == F.col("c.s")) & (b["e"] == F.col("c.e")))
-    known = sample.select(F.explode("wide").alias("c"), "base").select(F.col("c.x").alias("x"), (is_base | F.col("c.assigned")).cast("int").alias("y"))
-    found = known.union(rewritings(sample)).groupBy("x", "y").count().orderBy(F.desc("count"), "x", "y").limit(MOST_CANDIDATES).collect()
-    if not found:
-        return boosting.flat([], [], -20.0), [float("inf")] * len(ALL)
-    x, y, n = np.array([r.x for r in found]), np.array([r.y for r in found], float), np.array([r["count"] for r in found], float)
-    held = np.arange(len(y)) % 3 == 2
-    trees = boosting.fit(x[~held], y[~held], weight=n[~held], trees=40, depth=4)
-    margins, limits = trees.margin(x), []
+    scratch = Scratch()
+    found = scratch.keep(learnt(docs.select("text")), "learnt")
+    data = found.filter("x is not null").select("x", "y", "n").union(rewritings(found.filter("x is null"))).groupBy("x", "y").agg(F.sum("n").alias("n"))
+    held = F.pmod(F.xxhash64(F.lit("held"), "x"), F.lit(3)) == 2
+    data = scratch.keep(data.select("x", "y", "n", held.alias("held"), F.col("x")[0].cast("int").alias("part")), "vectors")
+    trees, margins = boosting.fit_table(scratch, data, FEATURES, trees=40, depth=4)
+    scratch.drop()
+    limits = []
     for k in range(len(ALL)):
-        own = held & (x[:, 0] == k)
-        order = np.argsort(-margins[own], kind="stable")
-        level, true, weight = margins[own][order], y[own][order], n[own][order]
-        precise = np.cumsum(true * weight) >= PRECISION * np.cumsum(weight)
-        last = np.append(level[1:] != level[:-1], True) if len(level) else np.empty(0, bool)
-        good = np.flatnonzero(precise & last & (level > 0)) if len(level) else []
-        below = level[good[-1] + 1 :][:1] if len(good) else []  # midway to the first candidate that would spoil the precision, but not below even odds
-        limits.append(float(max(0.0, (level[good[-1]] + below[0]) / 2)) if len(below) else 0.0 if len(good) else float("inf"))
+        own = np.array(sorted(((-level, y, n) for part, level, y, n in margins if part == k)), float).reshape(-1, 3)
+        values, place = np.unique(own[:, 0], return_inverse=True)
+        true, n = np.bincount(place, own[:, 1] * own[:, 2], len(values)), np.bincount(place, own[:, 2], len(values))
+        values = -values / (1 << boosting.MARGIN_SCALE)
+        good = np.flatnonzero((np.cumsum(true) >= PRECISION * np.cumsum(n)) & (values > 0))
+        below = values[good[-1] + 1 :][:1] if len(good) else []  # midway to the first candidate that would spoil the precision, but not below even odds
+        limits.append(float(max(0.0, (values[good[-1]] + below[0]) / 2)) if len(below) else 0.0 if len(good) else float("inf"))
     return trees, limits
 
 

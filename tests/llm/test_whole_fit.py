@@ -1,10 +1,10 @@
-"""The trees of operator 2 learn from every row, those outside any bounded sample too."""
+"""The trees of operators 1 and 2 learn from every row, those outside any bounded sample too."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quaverlake.llm import boosting, quality
+from quaverlake.llm import boosting, pii, quality
 from quaverlake.llm.common import Scratch
 
 
@@ -41,3 +41,13 @@ def test_quality_learns_from_every_label(spark):
     trees, _ = quality.fit(docs, labels)
     good, symbols = trees.probability(quality.features(np.array([quality.statistics("one two three " * 30 + "7"), quality.statistics("# $ % & one " * 30)])))
     assert good > 0.9 and symbols < 0.1
+
+
+def test_pii_learns_from_every_document(spark):
+    n = 14_000
+    own = outside(spark, n, 6_000 / n)[:300]
+    name = F.concat(F.lit("bob"), F.col("id"), F.lit("@site"), F.col("id") % 7, F.lit(".org"))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id").isin(own), F.concat(F.lit("write to "), name, F.lit(" today"))).otherwise("no data here").alias("text"))
+    model = pii.fit(docs)
+    case = spark.createDataFrame([(1, "write to ann51 [at] site3 [dot] org today")], "doc_id bigint, text string")
+    assert pii.personal_data(case, model, []).select(pii.written(F.col("spans")).alias("w")).first().w == "email:9:35"
